@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "bpe")
+MODULES = ("secrets", "bpe", "packing")
 
 
 def queries() -> dict:
