@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "bpe", "packing")
+MODULES = ("secrets", "bpe", "packing", "langid")
 
 
 def queries() -> dict:
