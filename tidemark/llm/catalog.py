@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "bpe", "packing", "langid", "quality", "pii")
+MODULES = ("secrets", "bpe", "packing", "langid", "quality", "pii", "warc")
 
 
 def queries() -> dict:
