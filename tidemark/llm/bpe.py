@@ -23,7 +23,7 @@ from .common import small_batches, texts
 from .words import WORD_END, Vocabulary, byte_letters
 
 _LETTERS = byte_letters()
-#: Distinct words that a task keeps encoded; beyond that it starts anew, so memory is bounded.
+#: Distinct words in one of the two generations that a worker keeps encoded, so that memory is bounded.
 KEPT_WORDS = 400_000
 
 
@@ -31,10 +31,18 @@ class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pair_ok: dict[tuple[str, str], bool] = {}
-        self.longest = max(map(len, vocabulary.ids))
+        self.alone: dict[str, bool] = {}
+        self.made_of = {a + b: (a, b) for a, b in vocabulary.ranks}
+        for pair, rank in vocabulary.ranks.items():
+            if any(vocabulary.ranks[self.made_of[x]] >= rank for x in pair if x in self.made_of):
+                raise ValueError(f"a merge comes before its parts: {pair}")
+        self.inner = {t: t for t in vocabulary.ids if not t.endswith(WORD_END) or t == WORD_END}
+        self.final = {t[: -len(WORD_END)]: t for t in vocabulary.ids if t.endswith(WORD_END) and t != WORD_END}
+        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.edges: tuple[dict, dict] = {}, {}
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE: the merge of lowest rank first, the leftmost of equals. Only for pairs of tokens."""
+        """Plain BPE: the merge of lowest rank first, the leftmost of equals. Asked once for each token alone."""
         ranks = self.v.ranks
         while len(symbols) > 1:
             rank, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
@@ -43,59 +51,80 @@ class TrieEncoder:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    @staticmethod
-    def letters(token: str) -> list[str]:
-        if token.endswith(WORD_END) and len(token) > len(WORD_END):
-            stem = token[: -len(WORD_END)]
-            return [*stem[:-1], stem[-1] + WORD_END]
-        return list(token)
-
-    def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.pair_ok.get(key)
+    def stands_alone(self, token: str) -> bool:
+        known = self.alone.get(token)
         if known is None:
-            if len(self.pair_ok) > 2_000_000:
-                self.pair_ok.clear()
-            known = self.pair_ok[key] = self.merged(self.letters(a) + self.letters(b)) == [a, b]
+            stem = token[: -len(WORD_END)] if token.endswith(WORD_END) and token != WORD_END else None
+            letters = list(token) if stem is None else [*stem[:-1], stem[-1] + WORD_END]
+            known = self.alone[token] = self.merged(letters) == [token]
         return known
 
-    def last_token(self, text: str, lasts: list[str | None], end: bool) -> str:
-        """The last token of text's encoding; lasts[i] is that of its first i letters, None at 0."""
-        ids, n = self.v.ids, len(text)
-        mark = WORD_END if end else ""
-        for start in range(max(0, n - self.longest), n):
-            token = text[start:] + mark
-            if token not in ids:
-                continue
-            if start == 0:
-                if self.merged(self.letters(token)) == [token]:
-                    return token
-            elif self.compatible(lasts[start], token):
-                return token
-        raise ValueError(f"no encoding of {text!r}")
+    def edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The symbols that are this token's last (side 1) or first (side 0) one while it is merged, each with the rank
+        of the merge that ends it."""
+        own = self.edges[side].get(token)
+        if own is None:
+            own, symbol, until = [], token, float("inf")
+            while symbol in self.made_of:
+                own.append((symbol, until))
+                until = self.v.ranks[self.made_of[symbol]]
+                symbol = self.made_of[symbol][side]
+            own.append((symbol, until))
+            self.edges[side][token] = own
+        return own
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether the letters of a and b encode to [a, b]: no merge across them has its turn while both its parts are
+        at the border. At equal ranks the left merge goes first."""
+        ranks = self.v.ranks
+        for x, x_until in self.edge(a, 1):
+            for y, y_until in self.edge(b, 0):
+                rank = ranks.get((x, y))
+                if rank is not None and rank < x_until and rank <= y_until:
+                    return False
+        return True
 
     def encode_words(self, words) -> dict[str, list[str]]:
         """The tokens of each distinct word. Sorted words are the trie's depth-first order: what two neighbours share
-        is on the path already, and only the rest of the second one's path is walked."""
+        is on the path already, and only the rest of the second one's path is walked. lasts[i] is the last token of the
+        encoding of the path's first i letters."""
         out: dict[str, list[str]] = {}
         spelled = sorted(("".join([_LETTERS[b] for b in w.encode("utf-8")]), w) for w in set(words))
+        pair_ok, longest, mark = self.pair_ok, self.longest, len(WORD_END)
         path, lasts = "", [None]
         for text, word in spelled:
-            shared, most = 0, min(len(path), len(text) - 1)
+            n = len(text)
+            shared, most = 0, min(len(path), n - 1)
             while shared < most and path[shared] == text[shared]:
                 shared += 1
             del lasts[shared + 1 :]
-            for i in range(shared + 1, len(text)):
-                lasts.append(self.last_token(text[:i], lasts, False))
+            for i in range(shared + 1, n + 1):
+                tokens = self.inner if i < n else self.final
+                for start in range(i - longest if i > longest else 0, i):
+                    token = tokens.get(text[start:i])
+                    if token is None:
+                        continue
+                    key = (lasts[start], token)
+                    ok = pair_ok.get(key)
+                    if ok is None:
+                        ok = self.stands_alone(token) and (start == 0 or self.compatible(*key))
+                        pair_ok[key] = ok
+                    if ok:
+                        break
+                else:
+                    raise ValueError(f"no encoding of {text!r}")
+                lasts.append(token)
             path = text[:-1]
-            token, at = self.last_token(text, lasts, True), len(text)
-            tokens = [token]
-            at -= len(token) - len(WORD_END)
+            spelt, at = [token], n - len(token) + mark
+            lasts.pop()
             while at:
                 token = lasts[at]
-                tokens.append(token)
+                spelt.append(token)
                 at -= len(token)
-            out[word] = tokens[::-1]
+            spelt.reverse()
+            out[word] = spelt
+        if len(pair_ok) > 1_000_000:
+            pair_ok.clear()
         return out
 
 
@@ -104,15 +133,18 @@ class CachedEncoder:
 
     def __init__(self, path: str, finish, kept: int = KEPT_WORDS):
         self.v = Vocabulary(path)
-        self.trie, self.finish, self.kept, self.known = TrieEncoder(self.v), finish, kept, {}
+        self.trie, self.finish, self.kept, self.known, self.older = TrieEncoder(self.v), finish, kept, {}, {}
 
     def learn(self, lists: list[list[str]]) -> None:
+        """Two generations: when the younger one is full it becomes the older one, from which words in use return."""
+        if len(self.known) > self.kept:
+            self.known, self.older = {}, self.known
         new = set().union(*lists) - self.known.keys()
-        if new and len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = set().union(*lists)
-        if new:
-            self.known.update((w, self.finish(t)) for w, t in self.trie.encode_words(new).items())
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        if new := new - again:
+            finish = self.finish
+            self.known.update([(w, finish(t)) for w, t in self.trie.encode_words(new).items()])
 
     def encode_all(self, block: list[str]) -> list[list]:
         """The finished values of each text, in order; a special token counts as a word of its own."""

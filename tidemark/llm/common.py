@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
@@ -46,6 +46,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value worked out once a row. A column named inside a lambda is put there as its whole
+    expression, which would run anew for each element; a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -12,6 +12,7 @@ into nothing.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,20 +94,26 @@ class Plan:
 
 
 class _Words(dict):
-    """A word's ids as little-endian bytes, asked of the tokenizers library once."""
+    """A word's ids as little-endian bytes, asked of the tokenizers library's model once. When KEPT_WORDS are known they
+    become the older generation, from which words in use return; so memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.v = Vocabulary(path)
-        self.model = Tokenizer.from_file(path).model
+        self.v, self.older = Vocabulary(path), {}
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        self.made = {n: struct.Struct(f"<{n}I") for n in range(1, 65)}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
-        tokens = self.model.tokenize("".join([_LETTERS[b] for b in word.encode("utf-8")]))
-        out = self[word] = np.array([t.id for t in tokens], "<u4").tobytes()
+        out = self.older.get(word)
+        if out is None:
+            ids = [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else "".join([_LETTERS[b] for b in word.encode("utf-8")]))]
+            out = self.made[len(ids)].pack(*ids) if len(ids) <= 64 else struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:

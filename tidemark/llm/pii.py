@@ -80,8 +80,9 @@ def confirmed(kind: Column, match: Column) -> Column:
 def proposals(text: Column, kind: str) -> Column:
     """array<struct<gap, match>>: each match with the length of the text between it and the match before it."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), F.right(F.get(gaps, i), F.lit(CONTEXT_WIDTH)).alias("before")))
+    pair = lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("match"), F.right(gap, F.lit(CONTEXT_WIDTH)).alias("before"))
+    none = F.array().cast("array<struct<gap:int,match:string,before:string>>")
+    pairs = F.when(F.regexp_like(text, F.lit(PATTERNS[kind])), F.zip_with(F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found)), found, pair)).otherwise(none)
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), pairs) if kind in _NEEDS else pairs
 
 

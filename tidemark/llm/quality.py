@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import let, texts, written
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -34,10 +34,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def window_hashes(w: Column, n: Column) -> Column:
-    """A hash of each window of 8 words, from the words' own hashes."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
+def window_hashes(w: Column) -> Column:
+    """A hash of each window of 8 words, from the words' own hashes; null with fewer words."""
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= WINDOW, windows(h)))
 
 
 def normal_line(line: Column) -> Column:
@@ -56,15 +56,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         F.length(bare).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.xxhash64("text").alias("text_hash"), F.length(text).alias("text_length"),
     )
-    got = got.withColumn("n", F.size("w")).withColumn("h", window_hashes(F.col("w"), F.col("n")))
+    # only texts with an equal pair of windows carry them on
+    repeated = lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), h)
+    of_words = let(F.col("w"), lambda w: F.struct(F.size(w).cast("long").alias("n"), let(window_hashes(w), repeated).alias("h")))
     hashed = F.transform("l", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).cast("long").alias("words")))
     return got.select(
-        "doc_id", "host", "text_hash", "text_length", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "host", "text_hash", "text_length", of_words.alias("of_words"), "word_chars", "n_symbols",
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        # only texts with an equal pair of windows carry them on
-        F.when(F.size("h") > F.size(F.array_distinct("h")), F.col("h")).alias("h"),
         hashed.alias("l"),
-    )
+    ).select("doc_id", "host", "text_hash", "text_length", F.col("of_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("of_words.h").alias("h"), "l")
 
 
 def repeated_words(measured: DataFrame) -> DataFrame:
