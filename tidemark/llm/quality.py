@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import let, texts, written
 
 SPACE = r"[\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -40,31 +41,32 @@ def window_hashes(w: Column) -> Column:
     return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= WINDOW, windows(h)))
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, runs of space as one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), SPACE + "+", " "))
+def normal_lines(text: Column) -> Column:
+    """array<struct<line, words>>: hash and words of each line with a word. Lines are in lower case, digits are 0, runs of
+    space are one space; all but the trimming is done on the whole text at once."""
+    plain = F.regexp_replace(F.translate(F.lower(text), "0123456789\t\x0b\x0c\r", "0000000000    "), " {2,}", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("words")))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One narrow row a document: counts, hashes of its repeated windows' places, and hashes of its lines with their words."""
     t = texts(docs.withColumn("_host", F.col(host_col).cast("string")), id_col, text_col, "_host")
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    bare = F.translate(text, "\x20\x09\x0a\x0b\x0c\x0d", "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
     got = t.select(
-        "doc_id", F.col("_host").alias("host"), words(F.col("text")).alias("w"), lines.alias("l"),
-        F.length(bare).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "doc_id", F.col("_host").alias("host"), words(F.col("text")).alias("w"), lines.alias("l"), normal_lines(text).alias("nl"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.xxhash64("text").alias("text_hash"), F.length(text).alias("text_length"),
     )
     # only texts with an equal pair of windows carry them on
     repeated = lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), h)
-    of_words = let(F.col("w"), lambda w: F.struct(F.size(w).cast("long").alias("n"), let(window_hashes(w), repeated).alias("h")))
-    hashed = F.transform("l", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).cast("long").alias("words")))
+    of_words = let(F.col("w"), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), let(window_hashes(w), repeated).alias("h")))
     return got.select(
-        "doc_id", "host", "text_hash", "text_length", of_words.alias("of_words"), "word_chars", "n_symbols",
+        "doc_id", "host", "text_hash", "text_length", of_words.alias("of_words"), "n_symbols",
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        hashed.alias("l"),
-    ).select("doc_id", "host", "text_hash", "text_length", F.col("of_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("of_words.h").alias("h"), "l")
+        F.col("nl").alias("l"),
+    ).select("doc_id", "host", "text_hash", "text_length", F.col("of_words.n").alias("n_words"), F.col("of_words.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("of_words.h").alias("h"), "l")
 
 
 def repeated_words(measured: DataFrame) -> DataFrame:
