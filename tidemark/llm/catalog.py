@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "bpe", "packing", "langid", "quality", "pii", "warc", "media", "jaccard")
+MODULES = ("secrets", "bpe", "packing", "langid", "quality", "pii", "warc", "media", "jaccard", "substrings")
 
 
 def queries() -> dict:
