@@ -29,7 +29,8 @@ CAPACITY = 2048
 #: Pieces of one length are numbered in so many groups, since one length may hold a third of all pieces. The driver
 #: receives at most CAPACITY * GROUPS counts.
 GROUPS = 64
-KEPT_WORDS = 400_000
+#: Words in one of the two generations that a worker keeps encoded.
+KEPT_WORDS = 700_000
 
 _LETTERS = byte_letters()
 
@@ -105,24 +106,24 @@ class _Words(dict):
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.made = {n: struct.Struct(f"<{n}I") for n in range(1, 65)}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+    def learn(self, lists) -> None:
+        """Encode what a block of texts holds and is not known yet."""
+        if len(self) > KEPT_WORDS:
             self.older = dict(self)
             self.clear()
-        out = self.older.get(word)
-        if out is None:
-            ids = [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else "".join([_LETTERS[b] for b in word.encode("utf-8")]))]
-            out = self.made[len(ids)].pack(*ids) if len(ids) <= 64 else struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        if "<|" not in text:
-            return b"".join(map(self.__getitem__, self.v.words(text)))
-        parts = []
-        for part, special in self.v.pieces(text):
-            parts += [np.array([self.v.special[part]], "<u4").tobytes()] if special else map(self.__getitem__, self.v.words(part))
-        return b"".join(parts)
+        new = set().union(*lists) - self.keys()
+        again = new & self.older.keys()
+        self.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        tokenize, made = self.tokenize, self.made
+        for word in new - again:
+            ids = [t.id for t in tokenize(word if word.isascii() and word.isprintable() else "".join([_LETTERS[b] for b in word.encode("utf-8")]))]
+            self[word] = made[len(ids)].pack(*ids) if len(ids) <= 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids_of(self, block: list[str]) -> list[bytes]:
+        parts = [[(() if s else self.v.words(p), s, p) for p, s in self.v.pieces(t)] for t in block]
+        self.learn([w for own in parts for w, s, _ in own if not s])
+        get, special = self.__getitem__, self.v.special
+        return [b"".join([struct.pack("<I", special[p]) if s else b"".join(map(get, w)) for w, s, p in own]) for own in parts]
 
 
 _words: dict[str, _Words] = {}
@@ -137,8 +138,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         words, closing = _words[tokenizer_path], b"\0\0\0\0"
         for b in small_batches(batches):
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = words.ids(text or "") + closing
+            block = words.ids_of([t or "" for t in b.column("text").to_pylist()])
+            for doc, ids in zip(b.column("doc_id").to_pylist(), block, strict=True):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
