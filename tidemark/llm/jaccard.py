@@ -366,8 +366,9 @@ def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col:
     return found.mapInArrow(work, "cid long, members binary").groupBy("cid").agg(F.first("members").alias("members"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id; one row per input row. Links: den * intersection >= num * union."""
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if asked for, text_hash (xxhash64 of the text); one row per input row.
+    Links: den * intersection >= num * union."""
     marks = written(fingerprints(docs, n, num, den, id_col, text_col), "marks")
     classes = marks.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
     posts = written(postings(written(classes, "classes"), num, den), "postings")
@@ -384,7 +385,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     out = narrow.join(by_class, "cid", "left")
     for old in (posts, pairs, rest, labels):
         remove(old)
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["text_hash"] * with_hash)
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when each near-duplicate group keeps the document of smallest id. Rows equal in id and
+    text are one document; rows of one id in one group keep the smallest text hash; a null id stays unless its group has
+    another. Texts without a word are in no group."""
+    named = near_duplicates(docs, n, num, den, id_col, text_col, True).filter("doc_id <=> component_id")
+    stay = named.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
+    keyed = docs.withColumns({"_key": F.col(f"`{id_col}`").cast("long"), "_text_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    kept = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_key", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_prefix_tree_join(spark, sf_dir: str) -> DataFrame:

@@ -137,17 +137,21 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return SlicedFilter(languages, masks)
 
 
-def identify(docs: DataFrame, model: SlicedFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
+def identify(docs: DataFrame, model: SlicedFilter, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score for every row; with_rows adds the whole input row as the struct `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one mask a slot: 8 MB at most
+    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    rows = docs.select(*own, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * with_rows)
 
     def work(batches):
         m = shared.value
         for b in small_batches(batches):
             lang, score = zip(*(m.decide(t) for t in b.column("text").to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            cols = [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])
 
-    return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    more = f", row {rows.schema['row'].dataType.simpleString()}" if with_rows else ""
+    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double" + more)
 
 
 def held_out(doc_id="doc_id"):

@@ -137,15 +137,15 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.5) ->
     marked = spans.withColumn("g", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("g", F.sum("g").over(order))
     merged = marked.groupBy(*own, "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind"))
     before = F.lag("end", 1, 0).over(Window.partitionBy(*own).orderBy("start"))
-    steps = merged.withColumn("from", before).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("from", "start", "end", "kind"))).alias("steps"))
-    steps = steps.select(F.col("text_hash").alias("_h"), F.col("text_length").alias("_l"), "steps")
+    steps = merged.withColumn("from", before).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("from", "start", "end", "kind"))).alias("_steps"))
+    steps = steps.select(F.col("text_hash").alias("_h"), F.col("text_length").alias("_l"), "_steps")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({"_th": F.xxhash64(text), "_tl": F.length(F.coalesce(text, F.lit("")))})
     out = keyed.join(steps, (F.col("_th") == F.col("_h")) & (F.col("_tl") == F.col("_l")), "left")
     piece = lambda s: F.concat(F.substr(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    tail = F.substr(text, (F.element_at("steps", -1)["end"] + 1).cast("int"))
-    rebuilt = F.when(F.col("steps").isNull(), text).otherwise(F.concat(F.array_join(F.transform("steps", piece), ""), tail))
-    return out.withColumn(text_col, rebuilt).select(*docs.columns)
+    tail = F.substr(text, (F.element_at("_steps", -1)["end"] + 1).cast("int"))
+    rebuilt = F.when(F.col("_steps").isNull(), text).otherwise(F.concat(F.array_join(F.transform("_steps", piece), ""), tail))
+    return out.withColumn(text_col, rebuilt).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(detected: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts, written
 
-LEAST_WORDS = 25
-LONG_SENTENCE = 40
+LEAST_WORDS = 16
+LONG_SENTENCE = 24
 #: A repeated span's first place is told to so many slices of its places.
 SALTS = 8
 
