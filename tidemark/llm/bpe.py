@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import small_batches, texts, worker_cache
 from .words import WORD_END, Vocabulary, byte_letters
 
 _LETTERS = byte_letters()
@@ -168,17 +168,16 @@ def _as_written(v: Vocabulary, tokens: list[str]) -> tuple[int, str, str]:
     return len(tokens), " ".join([str(v.number[t]) for t in tokens]), " ".join(tokens)
 
 
-_encoders: dict[tuple, CachedEncoder] = {}
-
-
 def cached_encoder(path: str, use: str, finish) -> CachedEncoder:
-    """One encoder a worker process and use, so that a worker's later tasks know its earlier words. `finish` takes the
-    vocabulary and a word's tokens."""
-    if (path, use) not in _encoders:
+    """One encoder a worker process, so that a worker's later tasks know its earlier words. `finish` takes the vocabulary
+    and a word's tokens."""
+
+    def make():
         e = CachedEncoder(path, None)
         e.finish = lambda tokens: finish(e.v, tokens)
-        _encoders[path, use] = e
-    return _encoders[path, use]
+        return e
+
+    return worker_cache(f"bpe {use} {path}", make)
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -41,9 +42,37 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that a Python worker receives at once; the default bounds the number of rows only.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with its session set to send Python workers batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+_cache: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """What make() gives, kept for later tasks of the same worker process. Only one name is kept at a time, so that the
+    stages of a pipeline do not add up their caches."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator reads, so that other columns can't clash with its own."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
+    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
 
 
 def let(value: Column, then) -> Column:

@@ -29,27 +29,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, small_batches, texts, written
+from .common import bounded, release, remove, small_batches, texts, worker_cache, written
 from .components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 #: Members of one n-gram's group that meet in one task; larger groups are split into blocks, each pair of blocks a task.
 BLOCK = 50_000
 #: Probe and partners of one trie come from so many slices of the partners, so that a popular probe is spread.
 SALTS = 8
 
-_hashes: dict[bytes, int] = {}
-
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of words; ASCII letters in lower case, words between ASCII spaces."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > _KEPT_WORDS:
-        _hashes.clear()
-    get, put = _hashes.get, _hashes.__setitem__
+    known = worker_cache("word hashes", dict)
+    if len(known) > _KEPT_WORDS:
+        known.clear()
+    get, put = known.get, known.__setitem__
     h = []
     for w in words:
         v = get(w)
@@ -77,9 +76,10 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def parity(hashes: np.ndarray, num: int, den: int) -> bytes:
-    """Parity of the number of members by low hash bits; eight places for each difference that is allowed."""
+    """Parity of the number of members by low hash bits: four to eight places for each difference that is allowed, 64 at
+    least and 4096 at most (of very long texts the parities tell less, and the trie decides)."""
     allowed = max(1, 2 * len(hashes) * (den - num) // (den + num))
-    places = max(64, 1 << (8 * allowed - 1).bit_length())
+    places = min(4096, max(64, 1 << (4 * allowed - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -124,9 +124,9 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_
 
 def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     """gram, cid, size, place, sketch: the n-grams of each class's prefix that more than one class holds."""
-    held = classes.select("cid", "low", F.posexplode("first").alias("at", "gram"))
+    held = classes.select("cid", "low", F.posexplode("first").alias("at", "gram")).select("cid", "gram", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("at"))
     shared = held.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    both = held.join(shared, "gram").withColumn("late", (F.col("at") >= F.col("low")).cast("int"))
+    both = held.join(shared, "gram").withColumn("late", F.col("at").isNotNull().cast("int"))
     # rare ones first; beyond the border the place is that by hash
     own = both.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("late", F.when(F.col("late") == 0, F.col("df")).alias("df"), F.when(F.col("late") == 1, F.col("at")).alias("at"), "gram"))).alias("grams"))
     own = own.join(classes.select("cid", "size", "low", "sketch"), "cid")
@@ -369,15 +369,21 @@ def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col:
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and, if asked for, text_hash (xxhash64 of the text); one row per input row.
     Links: den * intersection >= num * union."""
+    spark = bounded(docs).sparkSession
     marks = written(fingerprints(docs, n, num, den, id_col, text_col), "marks")
     classes = marks.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    posts = written(postings(written(classes, "classes"), num, den), "postings")
-    narrow = marks.select("doc_id", "text_hash", "cid", "size")
+    classes, narrow = written(classes, "classes"), written(marks.select("doc_id", "text_hash", "cid", "size"), "members")
+    remove(marks)
+    posts = written(postings(classes, num, den), "postings")
+    remove(classes)
+    release(spark)
     pairs = written(candidate_pairs(posts, None, num, den), "pairs")
     links = written(trie_links(pairs, sets_of(docs, narrow, pairs, n, id_col, text_col), num, den), "links")
+    release(spark)
     labels = connected_components(links)
     rest = written(candidate_pairs(posts, labels, num, den), "pairs")
     more = written(trie_links(rest, sets_of(docs, narrow, rest, n, id_col, text_col), num, den), "links")
+    release(spark)
     named = connected_components(links.unionByName(more)).withColumnRenamed("node", "cid")
     grouped = narrow.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))

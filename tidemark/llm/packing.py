@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_file
-from .common import small_batches, texts, written
+from .common import small_batches, texts, worker_cache, written
 from .words import Vocabulary, byte_letters
 
 CAPACITY = 2048
@@ -126,16 +126,11 @@ class _Words(dict):
         return [b"".join([struct.pack("<I", special[p]) if s else b"".join(map(get, w)) for w, s, p in own]) for own in parts]
 
 
-_words: dict[str, _Words] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
 
     def work(batches):
-        if tokenizer_path not in _words:
-            _words[tokenizer_path] = _Words(tokenizer_path)
-        words, closing = _words[tokenizer_path], b"\0\0\0\0"
+        words, closing = worker_cache(f"words {tokenizer_path}", lambda: _Words(tokenizer_path)), b"\0\0\0\0"
         for b in small_batches(batches):
             rows = []
             block = words.ids_of([t or "" for t in b.column("text").to_pylist()])

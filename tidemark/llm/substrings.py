@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, written
+from .common import release, small_batches, texts, written
 
 LEAST_WORDS = 16
 LONG_SENTENCE = 24
@@ -102,6 +102,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their names; a column of one of these three names is replaced)."""
     marks = written(mark(docs, id_col, text_col, least_words, long_sentence), "spans")
     covered = written(repeated(marks), "covered")
+    release(docs.sparkSession)
     one = marks.dropDuplicates(["doc_id", "text_hash"])
     found = covered.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "covered")
     told = one.join(found, one["doc_id"].eqNullSafe(found["c_id"]) & one["text_hash"].eqNullSafe(found["c_hash"])).select("c_id", "c_hash", "covered", "lengths", "skips")
