@@ -1 +1,182 @@
-"""To come."""
+"""Temporal composites (TF) and the as-of joins (J7, J8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.asof import award_features, lender_features, visible_rows
+from ..operators.models import downsample
+from ..operators.panel import Months, forward_labels, run_starts
+from .registry import query
+from .standins import AWARDS, CHARGES, HALVES, PANEL, QUARTERS, awards, charges, dates_sql, panel
+
+END = 2001 * 12 + 8
+W = "PARTITION BY cn ORDER BY m"
+VISIBLE = "greatest(created, coalesce(delivered, created)) + 4"
+OUT = "(satisfied IS NULL OR satisfied + 1 > d)"
+
+
+@query("j7_as_of", f"WITH {CHARGES}, days(d) AS (VALUES {dates_sql(QUARTERS)}) SELECT cn, d AS as_of, count(DISTINCT charge) AS seen FROM days JOIN charges ON {VISIBLE} <= d GROUP BY 1, 2")
+def j7(t):
+    c = charges(t).withColumn("visible", F.date_add(F.greatest("created", F.coalesce("delivered", "created")), 4))
+    one = c.groupBy("cn", "charge").agg(F.min("visible").alias("visible"))  # a charge is seen from its first row on
+    return visible_rows(one, QUARTERS, F.col("visible")).groupBy("cn", "as_of").agg(F.count("*").alias("seen"))
+
+
+@query("tf1_panel_by_universe", f"WITH {PANEL}, u AS (SELECT DISTINCT c_custkey AS cn FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) SELECT panel.cn, m, charges, status FROM panel JOIN u ON u.cn = panel.cn")
+def tf1(t):
+    u = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("cn"))
+    return panel(t).join(u, "cn", "left_semi").select("cn", "m", "charges", "status")
+
+
+@query("tf3_award_features", f"""WITH {AWARDS}, days(e) AS (VALUES {dates_sql(HALVES)}),
+a AS (SELECT cn, e AS as_of, count(DISTINCT CASE WHEN published > y1 THEN contract END) AS won_12m, sum(CASE WHEN published > y1 THEN value::DECIMAL(18,2) END)::DOUBLE AS v, count(CASE WHEN published > y1 AND value IS NOT NULL THEN 1 END) AS valued_12m,
+    count(DISTINCT CASE WHEN published > y2 AND published <= y1 THEN contract END) AS prev, max(published) AS last, min(published) AS first, any_value(y1) AS y1
+  FROM (SELECT *, (e - INTERVAL 12 MONTH)::DATE AS y1, (e - INTERVAL 24 MONTH)::DATE AS y2 FROM days) JOIN awards ON published <= e GROUP BY 1, 2)
+SELECT cn, as_of, won_12m, coalesce(v, 0.0) AS value_12m, valued_12m::BIGINT AS valued_12m, datediff('month', last, as_of)::INTEGER AS months_since_award, won_12m - prev AS d_won_12m, first > y1 AS first_in_12m FROM a""")
+def tf3(t):
+    """J8 and AG5: half-open windows at month ends."""
+    return award_features(awards(t), HALVES)
+
+
+@query("tf4_lender_features", f"""WITH {CHARGES}, days(d) AS (VALUES {dates_sql(QUARTERS)}),
+j AS (SELECT *, {OUT} AS o, lender <> 'unclassified' AND NOT ours AS rival, {VISIBLE} AS v, satisfied + 1 AS g, (d - INTERVAL 12 MONTH)::DATE AS y, (d - INTERVAL 6 MONTH)::DATE AS h FROM days JOIN charges ON {VISIBLE} <= d),
+a AS (SELECT cn, d, count(DISTINCT CASE WHEN o THEN charge END) AS n_open, count(DISTINCT CASE WHEN o AND ours THEN charge END) AS n_ours,
+    count(DISTINCT CASE WHEN o AND lender <> 'unclassified' THEN lender END) AS n_lenders, count(DISTINCT CASE WHEN o AND rival THEN lender END) AS n_rivals, bool_or(ours) AS ever_ours,
+    max(CASE WHEN ours THEN created END) AS oc, max(CASE WHEN ours AND g <= d THEN satisfied END) AS os,
+    count(DISTINCT CASE WHEN v <= y AND (g IS NULL OR g > y) THEN charge END) AS t12, count(DISTINCT CASE WHEN v <= y AND (g IS NULL OR g > y) AND NOT ours THEN charge END) AS t12o,
+    count(DISTINCT CASE WHEN rival AND v > y THEN charge END) AS r12, count(DISTINCT CASE WHEN rival AND v > h THEN charge END) AS r6, count(DISTINCT CASE WHEN ours AND g <= d AND g > h THEN charge END) AS s6
+  FROM j GROUP BY 1, 2),
+p AS (SELECT cn, d, lender FROM (SELECT cn, d, lender, row_number() OVER (PARTITION BY cn, d ORDER BY count(DISTINCT charge) DESC, max(created) DESC, lender) AS rn FROM j WHERE o AND lender <> 'unclassified' GROUP BY 1, 2, 3) WHERE rn = 1)
+SELECT a.cn, a.d AS as_of, n_open, n_ours, n_ours > 0 AS is_ours, CASE WHEN n_open > 0 THEN n_ours::DOUBLE / n_open END AS share_ours, n_lenders, n_rivals, datediff('month', oc, a.d)::INTEGER AS months_since_ours, datediff('month', os, a.d)::INTEGER AS months_since_ours_gone,
+  t12 > 0 AND t12o = 0 AND r12 > 0 AS rival_entered_12m, s6 > 0 AS ours_gone_6m, r6 > 0 AS rival_created_6m, ever_ours, p.lender AS main_lender
+FROM a LEFT JOIN p ON p.cn = a.cn AND p.d = a.d""")
+def tf4(t):
+    """AG4 and AG7: distinct charges without a distinct explosion, the main lender by a total order."""
+    return lender_features(charges(t), QUARTERS)
+
+
+def ahead(agg: str, n: int) -> str:
+    return f"{agg} OVER ({W} RANGE BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+
+
+LABELS = f"""SELECT cn, m, CASE WHEN m + 3 <= {END} AND {ahead('count(charges)', 3)} > 0 THEN ({ahead('max(charges)', 3)} > charges)::INT END AS y_lending,
+  CASE WHEN m + 6 <= {END} AND {ahead('count(*)', 6)} > 0 THEN {ahead("max(CASE WHEN status = 'F' THEN 1 ELSE 0 END)", 6)} END::INT AS y_insolvency,
+  CASE WHEN m + 6 <= {END} AND {ahead('count(*)', 6)} > 0 THEN {ahead("max(CASE WHEN status = 'P' THEN 1 ELSE 0 END)", 6)} END::INT AS y_exit,
+  CASE WHEN m + 12 <= {END} AND {ahead('count(*)', 12)} > 0 AND tier IS NOT NULL AND {ahead('max(tier)', 12)} IS NOT NULL THEN ({ahead('max(tier)', 12)} > tier)::INT END AS y_growth,
+  CASE WHEN m + 6 <= {END} AND {ahead('count(*)', 6)} > 0 AND tier IS NOT NULL AND {ahead('max(tier)', 6)} IS NOT NULL THEN ({ahead('max(tier)', 6)} > tier)::INT END AS y_growth_6m FROM panel"""
+
+
+@query("tf5_forward_labels", f"WITH {PANEL} {LABELS}")
+def tf5(t):
+    return forward_labels(panel(t), END)
+
+
+@query("tf6_switching", """WITH e AS (SELECT o_custkey AS cn, o_orderkey AS k, o_orderdate::DATE AS d, o_orderstatus AS s FROM orders)
+SELECT a.cn, a.k, EXISTS (SELECT 1 FROM e b WHERE b.cn = a.cn AND b.s = 'O' AND b.d BETWEEN a.d - INTERVAL 3 MONTH AND a.d + INTERVAL 3 MONTH) AS switched FROM e a WHERE a.s = 'F'""")
+def tf6(t):
+    """An exit with a replacement within three months either way."""
+    o = t.orders.select(F.col("o_custkey").alias("cn"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderstatus").alias("s"))
+    dates = o.filter("s = 'O'").groupBy("cn").agg(F.array_sort(F.collect_set("d")).alias("opened"))
+    j = o.filter("s = 'F'").join(dates, "cn", "left")
+    near = F.exists(F.coalesce("opened", F.array().cast("array<date>")), lambda x: x.between(F.add_months("d", -3), F.add_months("d", 3)))
+    return j.select("cn", "k", near.alias("switched"))
+
+
+@query("tf7_downsampling", f"""WITH {PANEL}, l AS ({LABELS}), r AS (SELECT m, CASE WHEN count(*) FILTER (y_lending = 0) > 0 THEN least(1.0, 3.0 * count(*) FILTER (y_lending = 1) / count(*) FILTER (y_lending = 0)) ELSE 1.0 END::DOUBLE AS keep_rate FROM l WHERE y_lending IS NOT NULL GROUP BY 1)
+SELECT cn, l.m, y_lending AS y, keep_rate FROM l JOIN r ON r.m = l.m WHERE y_lending = 1 OR (y_lending = 0 AND ('0x' || md5(cn::VARCHAR || '|' || l.m::VARCHAR || '|y_lending')[1:8])::BIGINT / 4294967296.0 < keep_rate)""")
+def tf7(t):
+    """A sampling operator: negatives by origin, with the rate at which they were kept."""
+    labels = forward_labels(panel(t), END).select("cn", "m", "y_lending")
+    return downsample(labels, "y_lending", "m", ["cn", "m"], 3.0).select("cn", "m", F.col("y_lending").alias("y"), "keep_rate")
+
+
+@query("tf8_split_with_embargo", f"WITH {PANEL}, o AS (SELECT DISTINCT m FROM panel WHERE m <= {END} - 6 AND m % 2 = 0), t AS (SELECT m FROM o ORDER BY m DESC LIMIT 2) SELECT m, CASE WHEN m IN (SELECT m FROM t) THEN 'test' WHEN m + 6 < (SELECT min(m) FROM t) THEN 'train' ELSE 'embargo' END AS part FROM o")
+def tf8(t):
+    from ..operators.models import origin_split
+
+    origins = sorted(r[0] for r in panel(t).filter((F.col("m") <= END - 6) & (F.col("m") % 2 == 0)).select("m").distinct().collect())  # months only
+    train, test = origin_split(origins, 6)
+    part = F.when(F.col("m").isin(*test), "test").when(F.col("m").isin(*train), "train").otherwise("embargo")
+    return t.spark.createDataFrame([(m,) for m in origins], "m int").select("m", part.alias("part"))
+
+
+@query("tf9_expanding_folds")
+def tf9(t):
+    from ..operators.models import expanding_folds
+
+    origins = sorted(r[0] for r in panel(t).select("m").distinct().collect())  # months only
+    rows = [(k, m, part) for k, fold in enumerate(expanding_folds(origins, 6), 1) for part, months in zip(("train", "validate"), fold, strict=True) for m in months]
+    return t.spark.createDataFrame(rows, "fold int, m int, part string")
+
+
+@query("tf10_event_and_state", f"WITH {PANEL} SELECT a.m, count(b.cn) AS observed, count(*) FILTER (b.status = 'F') AS in_state FROM panel a LEFT JOIN panel b ON b.cn = a.cn AND b.m = a.m + 6 GROUP BY 1")
+def tf10(t):
+    w = Months()
+    later = F.max("status").over(w.w.rangeBetween(6, 6))
+    return panel(t).select("m", later.alias("s")).groupBy("m").agg(F.count("s").alias("observed"), F.count_if(F.col("s") == "F").alias("in_state"))
+
+
+@query("tf11_margin_sweep", f"WITH {CHARGES}, g AS (SELECT least(greatest(datediff('day', created, delivered), -5), 10)::INTEGER AS lag, count(*) AS n FROM charges WHERE delivered IS NOT NULL GROUP BY 1) SELECT lag, n, (sum(n) OVER (ORDER BY lag DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS n_at_least FROM g")
+def tf11(t):
+    """A histogram once, then every margin from its running sum from above."""
+    g = charges(t).filter(F.col("delivered").isNotNull()).select(F.least(F.greatest(F.datediff("delivered", "created"), F.lit(-5)), F.lit(10)).alias("lag")).groupBy("lag").agg(F.count("*").alias("n"))
+    return g.withColumn("n_at_least", F.sum("n").over(Window.orderBy(F.desc("lag")).rowsBetween(Window.unboundedPreceding, 0)))  # 16 rows at most
+
+
+@query("tf12_first_appearance", f"WITH {CHARGES}, f AS (SELECT cn, charge, min({VISIBLE}) AS v, min(created) AS c FROM charges GROUP BY 1, 2), days(d) AS (VALUES {dates_sql(QUARTERS)}) SELECT min_d AS as_of, count(*) AS appeared, count(*) FILTER (min_d > c + 120) AS late FROM (SELECT f.*, (SELECT min(d) FROM days WHERE d >= v) AS min_d FROM f) WHERE min_d IS NOT NULL GROUP BY 1")
+def tf12(t):
+    c = charges(t).withColumn("v", F.date_add(F.greatest("created", F.coalesce("delivered", "created")), 4)).groupBy("cn", "charge").agg(F.min("v").alias("v"), F.min("created").alias("c"))
+    days = F.array(*[F.lit(d) for d in QUARTERS])
+    f = c.withColumn("as_of", F.array_min(F.filter(days, lambda d: d >= F.col("v")))).filter(F.col("as_of").isNotNull())
+    return f.groupBy("as_of").agg(F.count("*").alias("appeared"), F.count_if(F.col("as_of") > F.date_add("c", 120)).alias("late"))
+
+
+@query("tf13_reconciliation", "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS n FROM orders) SELECT count(*) AS pairs, count(*) FILTER (a.n = b.n) AS exact, count(*) FILTER (abs(a.n - b.n) <= 1) AS within_one FROM a JOIN b USING (k)")
+def tf13(t):
+    a = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    b = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("m"))
+    return a.join(b, "k").agg(F.count("*").alias("pairs"), F.count_if(F.col("n") == F.col("m")).alias("exact"), F.count_if(F.abs(F.col("n") - F.col("m")) <= 1).alias("within_one"))
+
+
+@query("tf14_blind_replay", "SELECT 0::BIGINT AS changed")
+def tf14(t):
+    """History cut at a date and rebuilt must give the same rows up to it."""
+    from ..operators.compare import differences
+
+    early = [d for d in QUARTERS if d.year <= 1998]
+    c = charges(t)
+    cut = c.filter(F.col("created") <= F.lit(early[-1]))
+    # what is not known yet at the cut must not be used either
+    cut = cut.withColumn("satisfied", F.when(F.date_add("satisfied", 1) <= F.lit(early[-1]), F.col("satisfied")))
+    whole = lender_features(c, QUARTERS).filter(F.col("as_of") <= F.lit(early[-1]))
+    return differences(whole, lender_features(cut, early)).agg(F.count("*").alias("changed"))
+
+
+@query("tf15_four_feeds", f"WITH {PANEL}, x AS (SELECT *, max(m) OVER (PARTITION BY cn) AS last FROM panel) SELECT 'open' AS feed, count(*) AS n FROM x WHERE m = last AND outstanding > 0 UNION ALL SELECT 'closed', count(*) FROM x WHERE m = last AND status = 'F' UNION ALL SELECT 'overdue', count(*) FROM x WHERE m = last AND overdue UNION ALL SELECT 'top_tier', count(*) FROM x WHERE m = last AND tier = 4")
+def tf15(t):
+    """ST1: populations tagged by name, counted in one pass and then laid out as rows."""
+    x = panel(t).withColumn("last", F.max("m").over(Window.partitionBy("cn"))).filter("m = last")
+    feeds = {"open": F.col("outstanding") > 0, "closed": F.col("status") == "F", "overdue": F.col("overdue"), "top_tier": F.col("tier") == 4}
+    one = x.agg(*[F.count_if(c).alias(k) for k, c in feeds.items()])
+    return one.unpivot([], list(feeds), "feed", "n")
+
+
+@query("tf16_wide_checks", f"WITH {PANEL} SELECT count(*) AS n_rows, count(DISTINCT (cn, m)) AS keys, count(*) FILTER (charges < outstanding) AS impossible, count(*) FILTER (tier IS NULL) AS no_tier, count(*) FILTER (overdue IS NULL) AS not_stated, max(m)::INTEGER AS last FROM panel")
+def tf16(t):
+    p = panel(t)
+    return p.agg(F.count("*").alias("n_rows"), F.count_distinct("cn", "m").alias("keys"), F.count_if(F.col("charges") < F.col("outstanding")).alias("impossible"), F.count_if(F.col("tier").isNull()).alias("no_tier"), F.count_if(F.col("overdue").isNull()).alias("not_stated"), F.max("m").alias("last"))
+
+
+@query("tf17_watermark_gate", f"WITH {PANEL}, w AS (SELECT min(d) AS m FROM (SELECT status, max(m) AS d FROM panel GROUP BY 1)) SELECT DISTINCT panel.m FROM panel, w WHERE panel.m + 3 <= w.m")
+def tf17(t):
+    from ..operators.events import watermark
+
+    p = panel(t)
+    return p.filter(F.col("m") + 3 <= watermark(p, "status", "m").scalar()).select("m").distinct()
+
+
+@query("tf_run_lengths", f"WITH {PANEL}, b AS (SELECT *, lag(segment IGNORE NULLS) OVER ({W}) AS p FROM panel), g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND p IS DISTINCT FROM segment THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS grp FROM b) SELECT segment, count(*) AS runs FROM (SELECT DISTINCT cn, grp, segment FROM g) GROUP BY 1")
+def tf_runs(t):
+    return run_starts(panel(t), ["segment"]).select("cn", "segment_since", "segment").distinct().groupBy("segment").agg(F.count("*").alias("runs"))
