@@ -1 +1,147 @@
-"""To come."""
+"""Modelling and evaluation queries (ML)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.metrics import bootstrap_interval, paired_delta, ranking
+from ..operators.models import fit, importance, linear_contributions, score, top_reasons
+from .registry import query
+from .standins import WIDE, wide
+
+SCORED = "s AS (SELECT o_orderkey AS k, o_custkey AS cn, year(o_orderdate)::INTEGER AS origin, floor(o_totalprice / 5000)::DOUBLE AS p, floor(o_totalprice / 50000)::DOUBLE AS q, CASE WHEN o_orderkey % 17 > 0 THEN (o_orderpriority = '1-URGENT')::INT END AS y FROM orders)"
+
+
+def scored(t):
+    v = F.col("o_totalprice")
+    return t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cn"), F.year("o_orderdate").alias("origin"), F.floor(v / 5000).cast("double").alias("p"), F.floor(v / 50000).cast("double").alias("q"), F.when(F.col("o_orderkey") % 17 > 0, (F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("y"))
+
+
+def metrics_sql(group: str | None) -> str:
+    by, part = (f"{group}, ", f"PARTITION BY {group} ") if group else ("", "")
+    n = 2 if group else 1
+    return f"""WITH {SCORED}, g AS (SELECT {by}p AS s, sum(y)::DOUBLE AS pos, (count(*) - sum(y))::DOUBLE AS neg FROM s WHERE y IS NOT NULL GROUP BY {', '.join(map(str, range(1, n + 1)))}),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER a AS p, sum(neg) OVER a AS n FROM g WINDOW w AS ({part}ORDER BY s DESC ROWS UNBOUNDED PRECEDING), a AS ({part.strip()})),
+k AS (SELECT {by}(max(p) + max(n))::BIGINT AS n, max(p) / (max(p) + max(n)) AS base_rate, sum(pos * (n - fp) + pos * neg / 2) / (max(p) * max(n)) AS roc_auc, sum(pos * tp / (tp + fp)) / max(p) AS pr_auc,
+  CASE WHEN max(p) + max(n) >= 100 THEN sum(pos / (pos + neg) * greatest(0, least(pos + neg, 100 - (tp + fp - pos - neg)))) / 100 END AS precision_100 FROM c {f'GROUP BY {group}' if group else ''})
+SELECT {by}n, base_rate, roc_auc, pr_auc, precision_100, precision_100 / base_rate AS lift_100 FROM k"""
+
+
+@query("ml7_ranking_metrics", metrics_sql(None))
+def ml7(t):
+    return ranking(scored(t), "p", "y")
+
+
+@query("ml8_metrics_by_origin", metrics_sql("origin"))
+def ml8(t):
+    return ranking(scored(t), "p", "y", ["origin"])
+
+
+@query("ml9_bootstrap_interval")
+def ml9(t):
+    """A Poisson bootstrap by hash: no SQL form, tested for coverage of the point estimate."""
+    return bootstrap_interval(scored(t), "p", "y", [F.col("k").cast("string")], 50)
+
+
+@query("ml10_paired_delta")
+def ml10(t):
+    return paired_delta(scored(t), "p", "q", "y", [F.col("k").cast("string")], 50)
+
+
+@query("ml11_cluster_bootstrap")
+def ml11(t):
+    return bootstrap_interval(scored(t), "p", "y", [F.col("cn").cast("string")], 50)
+
+
+@query("ml6_recalibrated", f"WITH {SCORED} SELECT k, ((q + 1) / 12) * 0.1 / (1 - ((q + 1) / 12) + ((q + 1) / 12) * 0.1) AS p FROM s")
+def ml6(t):
+    from ..functions.numbers import recalibrated
+
+    return scored(t).select("k", recalibrated((F.col("q") + 1) / 12, F.lit(0.1)).alias("p"))
+
+
+COEFFICIENTS = {"score": 0.0005, "moves": -0.3}
+REASONS = f"""WITH {WIDE}, x AS (SELECT cn, score, coalesce(moves, 0) AS moves FROM wide), m AS (SELECT sum(score::DECIMAL(18,2))::DOUBLE / count(*) AS a, avg(moves) AS b FROM x),
+c AS (SELECT cn, 'score' AS feature, round(0.0005 * (score - a), 6) AS v FROM x, m UNION ALL SELECT cn, 'moves', round(-0.3 * (moves - b), 6) FROM x, m)"""
+
+
+def contributions(t):
+    x = wide(t).select("cn", "score", F.coalesce("moves", F.lit(0)).alias("moves"))
+    return linear_contributions(x, COEFFICIENTS, "cn").withColumn("contribution", F.round("contribution", 6))
+
+
+@query("ml12_linear_contributions", f"{REASONS} SELECT cn, feature, v AS contribution FROM c")
+def ml12(t):
+    return contributions(t)
+
+
+@query("ml13_importance", f"{REASONS} SELECT feature, round(avg(abs(v)), 6) AS mean_abs, round(avg(v), 6) AS mean FROM c GROUP BY 1")
+def ml13(t):
+    return importance(contributions(t)).withColumns({"mean_abs": F.round("mean_abs", 6), "mean": F.round("mean", 6)})
+
+
+@query("ml14_stratified_sample", f"WITH {SCORED}, r AS (SELECT k, y, row_number() OVER (PARTITION BY y ORDER BY md5(k::VARCHAR), k) AS rn FROM s WHERE y IS NOT NULL) SELECT k, y FROM r WHERE rn <= 50")
+def ml14(t):
+    """A sampling operator: fifty of each class."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("y").orderBy(F.md5(F.col("k").cast("string")), "k")
+    return scored(t).filter("y IS NOT NULL").withColumn("rn", F.row_number().over(w)).filter("rn <= 50").select("k", "y")
+
+
+@query("ml15_direction_agreement", f"{REASONS}, r AS (SELECT feature, corr(v, x.score) AS a, corr(v, x.moves) AS b FROM c JOIN x USING (cn) GROUP BY 1) SELECT feature, CASE feature WHEN 'score' THEN a > 0 ELSE b < 0 END AS agrees FROM r")
+def ml15(t):
+    x = wide(t).select("cn", "score", F.coalesce("moves", F.lit(0)).alias("moves"))
+    j = contributions(t).join(x, "cn")
+    value = F.when(F.col("feature") == "score", F.col("score")).otherwise(F.col("moves"))
+    sign = F.when(F.col("feature") == "score", 1).otherwise(-1)
+    return j.groupBy("feature").agg((F.corr("contribution", value) * F.first(sign) > 0).alias("agrees"))
+
+
+@query("ml16_fit_and_score")
+def ml16(t):
+    """ML1 to ML5: fit on even companies, score all; tested for a sensible ranking."""
+    d = wide(t).select("cn", "sector", "score", "moves", F.coalesce(F.col("flag").cast("double"), F.lit(0.0)).alias("y"))
+    fitted = fit(d.filter("cn % 2 = 0"), ["score", "moves"], ["sector"], "logistic")
+    return score(d, fitted, ["score", "moves"]).select("cn", "y", F.round("p", 6).alias("p"))
+
+
+@query("ml17_shortlist_reasons", f"{REASONS}, t AS (SELECT cn FROM x ORDER BY score DESC, cn LIMIT 50), r AS (SELECT c.*, row_number() OVER (PARTITION BY cn ORDER BY abs(v) DESC, feature) AS rank, abs(v) / sum(abs(v)) OVER (PARTITION BY cn) AS share FROM c) SELECT cn, rank, feature, v AS contribution, share FROM r WHERE cn IN (SELECT cn FROM t)")
+def ml17(t):
+    best = wide(t).orderBy(F.desc("score"), "cn").limit(50).select("cn")
+    return top_reasons(contributions(t).join(F.broadcast(best), "cn", "left_semi"), "cn")  # fifty rows
+
+
+@query("ml18_cut_ties", f"WITH {SCORED}, c AS (SELECT p FROM s ORDER BY p DESC, k LIMIT 1 OFFSET 99) SELECT (SELECT p FROM c) AS cut, count(*) FILTER (p > (SELECT p FROM c)) AS above, count(*) FILTER (p = (SELECT p FROM c)) AS tied FROM s")
+def ml18(t):
+    s = scored(t)
+    cut = s.orderBy(F.desc("p"), "k").offset(99).limit(1).select("p")
+    x = s.crossJoin(F.broadcast(cut.withColumnRenamed("p", "cut")))  # one row
+    return x.groupBy("cut").agg(F.count_if(F.col("p") > F.col("cut")).alias("above"), F.count_if(F.col("p") == F.col("cut")).alias("tied"))
+
+
+RUNS = '{"tag": "a", "metrics": {"lending": {"gbt": 0.87, "logistic": 0.81}, "growth": {"gbt": 0.76}}}', '{"tag": "b", "metrics": {"lending": {"gbt": 0.88}}}'
+
+
+@query("ml19_run_registry", "SELECT * FROM (VALUES ('lending', 'gbt', 0.87, 0.88), ('lending', 'logistic', 0.81, NULL), ('growth', 'gbt', 0.76, NULL)) t(target, model, a, b)".replace("0.87, 0.88", "0.87::DOUBLE, 0.88::DOUBLE"))
+def ml19(t):
+    """Nested run records flattened, then compared side by side."""
+    raw = t.spark.createDataFrame([(r,) for r in RUNS], "raw string").select(F.from_json("raw", "tag string, metrics map<string, map<string, double>>").alias("r"))
+    flat = raw.select("r.tag", F.explode("r.metrics").alias("target", "m")).select("tag", "target", F.explode("m").alias("model", "value"))
+    return flat.groupBy("target", "model").pivot("tag", ["a", "b"]).agg(F.first("value"))
+
+
+@query("ml20_signed_sentiment", "SELECT user_id AS cn, round(avg(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END), 9) AS tone, CASE WHEN avg(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) > 0.05 THEN 'positive' WHEN avg(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) < -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM events GROUP BY 1")
+def ml20(t):
+    """The signing and averaging of a classifier's labels; the classifier itself is a column that the caller brings."""
+    sign = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "purchase", 1).otherwise(0)
+    g = t.events.groupBy(F.col("user_id").alias("cn")).agg(F.avg(sign).alias("a"))
+    return g.select("cn", F.round("a", 9).alias("tone"), F.when(F.col("a") > 0.05, "positive").when(F.col("a") < -0.05, "negative").otherwise("neutral").alias("label"))
+
+
+@query("ml21_importance_ladder", f"{REASONS}, g AS (SELECT feature, avg(abs(v)) AS a, count(*) FILTER (v > 0) AS positive FROM c GROUP BY 1) SELECT feature, row_number() OVER (ORDER BY a DESC, feature) AS position, positive FROM g")
+def ml21(t):
+    from pyspark.sql import Window
+
+    g = contributions(t).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("a"), F.count_if(F.col("contribution") > 0).alias("positive"))
+    return g.select("feature", F.row_number().over(Window.orderBy(F.desc("a"), "feature")).cast("long").alias("position"), "positive")  # one row a feature
