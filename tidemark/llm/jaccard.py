@@ -36,6 +36,8 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _KEPT_WORDS = 200_000
 #: Members of one n-gram's group that meet in one task; larger groups are split into blocks, each pair of blocks a task.
 BLOCK = 50_000
+#: Rows of 24 bytes up to which the classes to be joined are broadcast to the texts.
+BROADCAST_ROWS = 500_000
 #: Probe and partners of one trie come from so many slices of the partners, so that a popular probe is spread.
 SALTS = 8
 
@@ -356,6 +358,9 @@ def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col:
     """cid, members of the classes in pairs, made again from one text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     chosen = marks.join(wanted, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("cid", F.col("x.doc_id").alias("w_id"), F.col("x.text_hash").alias("w_hash"))
+    chosen = written(chosen, "chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)  # so that texts stay where they are; beyond the bound they are shuffled
     t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     found = t.join(chosen, t["doc_id"].eqNullSafe(F.col("w_id")) & (t["text_hash"] == F.col("w_hash"))).select("cid", "text")
 
