@@ -78,10 +78,10 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def parity(hashes: np.ndarray, num: int, den: int) -> bytes:
-    """Parity of the number of members by low hash bits: four to eight places for each difference that is allowed, 64 at
+    """Parity of the number of members by low hash bits: 8 to 16 places for each difference that is allowed, 64 at
     least and 4096 at most (of very long texts the parities tell less, and the trie decides)."""
     allowed = max(1, 2 * len(hashes) * (den - num) // (den + num))
-    places = min(4096, max(64, 1 << (4 * allowed - 1).bit_length()))
+    places = min(4096, max(64, 1 << (16 * allowed - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -358,7 +358,7 @@ def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col:
     """cid, members of the classes in pairs, made again from one text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     chosen = marks.join(wanted, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("cid", F.col("x.doc_id").alias("w_id"), F.col("x.text_hash").alias("w_hash"))
-    chosen = written(chosen, "chosen")
+    chosen = written(chosen, "chosen", 2 * pairs.count())
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)  # so that texts stay where they are; beyond the bound they are shuffled
     t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -376,18 +376,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Links: den * intersection >= num * union."""
     spark = bounded(docs).sparkSession
     marks = written(fingerprints(docs, n, num, den, id_col, text_col), "marks")
+    rows = marks.count()
     classes = marks.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    classes, narrow = written(classes, "classes"), written(marks.select("doc_id", "text_hash", "cid", "size"), "members")
+    classes, narrow = written(classes, "classes", rows), written(marks.select("doc_id", "text_hash", "cid", "size"), "members", rows)
     remove(marks)
-    posts = written(postings(classes, num, den), "postings")
+    release(spark)
+    posts = written(postings(classes, num, den), "postings", rows)
     remove(classes)
     release(spark)
-    pairs = written(candidate_pairs(posts, None, num, den), "pairs")
-    links = written(trie_links(pairs, sets_of(docs, narrow, pairs, n, id_col, text_col), num, den), "links")
+    pairs = written(candidate_pairs(posts, None, num, den), "pairs", rows)
+    links = written(trie_links(pairs, sets_of(docs, narrow, pairs, n, id_col, text_col), num, den), "links", rows)
     release(spark)
     labels = connected_components(links)
-    rest = written(candidate_pairs(posts, labels, num, den), "pairs")
-    more = written(trie_links(rest, sets_of(docs, narrow, rest, n, id_col, text_col), num, den), "links")
+    rest = written(candidate_pairs(posts, labels, num, den), "pairs", rows)
+    more = written(trie_links(rest, sets_of(docs, narrow, rest, n, id_col, text_col), num, den), "links", rows)
     release(spark)
     named = connected_components(links.unionByName(more)).withColumnRenamed("node", "cid")
     grouped = narrow.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))

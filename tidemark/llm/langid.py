@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import bounded, small_batches, texts
 
 NGRAM = 5
 #: Slots of the bit-sliced filter; each holds a 64-bit mask, so at most 64 languages are learned.
@@ -141,14 +142,18 @@ def identify(docs: DataFrame, model: SlicedFilter, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score for every row; with_rows adds the whole input row as the struct `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one mask a slot: 8 MB at most
     own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
-    rows = docs.select(*own, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * with_rows)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = bounded(docs).select(whole) if with_rows else bounded(docs).select(*own)
 
     def work(batches):
         m = shared.value
-        for b in small_batches(batches):
-            lang, score = zip(*(m.decide(t) for t in b.column("text").to_pylist()), strict=True)
-            cols = [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])
+        for b in batches:
+            # a text is sent once: with_rows reads it where it stands in its row
+            fields = b.column("row") if with_rows else None
+            ids = pc.cast(fields.field(id_col), pa.int64()) if with_rows else b.column("doc_id")
+            told = [m.decide(t) for t in pc.cast(fields.field(text_col) if with_rows else b.column("text"), pa.string()).to_pylist()]
+            cols = [ids, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[: int(with_rows)]], ["doc_id", "lang_pred", "score", *["row"][: int(with_rows)]])
 
     more = f", row {rows.schema['row'].dataType.simpleString()}" if with_rows else ""
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double" + more)
