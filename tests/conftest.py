@@ -5,14 +5,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from support import SF
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / 'tests')]
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from tidemark.session import session
@@ -32,16 +30,3 @@ def tables():
     for f in sorted(Path(SF).glob("*.parquet")):
         c.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     return c
-
-
-def normal(v):
-    if isinstance(v, float):
-        return "nan" if v != v else round(v, 6)
-    if isinstance(v, (list, tuple)):
-        return tuple(normal(x) for x in v)
-    return v
-
-
-def rows_of(columns, rows):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)

@@ -1,7 +1,7 @@
 """Every query outside the llm package against its SQL on the smallest tables."""
 
 import pytest
-from conftest import SF, rows_of
+from support import SF, rows_of
 
 from tidemark.plans import catalog
 
