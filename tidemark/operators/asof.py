@@ -75,3 +75,19 @@ def primary(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key under a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key with `nth`. The limit is pushed below the shuffle, so a key with a third of all rows
+    sends n rows a partition."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
+
+
+def near_event(rows: DataFrame, key: str, day: str, event: Column, months: int) -> Column:
+    """Whether an event of the same key lies within so many calendar months of the row, either way. The nearest one on
+    each side decides, so no row is paired with another. Use it in select() on `rows`."""
+    w = Window.partitionBy(key).orderBy(F.unix_date(day))
+    before = F.max(F.when(event, F.col(day))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(event, F.col(day))).over(w.rangeBetween(0, Window.unboundedFollowing))
+    return F.coalesce(before >= F.add_months(day, -months), F.lit(False)) | F.coalesce(after <= F.add_months(day, months), F.lit(False))

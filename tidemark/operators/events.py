@@ -63,7 +63,7 @@ def cross_source_dedup(rows: DataFrame, keys: list[str], source: str, date: str)
 
 def upsert_by(existing: DataFrame, incoming: DataFrame, by: str = "source") -> DataFrame:
     """existing with all rows of the incoming sources replaced."""
-    return existing.join(F.broadcast(incoming.select(by).distinct()), by, "left_anti").unionByName(incoming)
+    return existing.join(incoming.select(by).distinct(), by, "left_anti").unionByName(incoming)
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

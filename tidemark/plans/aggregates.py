@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_avg, exact_sum
-from ..operators.asof import primary
+from ..operators.asof import first_n, primary
 from ..operators.compare import coverage
 from ..operators.events import event_pack, notice_features, watermark
 from ..operators.market import concentration, crosstab_share, group_metric, histogram, quantile_bins, shares
@@ -89,13 +89,14 @@ def ag11(t):
 
 @query("ag12_top5_joined", "SELECT o_custkey AS k, array_to_string(list_sort(list_distinct(list(o_orderkey)))[1:5], '; ') AS first5 FROM orders GROUP BY 1")
 def ag12(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_set("o_orderkey")), 1, 5), lambda x: x.cast("string")), "; ").alias("first5"))
+    o = first_n(t.orders.select("o_custkey", "o_orderkey").distinct(), ["o_custkey"], [F.asc("o_orderkey")], 5)
+    return o.groupBy(F.col("o_custkey").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "; ").alias("first5"))
 
 
 @query("ag13_head5_in_order", "SELECT o_custkey AS k, array_to_string((list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey))[1:5], ' | ') AS newest5 FROM orders GROUP BY 1")
 def ag13(t):
-    items = F.array_sort(F.collect_list(F.struct((-F.unix_date(F.col("o_orderdate").cast("date"))).alias("d"), F.col("o_orderkey").alias("k"))))
-    return t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.array_join(F.transform(F.slice(items, 1, 5), lambda x: x["k"].cast("string")), " | ").alias("newest5"))
+    o = first_n(t.orders, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 5)
+    return o.groupBy(F.col("o_custkey").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), " | ").alias("newest5"))
 
 
 @query("ag14_supplier_rollup", "SELECT l_suppkey AS k, count(DISTINCT l_orderkey) AS orders, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(l_extendedprice) AS mean, max(l_extendedprice) AS largest FROM lineitem GROUP BY 1")

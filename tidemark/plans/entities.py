@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import company_name, postcode
+from ..operators.asof import first_n
 from ..operators.compare import changed_rows, differences
 from ..operators.events import append_new, cross_source_dedup, upsert_by
 from ..operators.matching import best_per_entity, ladder, precision, resolve, similarity, two_tier, unique_candidates
@@ -146,9 +147,8 @@ def ns9(t):
 
 @query("ns10_long_to_wide", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) SELECT user_id AS cn, max(event_id) FILTER (r = 1) AS first, max(event_id) FILTER (r = 2) AS second, max(event_id) FILTER (r = 3) AS third FROM r GROUP BY 1")
 def ns10(t):
-    items = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))), 1, 3)
-    g = t.events.groupBy(F.col("user_id").alias("cn")).agg(items.alias("i"))
-    return g.select("cn", *[F.get("i", F.lit(n))["event_id"].alias(a) for n, a in enumerate(("first", "second", "third"))])
+    e = first_n(t.events, ["user_id"], [F.desc("value"), F.asc("event_id")], 3)
+    return e.groupBy(F.col("user_id").alias("cn")).agg(*[F.max(F.when(F.col("nth") == n, F.col("event_id"))).alias(a) for n, a in enumerate(("first", "second", "third"), 1)])
 
 
 # ---- entity resolution: a register of names with a few that several entities share, and rows to be matched
@@ -245,8 +245,9 @@ def er12(t):
 @query("er13_kept_and_rejected", "WITH v AS (SELECT source, doc_id, contains(lower(text), ' the ') AS ok FROM documents) SELECT source, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS rejected, array_to_string((list(doc_id ORDER BY doc_id) FILTER (ok))[1:3], ', ') AS first3 FROM v GROUP BY 1")
 def er13(t):
     v = t.documents.select("source", "doc_id", F.contains(F.lower("text"), F.lit(" the ")).alias("ok"))
-    first = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("doc_id")))), 1, 3), lambda x: x.cast("string")), ", ")
-    return v.groupBy("source").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"), first.alias("first3"))
+    counts = v.groupBy("source").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
+    some = first_n(v.filter("ok"), ["source"], [F.asc("doc_id")], 3).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ", ").alias("first3"))
+    return counts.join(some, "source", "left")
 
 
 @query("er_similarity", "SELECT p_partkey AS k, 1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type)) AS s FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_sum
+from ..operators.asof import near_event
 from .registry import query
 from .standins import PANEL, panel
 
@@ -42,10 +43,9 @@ def j5(t):
 
 @query("j9_within_months", "SELECT a.o_orderkey AS k FROM orders a WHERE a.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'O' AND b.o_orderdate BETWEEN a.o_orderdate - INTERVAL 3 MONTH AND a.o_orderdate + INTERVAL 3 MONTH)")
 def j9(t):
-    a = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cn"), F.col("o_orderdate").cast("date").alias("d"))
-    b = t.orders.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("cn2"), F.col("o_orderdate").cast("date").alias("d2"))
-    near = (F.col("cn") == F.col("cn2")) & F.col("d2").between(F.add_months("d", -3), F.add_months("d", 3))
-    return a.join(b, near, "left_semi").select("k")
+    """An interval join of existence: the nearest event on each side decides."""
+    o = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cn"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderstatus").alias("s"))
+    return o.withColumn("near", near_event(o, "cn", "d", F.col("s") == "O", 3)).filter("s = 'F' AND near").select("k")
 
 
 @query("j10_range", "SELECT a.o_orderkey AS k, count(*) AS n FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 90 DAY GROUP BY 1")

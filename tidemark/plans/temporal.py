@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.asof import award_features, lender_features, visible_rows
+from ..operators.asof import award_features, lender_features, near_event, visible_rows
 from ..operators.models import downsample
 from ..operators.panel import Months, forward_labels, run_starts
 from .registry import query
@@ -78,10 +78,7 @@ SELECT a.cn, a.k, EXISTS (SELECT 1 FROM e b WHERE b.cn = a.cn AND b.s = 'O' AND
 def tf6(t):
     """An exit with a replacement within three months either way."""
     o = t.orders.select(F.col("o_custkey").alias("cn"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderstatus").alias("s"))
-    dates = o.filter("s = 'O'").groupBy("cn").agg(F.array_sort(F.collect_set("d")).alias("opened"))
-    j = o.filter("s = 'F'").join(dates, "cn", "left")
-    near = F.exists(F.coalesce("opened", F.array().cast("array<date>")), lambda x: x.between(F.add_months("d", -3), F.add_months("d", 3)))
-    return j.select("cn", "k", near.alias("switched"))
+    return o.withColumn("switched", near_event(o, "cn", "d", F.col("s") == "O", 3)).filter("s = 'F'").select("cn", "k", "switched")
 
 
 @query("tf7_downsampling", f"""WITH {PANEL}, l AS ({LABELS}), r AS (SELECT m, CASE WHEN count(*) FILTER (y_lending = 0) > 0 THEN least(1.0, 3.0 * count(*) FILTER (y_lending = 1) / count(*) FILTER (y_lending = 0)) ELSE 1.0 END::DOUBLE AS keep_rate FROM l WHERE y_lending IS NOT NULL GROUP BY 1)
