@@ -38,6 +38,8 @@ _KEPT_WORDS = 200_000
 BLOCK = 50_000
 #: Rows of 24 bytes up to which the classes to be joined are broadcast to the texts.
 BROADCAST_ROWS = 500_000
+#: Parts of the hash space whose n-grams are counted one after the other.
+SLICES = 4
 #: Probe and partners of one trie come from so many slices of the partners, so that a popular probe is spread.
 SALTS = 8
 
@@ -124,20 +126,34 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_
     return t.mapInArrow(work, "doc_id long, text_hash long, cid long, size long, low long, first array<long>, sketch binary")
 
 
-def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """gram, cid, size, place, sketch: the n-grams of each class's prefix that more than one class holds."""
-    held = classes.select("cid", "low", F.posexplode("first").alias("at", "gram")).select("cid", "gram", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("at"))
-    shared = held.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    both = held.join(shared, "gram").withColumn("late", F.col("at").isNotNull().cast("int"))
+def shared_grams(classes: DataFrame, rows: int) -> DataFrame:
+    """gram, cid, at (place by hash, of those beyond the border only), df: the n-grams that more than one class holds.
+
+    The n-grams are taken in SLICES of the hash space, one after the other, so that only a slice's shuffle files are on
+    disk at a time; what stays of each is a small written table."""
+    out = None
+    for k in range(SLICES):
+        held = classes.select("cid", "low", F.posexplode("first").alias("at", "gram")).filter(F.pmod("gram", F.lit(SLICES)) == k)
+        held = held.select("cid", "gram", F.when(F.col("at") >= F.col("low"), F.col("at")).alias("at"))
+        shared = held.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+        part = written(held.join(shared, "gram"), "shared", rows)
+        release(classes.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def postings(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """gram, cid, size, place: the shared n-grams in each class's prefix."""
     # rare ones first; beyond the border the place is that by hash
-    own = both.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("late", F.when(F.col("late") == 0, F.col("df")).alias("df"), F.when(F.col("late") == 1, F.col("at")).alias("at"), "gram"))).alias("grams"))
-    own = own.join(classes.select("cid", "size", "low", "sketch"), "cid")
+    both = shared.withColumn("late", F.col("at").isNotNull().cast("int"))
+    own = both.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("late", F.when(F.col("late") == 0, F.col("df")).alias("df"), "at", "gram"))).alias("grams"))
+    own = own.join(classes.select("cid", "size", "low"), "cid")
     early = F.col("low") - F.size(F.filter("grams", lambda g: g["late"] == 0))
-    each = own.select("cid", "size", "sketch", early.alias("early"), F.posexplode("grams").alias("k", "g"))
+    each = own.select("cid", "size", early.alias("early"), F.posexplode("grams").alias("k", "g"))
     place = F.when(F.col("g.late") == 1, F.col("g.at")).otherwise(F.col("early") + F.col("k")).cast("long")
     wide = F.col("size") - F.ceil(F.col("size") * num / F.lit(den).cast("decimal(20,0)")).cast("long") + 1
-    each = each.select("cid", "size", "sketch", F.col("g.gram").alias("gram"), place.alias("place")).filter(F.col("place") < wide)
-    return each.select("gram", "cid", "size", "place", "sketch")
+    each = each.select("cid", "size", F.col("g.gram").alias("gram"), place.alias("place")).filter(F.col("place") < wide)
+    return each.select("gram", "cid", "size", "place")
 
 
 def _meet(rows: Iterator[pa.RecordBatch], num: int, den: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -257,7 +273,7 @@ def _meet(rows: Iterator[pa.RecordBatch], num: int, den: int, nearest: bool) ->
         yield from solve(joined())
 
 
-def candidate_pairs(posts: DataFrame, labels: DataFrame | None, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def candidate_pairs(posts: DataFrame, sketches: DataFrame, labels: DataFrame | None, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """a, b: distinct pairs of classes to be joined. labels (node, label) names the component of classes that have one;
     without it each class gets its nearest earlier partner only."""
     nearest = labels is None
@@ -267,7 +283,7 @@ def candidate_pairs(posts: DataFrame, labels: DataFrame | None, num: int, den: i
     one = p.filter("blocks = 1").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
     more = p.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     more = more.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
-    met = one.unionByName(more).select("gram", "i", "j", "cid", "comp", "size", "place", "side", "sketch")
+    met = one.unionByName(more).join(sketches, "cid").select("gram", "i", "j", "cid", "comp", "size", "place", "side", "sketch")
     met = met.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size", "cid")
     found = met.mapInArrow(lambda rows: _meet(rows, num, den, nearest), "b long, a long, differ long")
     if nearest:
@@ -381,14 +397,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes, narrow = written(classes, "classes", rows), written(marks.select("doc_id", "text_hash", "cid", "size"), "members", rows)
     remove(marks)
     release(spark)
-    posts = written(postings(classes, num, den), "postings", rows)
+    shared = shared_grams(classes, rows)
+    posts = written(postings(shared, classes, num, den), "postings", rows)
+    sketches = written(classes.select("cid", "sketch").join(posts.select("cid").distinct(), "cid", "left_semi"), "sketches", rows)
     remove(classes)
+    remove(shared)
     release(spark)
-    pairs = written(candidate_pairs(posts, None, num, den), "pairs", rows)
+    pairs = written(candidate_pairs(posts, sketches, None, num, den), "pairs", rows)
     links = written(trie_links(pairs, sets_of(docs, narrow, pairs, n, id_col, text_col), num, den), "links", rows)
     release(spark)
     labels = connected_components(links)
-    rest = written(candidate_pairs(posts, labels, num, den), "pairs", rows)
+    rest = written(candidate_pairs(posts, sketches, labels, num, den), "pairs", rows)
     more = written(trie_links(rest, sets_of(docs, narrow, rest, n, id_col, text_col), num, den), "links", rows)
     release(spark)
     named = connected_components(links.unionByName(more)).withColumnRenamed("node", "cid")
@@ -396,7 +415,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = grouped.join(least, "label").select("cid", "component_id")
     out = narrow.join(by_class, "cid", "left")
-    for old in (posts, pairs, rest, labels):
+    for old in (posts, sketches, pairs, rest, labels):
         remove(old)
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["text_hash"] * with_hash)
 
