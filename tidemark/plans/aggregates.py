@@ -295,3 +295,9 @@ def sl10(t):
     """A sampling operator: five of each cell."""
     w = Window.partitionBy("sector", "region").orderBy(F.md5(F.col("cn").cast("string")), "cn")
     return wide(t).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("sector", "region", "cn")
+
+
+@query("ag15_null_sum", "SELECT l_orderkey AS k, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(18,2) END)::DOUBLE AS returned FROM lineitem GROUP BY 1")
+def ag15(t):
+    """A sum without a value is null, not 0."""
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(exact_sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("returned"))

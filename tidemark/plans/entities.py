@@ -253,3 +253,27 @@ def er13(t):
 @query("er_similarity", "SELECT p_partkey AS k, 1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type)) AS s FROM part")
 def er_similarity(t):
     return t.part.select(F.col("p_partkey").alias("k"), similarity(F.col("p_name"), F.col("p_type")).alias("s"))
+
+
+@query("st1_tagged_union", "SELECT 'customer' AS kind, count(*) AS n, max(c_acctbal) AS most FROM customer UNION ALL SELECT 'supplier', count(*), max(s_acctbal) FROM supplier")
+def st1(t):
+    each = [df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.max(c).alias("most")) for k, df, c in (("customer", t.customer, "c_acctbal"), ("supplier", t.supplier, "s_acctbal"))]
+    return each[0].unionByName(each[1])
+
+
+@query("er6_area_ladder", f"WITH {REGISTER}, {ROWS}, m AS (SELECT nm, substr(pc, 1, 3) AS area, min(cn) AS lo, max(cn) AS hi FROM reg WHERE pc IS NOT NULL GROUP BY 1, 2), a AS (SELECT nm, min(cn) AS lo, max(cn) AS hi FROM reg GROUP BY 1) SELECT id, CASE WHEN m.lo = m.hi THEN m.lo WHEN r.pc IS NULL AND a.lo = a.hi THEN a.lo END AS cn, CASE WHEN m.lo = m.hi THEN 0.8 WHEN r.pc IS NULL AND a.lo = a.hi THEN 0.45 END::DOUBLE AS confidence FROM r LEFT JOIN m ON m.nm = r.nm AND m.area = substr(r.pc, 1, 3) LEFT JOIN a ON a.nm = r.nm")
+def er6(t):
+    """By area of the postcode 0.8, by name alone where no postcode is stated 0.45."""
+    area = F.substring("pc", 1, 3)
+    g = register(t).withColumn("area", area)
+    by_area = unique_candidates(g, ["nm", "area"]).withColumnRenamed("cn", "a_cn")
+    by_name = unique_candidates(g, ["nm"]).withColumnRenamed("cn", "n_cn")
+    x = rows(t).withColumn("area", area).join(by_area, ["nm", "area"], "left").join(by_name, "nm", "left")
+    alone = F.col("pc").isNull() & F.col("n_cn").isNotNull()
+    return x.select("id", F.coalesce("a_cn", F.when(alone, F.col("n_cn"))).alias("cn"), F.when(F.col("a_cn").isNotNull(), 0.8).when(alone, 0.45).alias("confidence"))
+
+
+@query("er9_name_and_area", f"WITH {REGISTER}, {ROWS}, m AS (SELECT nm, substr(pc, 1, 3) AS area, min(cn) AS cn FROM reg WHERE pc IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT cn) = 1) SELECT id, m.cn, CASE WHEN m.cn IS NOT NULL THEN 0.85 END::DOUBLE AS confidence FROM r LEFT JOIN m ON m.nm = r.nm AND m.area = substr(r.pc, 1, 3)")
+def er9(t):
+    area = F.substring("pc", 1, 3)
+    return two_tier(rows(t).withColumn("area", area), register(t).withColumn("area", area), "nm", [("area", 0.85)]).select("id", "cn", "confidence")

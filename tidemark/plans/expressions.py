@@ -417,3 +417,31 @@ def sl1(t):
 @query("ml7_counts_by_score", f"WITH {WIDE} SELECT floor(score / 100)::BIGINT AS s, sum(flag::INT)::DOUBLE AS pos, (count(*) - sum(flag::INT))::DOUBLE AS neg FROM wide WHERE flag IS NOT NULL GROUP BY 1")
 def ml7_counts(t):
     return by_score(wide(t).select(F.floor(F.col("score") / 100).alias("s"), F.col("flag").cast("int").alias("y")), "s", "y")
+
+
+@query("pj15_family_fill", f"SELECT c_custkey AS k, coalesce(n, 0)::BIGINT AS n_total, coalesce(n > 1, FALSE) AS is_many, CASE WHEN n IS NULL THEN 'no_notice' ELSE 'open' END AS stage, last AS last_date, (DATE '1995-06-01' - last)::INTEGER AS days_since FROM customer LEFT JOIN {SPARSE} ON c_custkey = c")
+def pj15(t):
+    """By family of names: counts 0, flags false, stages 'no_notice'; dates and days since stay null."""
+    s = t.orders.filter(F.col("o_orderdate") < "1995-06-01").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_total"), F.max("o_orderdate").cast("date").alias("last_date"))
+    s = s.withColumns({"is_many": F.col("n_total") > 1, "stage": F.lit("open"), "days_since": F.datediff(F.lit("1995-06-01").cast("date"), "last_date")})
+    fills = {c: 0 if c.startswith("n_") else False if c.startswith("is_") else "no_notice" for c in s.columns if c.startswith(("n_", "is_")) or c == "stage"}
+    return t.customer.select("c_custkey").join(s, "c_custkey", "left").na.fill(fills).select(F.col("c_custkey").alias("k"), "n_total", "is_many", "stage", "last_date", "days_since")
+
+
+@query("pr7_registry", f"WITH {WIDE} SELECT 'sector' AS key, count(*) AS n FROM wide WHERE sector IN ('BUILDING') UNION ALL SELECT 'flag', count(*) FROM wide WHERE flag IS TRUE UNION ALL SELECT 'score', count(*) FROM wide WHERE score >= 0 UNION ALL SELECT 'band', count(*) FROM wide WHERE score >= 5000")
+def pr7(t):
+    """Every filter of a registry on its own, counted in one scan."""
+    asked = {"sector": "BUILDING", "flag": "yes", "score": (0, None), "band": "high"}
+    one = wide(t).agg(*[F.count_if(where(filters(), {k: v})).alias(k) for k, v in asked.items()])
+    return one.unpivot([], list(asked), "key", "n")
+
+
+@query("sl2_clamped_page", f"WITH {WIDE} SELECT cn FROM wide ORDER BY score ASC NULLS LAST, cn LIMIT 500")
+def sl2(t):
+    """A limit beyond the most allowed, and an offset below 0."""
+    return page(wide(t), "score", False, "cn", ["score"], 10_000, -5).select("cn")
+
+
+@query("sl5_shortest_first", f"WITH {WIDE} SELECT cn, name FROM wide WHERE sector = 'BUILDING' ORDER BY length(name), name, cn LIMIT 30")
+def sl5(t):
+    return wide(t).filter("sector = 'BUILDING'").orderBy(F.length("name"), "name", "cn").limit(30).select("cn", "name")

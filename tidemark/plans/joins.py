@@ -168,3 +168,25 @@ def j_revenue(t):
 @query("j_value_of_first_orders", "SELECT c_mktsegment AS sector, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def j_value(t):
     return t.orders.select("o_custkey", "o_totalprice").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").groupBy(F.col("c_mktsegment").alias("sector")).agg(exact_sum(F.col("o_totalprice")).alias("v"))
+
+
+@query("j3_in_subquery", "SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1")
+def j3(t):
+    rich = t.supplier.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return t.lineitem.join(rich, "l_suppkey", "left_semi").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("j6_key_and_month", f"WITH {PANEL} SELECT c_custkey AS cn, m, charges FROM customer LEFT JOIN panel ON panel.cn = c_custkey AND m = 23970")
+def j6(t):
+    return t.customer.select(F.col("c_custkey").alias("cn")).join(panel(t).filter("m = 23970").select("cn", "m", "charges"), "cn", "left")
+
+
+@query("j22_block_join", "WITH a AS (SELECT s_suppkey AS id, s_name AS nm, s_nationkey AS block FROM supplier), b AS (SELECT c_custkey AS cn, replace(c_name, 'Customer', 'Supplier') AS nm, c_nationkey AS block FROM customer) SELECT id, cn, s FROM (SELECT id, cn, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, cn) AS rn FROM (SELECT id, cn, 1 - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) AS s FROM a JOIN b USING (block)) WHERE s >= 0.9) WHERE rn = 1")
+def j22(t):
+    """The nearest name of the same block: an equi-join on the block, then a maximum, never a product of the tables."""
+    from ..operators.matching import similarity
+
+    a = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("x"), F.col("s_nationkey").alias("block"))
+    b = t.customer.select(F.col("c_custkey").alias("cn"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("y"), F.col("c_nationkey").alias("block"))
+    j = a.join(b, "block").withColumn("s", similarity(F.col("x"), F.col("y"))).filter("s >= 0.9")
+    return j.groupBy("id").agg(F.min_by(F.struct("cn", "s"), F.struct(-F.col("s"), "cn")).alias("m")).select("id", "m.cn", "m.s")

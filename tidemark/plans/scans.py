@@ -168,3 +168,30 @@ def sk9(t):
     path = fresh(t.spark, "sk9")
     sinks.record(t.orders.agg(F.lit("run").alias("tag"), F.count("*").alias("n")), path)
     return t.spark.read.schema("tag string, n bigint").json(path)
+
+
+@query("sc3_filtered_scan", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def sc3(t):
+    """What a chunked reader filters chunk by chunk is a lazy scan with a filter pushed to it."""
+    path = fresh(t.spark, "sc3")
+    t.customer.select(*CUSTOMER_COLUMNS).write.option("header", True).csv(path)
+    return readers.csv(t.spark, path, CUSTOMER_COLUMNS).filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+
+
+@query("sk1_dynamic_overwrite", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS version FROM orders")
+def sk1(t):
+    """A second write of one partition leaves the others as they are."""
+    path = fresh(t.spark, "sk1")
+    o = t.orders.select("o_orderkey", "o_orderstatus")
+    sinks.partitioned(o.withColumn("version", F.lit(1)), path, ["o_orderstatus"])
+    sinks.partitioned(o.filter("o_orderstatus = 'F'").withColumn("version", F.lit(0)), path, ["o_orderstatus"])
+    return t.spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "version")
+
+
+@query("sk7_temporary_table", "SELECT o_custkey AS cn, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
+def sk7(t):
+    """A table kept for several uses: written once, then read under a name."""
+    path = fresh(t.spark, "sk7")
+    t.orders.groupBy(F.col("o_custkey").alias("cn")).agg(F.count("*").alias("n")).write.parquet(path)
+    t.spark.read.parquet(path).createOrReplaceTempView("tm_counts")
+    return t.spark.sql("SELECT cn, n FROM tm_counts WHERE n > 12")

@@ -177,3 +177,9 @@ def tf17(t):
 @query("tf_run_lengths", f"WITH {PANEL}, b AS (SELECT *, lag(segment IGNORE NULLS) OVER ({W}) AS p FROM panel), g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND p IS DISTINCT FROM segment THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS grp FROM b) SELECT segment, count(*) AS runs FROM (SELECT DISTINCT cn, grp, segment FROM g) GROUP BY 1")
 def tf_runs(t):
     return run_starts(panel(t), ["segment"]).select("cn", "segment_since", "segment").distinct().groupBy("segment").agg(F.count("*").alias("runs"))
+
+
+@query("j8_month_end_as_of", f"WITH {AWARDS}, days(e) AS (VALUES {dates_sql(HALVES)}) SELECT cn, e AS as_of, count(DISTINCT contract) AS contracts FROM days JOIN awards ON published <= e GROUP BY 1, 2")
+def j8(t):
+    first = awards(t).groupBy("cn", "contract").agg(F.min("published").alias("published"))  # seen from its first line on
+    return visible_rows(first, HALVES, F.col("published")).groupBy("cn", "as_of").agg(F.count("*").alias("contracts"))
