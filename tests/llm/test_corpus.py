@@ -166,7 +166,12 @@ def test_pipeline(spark, docs, empty):
     assert kept["substring dedup"] == {(i, v) for (i, t), v in clean.items() if v == t or v.split()}
     packed = c.run(spark, SF)
     assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in kept["PII"]}
-    assert c.identify_language(spark, docs, SF).columns == docs.columns
+    odd = docs  # nulls, repeated rows, other columns under the operators' own names
+    for _, stage in c.STAGES[:-1]:
+        odd = written(stage(spark, odd, SF), "t")
+        assert odd.columns == docs.columns
+    assert {None, 1, 2, 8, 9} <= {r["doc_id"] for r in odd.collect()}
+    assert c.pack_sequences(spark, odd, SF).count() >= odd.count()
     nothing = empty
     for _, stage in c.STAGES:
         nothing = written(stage(spark, nothing, SF), "t")
