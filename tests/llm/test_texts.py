@@ -377,9 +377,9 @@ def test_quality_query(spark, docs, empty):
 
 def test_quality_depletes_boilerplate(spark):
     line = "cookies are used on this site, and by going on you agree to all of that and to some more things besides"
-    rows = [(i, f"{line}\nown {i}", "h") for i in range(8)] + [(50, f"{line}\n" + " ".join(f"w{k}" for k in range(60)), "h"), (60, f"{line}\nother", "g")] + [(70 + i, " ".join(f"c{k}" for k in range(30)), "h") for i in range(9)]
+    rows = [(i, f"{line}\nown {chr(97 + i)}", "h") for i in range(8)] + [(50, f"{line}\n" + " ".join(f"w{k}" for k in range(60)), "h"), (60, f"{line}\nother", "g")] + [(70 + i, " ".join(f"c{k}" for k in range(30)), "h") for i in range(9)]
     got = {g["doc_id"]: (g["n_heavy_words"], g["kept"]) for g in by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), line_limit=5))}
-    assert got[0] == (21, False) and got[50] == (21, True) and got[60] == (0, True)
+    assert got[0] == (22, False) and got[50] == (22, True) and got[60] == (0, True)
     assert got[70] == (0, True)  # copies of one text are one text
 
 
