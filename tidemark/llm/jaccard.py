@@ -35,7 +35,7 @@ from .components import connected_components
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _KEPT_WORDS = 200_000
 #: Members of one n-gram's group that meet in one task; larger groups are split into blocks, each pair of blocks a task.
-BLOCK = 50_000
+BLOCK = 20_000
 #: Rows of 24 bytes up to which the classes to be joined are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 #: Parts of the hash space whose n-grams are counted one after the other.
