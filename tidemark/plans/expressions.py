@@ -217,7 +217,7 @@ SEGMENTS = {"BUILDING": "Large", "MACHINERY": "Medium", "HOUSEHOLD": "Small"}
 @query("pj4_dictionary", "SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 'Large' WHEN 'MACHINERY' THEN 'Medium' WHEN 'HOUSEHOLD' THEN 'Small' END AS segment FROM customer")
 def pj4(t):
     lookup = F.create_map(*[F.lit(x) for kv in SEGMENTS.items() for x in kv])
-    return t.customer.select(F.col("c_custkey").alias("k"), F.get(F.array(lookup), F.lit(0))[F.col("c_mktsegment")].alias("segment"))
+    return t.customer.select(F.col("c_custkey").alias("k"), lookup[F.col("c_mktsegment")].alias("segment"))
 
 
 @query("pj5_lifecycle", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'Trading' WHEN 'P' THEN 'Fading' ELSE 'Unknown' END AS life FROM orders")
