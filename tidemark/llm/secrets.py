@@ -58,7 +58,7 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-_SPAN = "kind string, start long, end long, value_hash long, random boolean"
+_SPAN = "struct<kind:string,start:long,end:long,value_hash:long,random:boolean>"
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source") -> DataFrame:
@@ -76,7 +76,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_hash", pa.int64()), ("random", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_owner"), b.column("_repo"), pa.array(spans, kind)], ["doc_id", "owner", "repo", "spans"])
 
-    return own.mapInArrow(work, f"doc_id long, owner string, repo string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
+    return own.mapInArrow(work, f"doc_id long, owner string, repo string, spans array<{_SPAN}>")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
