@@ -125,9 +125,9 @@ def ag19(t):
     return g.filter("n > 6 AND d > 1").select("k", "n")
 
 
-@query("ag20_quantiles", "SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders GROUP BY 1")
+@query("ag20_quantiles", "SELECT o_orderpriority AS p, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders GROUP BY 1")
 def ag20(t):
-    return t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(*[F.percentile("o_totalprice", q).alias(n) for n, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))])
+    return t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(*[F.round(F.percentile("o_totalprice", q), 6).alias(n) for n, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))])
 
 
 @query("ag21_histogram", "SELECT least(floor(o_totalprice / 20000), 15)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1")

@@ -180,10 +180,10 @@ def fn24(t):
 P = "(o_orderkey % 97 + 1) / 100.0"
 
 
-@query("fn25_odds", f"SELECT o_orderkey AS k, ({P})::DOUBLE / (1 - ({P})::DOUBLE) AS odds, ln(({P})::DOUBLE / (1 - ({P})::DOUBLE)) AS log_odds FROM orders")
+@query("fn25_odds", f"SELECT o_orderkey AS k, ({P})::DOUBLE / (1 - ({P})::DOUBLE) AS odds, round(ln(({P})::DOUBLE / (1 - ({P})::DOUBLE)), 9) AS log_odds FROM orders")
 def fn25(t):
     p = (F.col("o_orderkey") % 97 + 1) / F.lit(100.0)
-    return t.orders.select(F.col("o_orderkey").alias("k"), numbers.odds(p).alias("odds"), F.log(numbers.odds(p)).alias("log_odds"))
+    return t.orders.select(F.col("o_orderkey").alias("k"), numbers.odds(p).alias("odds"), F.round(F.log(numbers.odds(p)), 9).alias("log_odds"))
 
 
 @query("fn26_recalibrate", f"SELECT o_orderkey AS k, ({P})::DOUBLE * 0.1 / (1 - ({P})::DOUBLE + ({P})::DOUBLE * 0.1) AS p FROM orders")
