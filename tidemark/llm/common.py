@@ -26,14 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, rows: int | None = None, a_file: int = 5_000) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, a_file: int = 20_000, least: int = 8) -> DataFrame:
     """Write df as Parquet in the shared folder and read it: a cut in the lineage that outlives executors.
 
-    With rows, a bound of what is written, there are about rows / a_file files (8 at least, or fewer partitions): small
+    With rows, a bound of what is written, there are about rows / a_file files (`least` at least, or fewer partitions): small
     tables between rounds are not scattered over as many files as the last shuffle had partitions."""
     path = scratch(df.sparkSession, name)
     if rows is not None:
-        df = df.coalesce(max(8, rows // a_file))
+        df = df.coalesce(max(least, rows // a_file))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
