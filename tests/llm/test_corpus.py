@@ -85,6 +85,15 @@ def test_jaccard_edge_rows(spark, docs, empty):
     assert jaccard.one_of_each_group(empty).count() == 0
 
 
+def test_each_group_keeps_a_document(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(12))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2).upper()), (None, ""), (None, None)]
+    rows += [(7, text(3)), (7, text(4)), (7, " "), (8, text(5)), (None, text(5)), (9, text(3))]
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (None, ""), (None, ""), (7, text(3)), (7, text(4)), (7, " "), (8, text(5))]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300) * 7919 % 1009, r.randrange(300) * 7919 % 1009) for _ in range(200)] + [(5000 + i, 5001 + i) for i in range(40)]

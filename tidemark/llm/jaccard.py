@@ -388,8 +388,8 @@ def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and, if asked for, text_hash (xxhash64 of the text); one row per input row.
-    Links: den * intersection >= num * union."""
+    """doc_id, n_shingles, component_id and, if asked for, text_hash (xxhash64 of the text) and label (of the group, whatever
+    its ids; null without a word); one row per input row. Links: den * intersection >= num * union."""
     spark = bounded(docs).sparkSession
     marks = written(fingerprints(docs, n, num, den, id_col, text_col), "marks")
     rows = marks.count()
@@ -413,19 +413,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     named = connected_components(links.unionByName(more)).withColumnRenamed("node", "cid")
     grouped = narrow.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = grouped.join(least, "label").select("cid", "component_id")
+    by_class = grouped.join(least, "label").select("cid", "component_id", "label")
     out = narrow.join(by_class, "cid", "left")
     for old in (posts, sketches, pairs, rest, labels):
         remove(old)
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["text_hash"] * with_hash)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["text_hash", "label"] * with_hash)
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay when each near-duplicate group keeps the document of smallest id. Rows equal in id and
     text are one document; rows of one id in one group keep the smallest text hash; a null id stays unless its group has
-    another. Texts without a word are in no group."""
-    named = near_duplicates(docs, n, num, den, id_col, text_col, True).filter("doc_id <=> component_id")
-    stay = named.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
+    another. Groups are told apart by label, as ids may be null or stand in several groups. Texts without a word are in no
+    group, and each stays."""
+    named = near_duplicates(docs, n, num, den, id_col, text_col, True)
+    alone = [F.when(F.col("label").isNull(), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")]
+    best = named.groupBy("label", *alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    stay = best.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_key": F.col(f"`{id_col}`").cast("long"), "_text_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
     kept = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["_key", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
