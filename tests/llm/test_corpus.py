@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from support import SF
 
@@ -70,6 +71,49 @@ def test_trie_finds_all_links():
             assert set(jaccard.Trie(ordered).links(probe, num, 100)) == want
 
 
+def edited_copies(n, size):
+    """A set and n copies with one member changed each, as the trie orders them."""
+    base = np.arange(10, 10 * size + 10, 10).astype(np.uint64)
+    copies = []
+    for k in range(n):
+        s = base.copy()
+        s[k % size] += np.uint64(1 + k // size)
+        copies.append((k, s))
+    return base, sorted(copies, key=lambda x: x[1].byteswap().tobytes())
+
+
+def test_trie_of_many_edited_copies():
+    base, copies = edited_copies(3000, 1500)
+    assert sorted(jaccard.Trie(copies).links(base, 90, 100)) == list(range(3000))
+
+
+def test_walk_bounds_its_tries(monkeypatch):
+    base, copies = edited_copies(2500, 400)
+    rows = [(1, 0, None, base.tobytes()), *((1, 0, k, s.tobytes()) for k, s in copies), (2, 0, None, base.tobytes()), (2, 0, 7, base[:100].tobytes())]
+    a, salt, b, members = (list(c) for c in zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int64()), pa.array(b, pa.int64()), pa.array(members, pa.binary())], ["a", "salt", "b", "members"])
+    held, build = [], jaccard.Trie.__init__
+
+    def init(self, sets):
+        held.append((len(sets), sum(s.nbytes for _, s in sets)))
+        build(self, sets)
+
+    monkeypatch.setattr(jaccard.Trie, "__init__", init)
+    for most in (16 << 20, 100_000):
+        monkeypatch.setattr(jaccard, "TRIE_BYTES", most)
+        held.clear()
+        got = [x for out in jaccard._walk(iter([batch.slice(0, 700), batch.slice(700)]), 90, 100) for x in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+        assert sorted(got) == [(1, k) for k in range(2500)]
+        assert all(n <= jaccard.TRIE_SETS and size <= most for n, size in held)
+
+
+def test_popular_probes_get_more_slices(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    rows = near_copies(bases=3, copies=40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}
+    assert got == plain_groups(rows, 3, 90)
+
+
 def test_jaccard_edge_rows(spark, docs, empty):
     got = jaccard.near_duplicates(docs, 3, 90, 100).collect()
     assert len(got) == docs.count()

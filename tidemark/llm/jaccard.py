@@ -42,6 +42,10 @@ BROADCAST_ROWS = 500_000
 SLICES = 4
 #: Probe and partners of one trie come from so many slices of the partners, so that a popular probe is spread.
 SALTS = 8
+#: A probe with more than SALTS times so many partners gets a slice for about each so many.
+PARTNERS = 256
+#: A trie takes no more partners than this, nor more bytes of their sets (one partner at least).
+TRIE_SETS, TRIE_BYTES = 1024, 16 << 20
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -298,24 +302,28 @@ class Trie:
 
     __slots__ = ("run", "children", "ends", "least", "most")
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]], depth: int = 0):
-        """sets: sorted as sequences, equal up to depth."""
-        first, last = sets[0][1], sets[-1][1]
-        n = min(len(first), len(last))
-        differ = np.nonzero(first[depth:n] != last[depth:n])[0]
-        shared = depth + int(differ[0]) if len(differ) else n
-        shared = min(shared, min(len(s) for _, s in sets))
-        self.run = first[depth:shared]
-        self.ends = [k for k, s in sets if len(s) == shared]
-        rest = [x for x in sets if len(x[1]) > shared]
-        self.least, self.most = min(len(s) for _, s in sets), max(len(s) for _, s in sets)
-        self.children, at = [], 0
-        while at < len(rest):
-            to = at
-            while to < len(rest) and rest[to][1][shared] == rest[at][1][shared]:
-                to += 1
-            self.children.append(Trie(rest[at:to], shared))
-            at = to
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        """sets: sorted as sequences. Built with a stack of its own: one branching a member would go too deep for calls."""
+        todo = [(self, sets, 0)]
+        while todo:
+            node, own, depth = todo.pop()
+            first, last = own[0][1], own[-1][1]
+            n = min(len(first), len(last))
+            differ = np.nonzero(first[depth:n] != last[depth:n])[0]
+            node.least, node.most = min(len(s) for _, s in own), max(len(s) for _, s in own)
+            shared = min(depth + int(differ[0]) if len(differ) else n, node.least)
+            node.run = first[depth:shared]
+            node.ends = [k for k, s in own if len(s) == shared]
+            rest = [x for x in own if len(x[1]) > shared]
+            node.children, at = [], 0
+            while at < len(rest):
+                to = at
+                while to < len(rest) and rest[to][1][shared] == rest[at][1][shared]:
+                    to += 1
+                child = Trie.__new__(Trie)
+                node.children.append(child)
+                todo.append((child, rest[at:to], shared))
+                at = to
 
     def links(self, probe: np.ndarray, num: int, den: int) -> list[int]:
         """The sets that the probe links with: one walk, the overlap carried along."""
@@ -337,8 +345,10 @@ class Trie:
 
 
 def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, salt, b with the probe's own set first (b null)."""
+    """Rows sorted by a, salt, b with the probe's own set first (b null). Each partner's link depends on the probe alone, so
+    many partners go through several tries."""
     probe = key = None
+    held = 0
     partners: list[tuple[int, np.ndarray]] = []
 
     def done():
@@ -353,17 +363,28 @@ def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.Rec
             s = np.frombuffer(members, np.uint64)
             if (a, salt) != key:
                 yield from done()
-                probe, key, partners = None, (a, salt), []
+                probe, key, partners, held = None, (a, salt), [], 0
             if b is None:
                 probe = s
-            else:
-                partners.append((b, s))
+                continue
+            if partners and (len(partners) >= TRIE_SETS or held + len(members) > TRIE_BYTES):
+                yield from done()
+                partners, held = [], 0
+            partners.append((b, s))
+            held += len(members)
     yield from done()
 
 
 def trie_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that link. sets: cid, members."""
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    popular = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("long").alias("slices"))
+    popular = written(popular, "popular", 0)
+    few = popular.count()
+    slices = F.lit(SALTS).cast("long")
+    if few:
+        pairs = pairs.join(F.broadcast(popular) if few <= BROADCAST_ROWS else popular, "a", "left")
+        slices = F.coalesce("slices", slices)
+    p = pairs.select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("salt"))
     partners = p.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "members")
     probes = p.select("a", "salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
     both = partners.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
