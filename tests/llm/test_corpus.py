@@ -193,6 +193,39 @@ def test_passage_is_removed_once(spark, docs):
     assert "quick brown fox" not in out[2]["text"] and out[2]["text"].startswith("Another beginning") and out[2]["text"].endswith("its own way.")
 
 
+def test_ends_of_passages_go(spark, tmp_path):
+    r = random.Random(5)
+    sentence = lambda k: " ".join(f"w{r.randrange(10**9)}" for _ in range(k)) + ". "
+    shapes = [[40, 22], [30, 3], [9, 9, 4], [12, 5, 7, 1], [16, 1], [3, 14], [25, 2, 2], [10, 10, 10, 15]]
+    rows, own = [], {}
+    for k, shape in enumerate(shapes):
+        passage = "".join(map(sentence, shape))
+        for i in (2 * k, 2 * k + 1):
+            own[i] = (sentence(13), sentence(11), passage)
+            rows.append((i, own[i][0] + passage + own[i][1]))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in substrings.op8_sentence_spans(spark, str(tmp_path)).collect()}
+    for i, (before, after, passage) in own.items():
+        assert got[i]["text"] == (before + after if i % 2 else before + passage + after)
+        assert got[i]["words_removed"] == (i % 2) * len(passage.split())
+
+
+def test_spans_from_both_sides():
+    r = random.Random(6)
+    for _ in range(300):
+        sizes = [r.choice((0, 1, 3, 8, 15, 16, 23, 24, 30)) for _ in range(r.randrange(1, 12))]
+        pieces, total = [" ".join(["x"] * k) for k in sizes], lambda a, b: sum(sizes[a:b])  # noqa: B023
+        want = set()
+        for k, n in enumerate(sizes):
+            if n >= 24:
+                want.add((k, k + 1))
+            elif n:
+                want.update([(k, e) for e in range(k + 2, len(sizes) + 1) if total(k, e) >= 16][:1])
+                want.update([(a, k + 1) for a in range(k - 1, -1, -1) if total(a, k + 1) >= 16][:1])
+        first, length, _ = substrings.spans(pieces, ends=True)
+        assert list(zip(first.tolist(), (first + length).tolist(), strict=True)) == sorted(want)
+
+
 def test_sentences_make_up_the_text():
     for t in ("", "a", "A. B! C? D", "x\n\ny  z. \n", "3.14 is pi. \"Yes.\" ok", " . . ."):
         assert "".join(substrings.sentences(t)) == t

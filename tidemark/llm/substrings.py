@@ -4,7 +4,8 @@ A span is a run of consecutive sentences, from each sentence on the fewest that
 sentence of `long_sentence` words is a span by itself. Every span is hashed (words in lower case, runs of space as one),
 the hashes are joined over the whole corpus, and each sentence that a span covers is removed unless the span is the first
 of its kind: that of the smallest doc_id, then text hash, then place. A span's end follows from its own words, so a
-passage gives the same spans wherever it stands.
+passage gives the same spans wherever it stands. With `ends`, so do the fewest sentences that end at each sentence, which
+reach a passage's last sentence whatever the sizes.
 
 Null texts stay null, empty texts empty. Rows that are equal in id and text are one document and keep the same
 sentences. A null id counts as smallest. Text that is removed goes with the space after it; the rest stays as it is.
@@ -26,6 +27,8 @@ LEAST_WORDS = 16
 LONG_SENTENCE = 24
 #: A repeated span's first place is told to so many slices of its places.
 SALTS = 8
+#: Parts of the hash space whose spans are joined one after the other.
+SLICES = 4
 
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -41,8 +44,8 @@ def sentences(text: str) -> list[str]:
     return [*out, text[at:]] if at < len(text) else out
 
 
-def spans(pieces: list[str], least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentences, hash) of each span."""
+def spans(pieces: list[str], least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE, ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentences, hash) of each span, in order. ends: also the spans found from their last sentence."""
     words = [p.split() for p in pieces]
     n = np.array([len(w) for w in words], np.int64)
     h = np.array([xxhash.xxh3_64_intdigest(" ".join(w).lower().encode("utf-8")) for w in words], np.uint64)
@@ -60,12 +63,18 @@ def spans(pieces: list[str], least_words: int = LEAST_WORDS, long_sentence: int
     end = np.where(n >= long_sentence, first + 1, end)
     ok = (end <= m) & (n > 0)
     first, end = first[ok], end[ok]
+    if ends:
+        last = np.arange(1, m + 1)
+        start = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, last - 2)
+        start = np.where(n >= long_sentence, last - 1, start)
+        ok = (start >= 0) & (n > 0)
+        first, end = np.unique(np.stack([np.append(first, start[ok]), np.append(end, last[ok])]), axis=1)
     value = (sums[end] - sums[first]) * inverse[first]
     value = (value ^ (value >> np.uint64(31)) ^ (end - first).astype(np.uint64)) * _M
     return first, end - first, value ^ (value >> np.uint64(29))
 
 
-def mark(docs: DataFrame, id_col: str, text_col: str, least_words: int, long_sentence: int) -> DataFrame:
+def mark(docs: DataFrame, id_col: str, text_col: str, least_words: int, long_sentence: int, ends: bool = False) -> DataFrame:
     """doc_id, text_hash, n_sentences, hashes, lengths, skips: the spans of each text, in order; skips counts the
     sentences between a span's first one and that of the span before it."""
 
@@ -75,12 +84,12 @@ def mark(docs: DataFrame, id_col: str, text_col: str, least_words: int, long_sen
             for text in b.column("text").to_pylist():
                 pieces = sentences(text or "")
                 count.append(len(pieces))
-                first, length, value = spans(pieces, least_words, long_sentence) if pieces else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+                first, length, value = spans(pieces, least_words, long_sentence, ends) if pieces else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
                 hashes.append(value.view(np.int64))
                 lengths.append(length.astype(np.int32))
                 skips.append(np.diff(first, prepend=0).astype(np.int32))
-            ends = pa.array(np.cumsum([0, *map(len, hashes)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (hashes, lengths, skips)]
+            bounds = pa.array(np.cumsum([0, *map(len, hashes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in (hashes, lengths, skips)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(count, pa.int32()), *lists], ["doc_id", "text_hash", "n_sentences", "hashes", "lengths", "skips"])
 
     t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -88,19 +97,26 @@ def mark(docs: DataFrame, id_col: str, text_col: str, least_words: int, long_sen
 
 
 def repeated(marks: DataFrame) -> DataFrame:
-    """doc_id, text_hash, covered array<struct<k, length>>: the spans (by number) that are not the first of their kind."""
-    places = marks.select("doc_id", "text_hash", F.posexplode("hashes").alias("k", "span"))
-    first = places.groupBy("span").agg(F.min(F.struct("doc_id", "text_hash", "k")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("span", "f")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))).join(first, ["span", "salt"])
-    later = met.filter(~(F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & F.col("f.text_hash").eqNullSafe(F.col("text_hash")) & (F.col("f.k") == F.col("k"))))
-    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("k")).alias("covered"))
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
+    """doc_id, text_hash, covered array<k>: the spans (by number) that are not the first of their kind.
+
+    The spans are taken in SLICES of the hash space, so that only a slice's shuffle files are on disk at a time."""
+    out = None
+    for part in range(SLICES):
+        places = marks.select("doc_id", "text_hash", F.posexplode("hashes").alias("k", "span")).filter(F.pmod("span", F.lit(SLICES)) == part)
+        first = places.groupBy("span").agg(F.min(F.struct("doc_id", "text_hash", "k")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("span", "f")
+        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))).join(first, ["span", "salt"])
+        later = met.filter(~(F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & F.col("f.text_hash").eqNullSafe(F.col("text_hash")) & (F.col("f.k") == F.col("k"))))
+        later = written(later.select("doc_id", "text_hash", "k"), "later")
+        release(marks.sparkSession)
+        out = later if out is None else out.unionByName(later)
+    return out.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("k")).alias("covered"))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE, ends: bool = False) -> DataFrame:
     """The rows with text_col cleaned, and n_sentences, n_removed, words_removed beside the other columns (which keep
     their names; a column of one of these three names is replaced)."""
-    marks = written(mark(docs, id_col, text_col, least_words, long_sentence), "spans")
+    marks = written(mark(docs, id_col, text_col, least_words, long_sentence, ends), "spans")
     covered = written(repeated(marks), "covered")
     release(docs.sparkSession)
     one = marks.dropDuplicates(["doc_id", "text_hash"])
@@ -135,7 +151,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op8_sentence_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs)
+    return dedup_substrings(docs, ends=True)
 
 
 QUERIES = {"op8_sentence_spans": op8_sentence_spans}
