@@ -303,6 +303,25 @@ def test_pii_method_adds(spark):
     assert "iban:11:38" in got[1] and "iban" not in got[2] and "national_id:26:37" in got[3] and "national_id" not in got[4]
 
 
+def test_pii_context_on_both_sides(spark):
+    n, dots = "123-45-6789", "." * 50
+    rows = [
+        (1, f"SSN: {n}, 234-56-7890"), (2, f"{n} is my SSN"), (3, f"{n} {dots} SSN"), (4, f"SSN {dots} {n}"), (5, f"ssn {n} {dots} {n} {dots} {n}"),
+        (6, f"{n}, {n}, {n} ssn"), (7, f"ssn {n}, {n}, {n}, {n}, {n}"), (8, f"{n}{' ' * 37}ssn"), (9, f"{n}{' ' * 38}ssn"), (10, f"ssn{' ' * 37}{n}"), (11, f"ssn{' ' * 38}{n}"),
+        (12, f"{'😀' * 37}ssn {n}"), (13, f"ssn{'😀' * 36} {n}"),
+    ]
+    got = {}
+    for g in by_id(pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string"))):
+        got[g["doc_id"]] = [(s["start"], s["end"]) for s in g["spans"] if s["kind"] == "national_id"]
+    for i, text in rows:
+        near = lambda a, b: "ssn" in text[max(0, a - 40) : a].lower() or "ssn" in text[b : b + 40].lower()  # noqa: B023, E731
+        assert got[i] == [m.span() for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", text) if near(*m.span())], i
+    assert len(got[1]) == 2 and len(got[2]) == 1 and len(got[7]) == 3 and not got[3] and not got[4]
+    card = f"card {'12,' * 10} 4111 1111 1111 1111"  # matches of its own kind between
+    assert [s["score"] for s in pii.detect(spark.createDataFrame([(1, card)], "doc_id bigint, text string")).first()["spans"]] == [1.0]
+    assert pii.redact(spark.createDataFrame([(1, f"{n} or 234-56-7890 is my SSN")], "doc_id bigint, text string")).first()["text"] == "[NATIONAL_ID] or [NATIONAL_ID] is my SSN"
+
+
 def test_redaction(spark, docs):
     rows = [(1, "é mail a@b.cc now"), (2, None), (3, ""), (4, "no data"), (5, "call +1 212 555 0101, 4111 1111 1111 1111!")]
     out = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}

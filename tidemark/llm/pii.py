@@ -1,7 +1,7 @@
 """Personal data in DataFrame operations alone.
 
-Patterns propose spans, validators (Luhn, mod-97, number ranges) confirm them, and words of context near a span raise its
-score. The base kinds stay whatever their score; the added kinds must reach `least_score`.
+Patterns propose spans, validators (Luhn, mod-97, number ranges) confirm them, and words of context on either side of a
+span raise its score. The base kinds stay whatever their score; the added kinds must reach `least_score`.
 
 Positions come without a Python function: a pattern's matches and the text between them (the text split at the same
 pattern) have running lengths in code points. The patterns are possessive and start at a run's first letter or at the
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import let, texts, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_id")
@@ -45,6 +45,8 @@ CONTEXT = {
 }
 CONTEXT_GAIN = 0.35
 CONTEXT_WIDTH = 40
+#: Matches of one kind that CONTEXT_WIDTH characters may touch: a match and the gap after it hold three at least.
+CONTEXT_MATCHES = 14
 
 
 def luhn(digits: Column) -> Column:
@@ -78,11 +80,15 @@ def confirmed(kind: Column, match: Column) -> Column:
 
 
 def proposals(text: Column, kind: str) -> Column:
-    """array<struct<gap, match>>: each match with the length of the text between it and the match before it."""
+    """array<struct<gap, match, before, after>>: each match with the length of the text between it and the match before it,
+    the end of that text, and the start of the text between it and the next match."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pair = lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("match"), F.right(gap, F.lit(CONTEXT_WIDTH)).alias("before"))
-    none = F.array().cast("array<struct<gap:int,match:string,before:string>>")
-    pairs = F.when(F.regexp_like(text, F.lit(PATTERNS[kind])), F.zip_with(F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found)), found, pair)).otherwise(none)
+    width = F.lit(CONTEXT_WIDTH)
+    pair = lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("match"), F.right(gap, width).alias("before"))
+    both = lambda p, gap: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), p["before"].alias("before"), F.left(gap, width).alias("after"))
+    none = F.array().cast("array<struct<gap:int,match:string,before:string,after:string>>")
+    gaps = lambda m: let(F.split(text, PATTERNS[kind], -1), lambda g: F.zip_with(F.zip_with(F.slice(g, 1, F.size(m)), m, pair), F.slice(g, 2, F.size(m)), both))
+    pairs = F.when(F.regexp_like(text, F.lit(PATTERNS[kind])), let(found, gaps)).otherwise(none)
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), pairs) if kind in _NEEDS else pairs
 
 
@@ -102,11 +108,20 @@ def find_spans(found: DataFrame, least_score: float = 0.5) -> DataFrame:
     one = found.filter(F.size("found") > 0).groupBy(*own).agg(F.first("found").alias("found"))
     m = one.select(*own, F.explode("found").alias("f")).select(*own, F.col("f.rank").alias("rank"), F.posexplode("f.list").alias("n", "m"))
     run = Window.partitionBy(*own, "rank").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("end", F.sum(F.col("m.gap") + F.length("m.match")).over(run).cast("long"))
+    # what stands within CONTEXT_WIDTH characters, matches between included: pieces cut to that width on the far side
+    width = F.lit(CONTEXT_WIDTH)
+    near = lambda piece, a, z: F.array_join(F.collect_list(piece).over(run.rowsBetween(a, z)), "")
+    earlier = near(F.concat("m.before", F.right("m.match", width)), -CONTEXT_MATCHES, -1)
+    later = near(F.concat(F.left("m.match", width), "m.after"), 1, CONTEXT_MATCHES)
+    m = m.withColumns({
+        "end": F.sum(F.col("m.gap") + F.length("m.match")).over(run).cast("long"),
+        "before": F.right(F.concat(earlier, "m.before"), width),
+        "after": F.left(F.concat("m.after", later), width),
+    })
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     by_kind = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("kind"))
-    m = m.select(*own, "rank", kind.alias("kind"), F.col("m.match").alias("match"), F.lower("m.before").alias("before"), "end")
-    near = F.coalesce(*[F.when(F.col("kind") == k, F.col("before").rlike(p)) for k, p in CONTEXT.items()])
+    m = m.select(*own, "rank", kind.alias("kind"), F.col("m.match").alias("match"), F.lower("before").alias("before"), F.lower("after").alias("after"), "end")
+    near = F.coalesce(*[F.when(F.col("kind") == k, F.col("before").rlike(p) | F.col("after").rlike(p)) for k, p in CONTEXT.items()])
     score = F.least(F.lit(1.0), by_kind(SCORES) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)))
     m = m.filter(confirmed(F.col("kind"), F.col("match"))).withColumn("score", score)
     m = m.filter(F.col("kind").isin(*BASE_KINDS) | (F.col("score") >= least_score))
