@@ -100,7 +100,7 @@ def ml15(t):
 
 @query("ml16_fit_and_score")
 def ml16(t):
-    """ML1 to ML5: fit on even companies, score all; tested for a sensible ranking."""
+    """ML1 and ML2 with a logistic model: fit on even companies, score all; tested for a sensible ranking."""
     d = wide(t).select("cn", "sector", "score", "moves", F.coalesce(F.col("flag").cast("double"), F.lit(0.0)).alias("y"))
     fitted = fit(d.filter("cn % 2 = 0"), ["score", "moves"], ["sector"], "logistic")
     return score(d, fitted, ["score", "moves"]).select("cn", "y", F.round("p", 6).alias("p"))
