@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import months_between
+
 
 class Months:
     """Window expressions over one key and month column."""
@@ -67,31 +69,52 @@ def changed(now: Column, then: Column, was_present: Column) -> Column:
     return F.when(was_present, ~now.eqNullSafe(then))
 
 
+#: What deltas() reads beside the key and month, and what it adds.
+DELTA_INPUTS = (
+    "source_date", "charges", "outstanding", "satisfied", "debt_ratio", "status", "is_active", "segment", "tier", "overdue", "stale",
+    "sic", "name", "postcode", "accounts_due", "statement_due", "accounts_made", "statement_made",
+)
+DELTA_FEATURES = (
+    "d_charges_3m", "d_charges_6m", "d_charges_12m", "d_outstanding_3m", "d_outstanding_6m", "d_outstanding_12m", "d_satisfied_12m", "debt_ratio_trend_12m",
+    "new_charge_events_12m", "months_since_last_new_charge", "status_changed", "months_in_current_status", "ever_distressed_before",
+    "segment_upgraded_12m", "segment_downgraded_12m", "months_since_segment_change", "accounts_overdue_streak_months", "accounts_stale_streak_months",
+    "confstmt_late", "days_to_next_accounts_due", "months_since_last_accounts_filing", "months_since_last_confstmt",
+    "sic_changed_12m", "name_changed_12m", "postcode_changed_12m",
+)
+
+
 def deltas(panel: DataFrame, key: str = "cn", month: str = "m") -> DataFrame:
-    """Backward features of a panel with charges, outstanding, status, segment, tier, overdue. Nothing after the row's own
-    month is read."""
+    """The 25 backward features (DELTA_FEATURES) of a panel with DELTA_INPUTS, which stay beside them. Nothing after the
+    row's own month is read; dates are compared with the row's own source_date, never with today.
+
+    Differences are null where the earlier month is absent. Runs and streaks are counted over the months that are there,
+    from the first one seen on. All windows share one partition and one order."""
     w, c = Months(key, month), F.col
-    p = panel.withColumns({"_had1": w.present(1), "_had12": w.present(12), "_charges1": w.lag(c("charges"), 1), "_status1": w.lag(c("status"), 1), "_tier12": w.lag(c("tier"), 12), "_segment12": w.lag(c("segment"), 12)})
-    p = p.withColumns({f"d_charges_{n}m": c("charges") - w.lag(c("charges"), n) for n in (3, 6, 12)} | {f"d_outstanding_{n}m": c("outstanding") - w.lag(c("outstanding"), n) for n in (3, 6, 12)})
-    both = c("tier").isNotNull() & c("_tier12").isNotNull()
-    p = p.withColumns({
-        "is_new_charge": F.when(c("_had1"), c("charges") > c("_charges1")),
-        "status_changed": changed(c("status"), c("_status1"), c("_had1")),
-        "segment_changed_12m": changed(c("segment"), c("_segment12"), c("_had12")),
-        "upgraded_12m": F.when(both, c("tier") > c("_tier12")),
-        "downgraded_12m": F.when(both, c("tier") < c("_tier12")),
-    })
-    p = run_starts(p, ["status", "segment", "overdue"], key, month)
-    new = c("is_new_charge") == F.lit(True)
-    p = p.withColumns({
-        "new_charges_12m": w.trailing(F.when(new, 1).otherwise(0), 12),
-        "months_since_new_charge": c(month) - w.last_month(new),
-        "ever_closed_before": w.ever_before(c("status") == "F"),
-        "months_in_status": c(month) - c("status_since"),
-        "months_in_segment": c(month) - c("segment_since"),
-        "overdue_streak": F.when(c("overdue"), c(month) - c("overdue_since") + 1).otherwise(0),
-    })
-    return p.drop("_had1", "_had12", "_charges1", "_status1", "_tier12", "_segment12", "status_since", "segment_since", "overdue_since")
+    whole = {f"{x}_{n}": w.lag(c(x), n) for x, spans in (("charges", (1, 3, 6, 12)), ("outstanding", (3, 6, 12)), ("satisfied", (12,)), ("debt_ratio", (12,)), ("status", (1,)), ("tier", (12,)), ("sic", (12,)), ("name", (12,)), ("postcode", (12,))) for n in spans}
+    p = panel.select(key, month, *DELTA_INPUTS).withColumns(whole | {"had_1": w.present(1), "had_12": w.present(12)})
+    p = p.withColumn("new_charge", F.when(c("had_1"), c("charges") > c("charges_1")))
+    p = run_starts(p, ["status", "segment", "overdue", "stale"], key, month)
+    new, tiers = c("new_charge") == F.lit(True), c("tier").isNotNull() & c("tier_12").isNotNull()
+    streak = lambda x: F.when(c(x), c(month) - c(f"{x}_since") + 1).otherwise(0)
+    features = {f"d_{x}_{n}m": c(x) - c(f"{x}_{n}") for x in ("charges", "outstanding") for n in (3, 6, 12)} | {
+        "d_satisfied_12m": c("satisfied") - c("satisfied_12"),
+        "debt_ratio_trend_12m": c("debt_ratio") - c("debt_ratio_12"),
+        "new_charge_events_12m": w.trailing(F.when(new, 1).otherwise(0), 12),
+        "months_since_last_new_charge": c(month) - w.last_month(new),
+        "status_changed": changed(c("status"), c("status_1"), c("had_1")),
+        "months_in_current_status": c(month) - c("status_since"),
+        "ever_distressed_before": w.ever_before(~c("is_active")),
+        "segment_upgraded_12m": F.when(tiers, c("tier") > c("tier_12")),
+        "segment_downgraded_12m": F.when(tiers, c("tier") < c("tier_12")),
+        "months_since_segment_change": c(month) - c("segment_since"),
+        "accounts_overdue_streak_months": streak("overdue"),
+        "accounts_stale_streak_months": streak("stale"),
+        "confstmt_late": c("statement_due") < c("source_date"),
+        "days_to_next_accounts_due": F.datediff("accounts_due", "source_date"),
+        "months_since_last_accounts_filing": months_between(c("accounts_made"), c("source_date")),
+        "months_since_last_confstmt": months_between(c("statement_made"), c("source_date")),
+    } | {f"{x}_changed_12m": changed(c(x), c(f"{x}_12"), c("had_12")) for x in ("sic", "name", "postcode")}
+    return p.withColumns(features).select(key, month, *DELTA_INPUTS, *DELTA_FEATURES)
 
 
 def forward_labels(panel: DataFrame, end_month: int, key: str = "cn", month: str = "m") -> DataFrame:

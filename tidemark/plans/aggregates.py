@@ -52,17 +52,30 @@ def ag7(t):
 D = f"DATE '{AT}'"
 
 
-@query("ag8_notice_rollup", f"""WITH {NOTICES}, s AS (SELECT *, CASE family WHEN 'petition' THEN 1 WHEN 'order' THEN 2 WHEN 'liquidation' THEN 2 WHEN 'administration' THEN 2 WHEN 'creditors' THEN 3 WHEN 'dividend' THEN 4 WHEN 'closing' THEN 5 END AS stage,
+def counted(f: str) -> str:
+    return f"count(*) FILTER (family = '{f}')"
+
+
+LIQUID = "family IN ('voluntary_liquidation', 'winding_up_order')"
+
+
+@query("ag8_notice_rollup", f"""WITH {NOTICES}, s AS (SELECT * EXCLUDE (postcode), trim(coalesce(postcode, '')) AS postcode, CASE family WHEN 'petition' THEN 1 WHEN 'closing' THEN 5 WHEN 'dividend' THEN 4 WHEN 'creditor_process' THEN 3 WHEN 'administration' THEN 2 WHEN 'winding_up_order' THEN 2 WHEN 'voluntary_liquidation' THEN 2 END AS stage,
   lead(notice_date, 2) OVER (PARTITION BY cn ORDER BY notice_date, url) - notice_date AS gap FROM notices),
-g AS (SELECT cn, count(notice_type) AS n, count(DISTINCT notice_type) AS n_types, {', '.join(f"count(*) FILTER (family = '{f}') AS n_{f}" for f in ('petition', 'order', 'liquidation', 'administration', 'creditors', 'dividend', 'closing'))},
-  min(notice_date) AS first_date, max(notice_date) AS latest_date, count(*) FILTER (notice_date >= {D} - 365) AS n_12m, count(*) FILTER (notice_date >= {D} - 730) AS n_24m, coalesce(max(stage), 0)::INTEGER AS max_stage, min(stage) AS min_stage,
-  max({{'d': notice_date, 'u': url, 's': stage, 'p': postcode}}) AS l, min(notice_date) FILTER (family = 'petition') AS pet, min(notice_date) FILTER (family = 'administration') AS adm,
-  min(notice_date) FILTER (family IN ('liquidation', 'order')) AS liq0, max(notice_date) FILTER (family IN ('liquidation', 'order')) AS liq1, coalesce(bool_or(gap <= 90), FALSE) AS burst, count(DISTINCT notice_date) AS days FROM s GROUP BY 1)
-SELECT cn, n, n_types, n_petition, n_order, n_liquidation, n_administration, n_creditors, n_dividend, n_closing, first_date, latest_date, n_12m, n_24m, max_stage,
-  CASE max_stage WHEN 0 THEN 'none' WHEN 1 THEN 'early' WHEN 2 THEN 'formal' ELSE 'terminal' END AS severity, ({D} - latest_date)::INTEGER AS days_since_latest, (latest_date - first_date)::INTEGER AS span_days, {D} - latest_date <= 90 AS recent_90d,
-  max_stage - coalesce(min_stage, max_stage) >= 2 AS progressed, CASE l.s WHEN 1 THEN 'petition' WHEN 2 THEN 'formal' WHEN 3 THEN 'creditors' WHEN 4 THEN 'dividend' WHEN 5 THEN 'closing' ELSE 'other' END AS current_stage,
-  coalesce(l.s < 5, FALSE) AND {D} - latest_date <= 365 AS active_case, l.p AS latest_postcode, l.u AS latest_url, coalesce(liq1 >= pet, FALSE) AS petition_to_liquidation, coalesce(liq1 >= adm, FALSE) AS administration_to_liquidation,
-  CASE WHEN liq0 >= pet THEN (liq0 - pet)::INTEGER END AS days_petition_to_order, burst, days >= 2 AND latest_date - first_date > 180 AS recurring FROM g""")
+g AS (SELECT cn, arg_min(name, {{'d': notice_date, 'u': url}}) FILTER (name IS NOT NULL) AS company_name, count(notice_type) AS notice_count_total, count(DISTINCT notice_type) AS distinct_notice_type_count,
+  {counted('petition')} AS winding_up_petition_count, {counted('winding_up_order')} AS winding_up_order_count, {counted('voluntary_liquidation')} AS voluntary_liquidation_count, count(*) FILTER ({LIQUID}) AS liquidation_notice_count,
+  {counted('administration')} AS administration_count, {counted('creditor_process')} AS creditors_process_count, {counted('dividend')} AS dividend_notice_count, {counted('closing')} AS closing_notice_count,
+  min(notice_date) AS first_notice_date, max(notice_date) AS latest_notice_date, count(*) FILTER (notice_date >= {D} - 365) AS notice_count_12m, count(*) FILTER (notice_date >= {D} - 730) AS notice_count_24m, coalesce(max(stage), 0)::INTEGER AS max_distress_stage, min(stage) AS least,
+  {', '.join(f"({counted(f)} > 0)::INTEGER AS has_{n}" for n, f in (('prohibited_name_reuse', 'prohibited_name_reuse'), ('petition_dismissed', 'petition_dismissed'), ('cross_border_insolvency', 'cross_border'), ('other_insolvency', 'other_insolvency')))},
+  (count(*) FILTER (notice_type = 'Appointment of Administrative Receivers') > 0)::INTEGER AS receiver_appointed_flag, (count(*) FILTER (notice_type LIKE '%Partnership%') > 0)::INTEGER AS partnership_insolvency_flag, (count(*) FILTER (postcode <> '') > 0)::INTEGER AS postcode_present_flag,
+  max({{'d': notice_date, 'u': url, 's': stage, 'f': family, 'p': postcode}}) AS l, min(notice_date) FILTER (family = 'petition') AS pet, min(notice_date) FILTER (family = 'administration') AS adm,
+  min(notice_date) FILTER ({LIQUID}) AS liq0, max(notice_date) FILTER ({LIQUID}) AS liq1, coalesce(bool_or(gap <= 90), FALSE)::INTEGER AS notice_burst_flag, (count(DISTINCT notice_date) >= 2 AND max(notice_date) - min(notice_date) > 180)::INTEGER AS recurring_distress_flag FROM s GROUP BY 1)
+SELECT * EXCLUDE (least, l, pet, adm, liq0, liq1), 1 AS has_any_notice, {', '.join(f"({c}_count > 0)::INTEGER AS has_{n}" for n, c in (('winding_up_petition', 'winding_up_petition'), ('winding_up_order', 'winding_up_order'), ('liquidation', 'liquidation_notice'), ('administration', 'administration'), ('creditors_process', 'creditors_process'), ('dividend_notice', 'dividend_notice'), ('closing_notice', 'closing_notice')))},
+  (winding_up_order_count > 0)::INTEGER AS compulsory_liquidation_flag, (voluntary_liquidation_count > 0 AND winding_up_order_count = 0)::INTEGER AS voluntary_liquidation_flag, (winding_up_petition_count + winding_up_order_count > 0)::INTEGER AS court_involved_flag,
+  CASE max_distress_stage WHEN 0 THEN 'none' WHEN 1 THEN 'early_warning' WHEN 2 THEN 'formal_insolvency' ELSE 'terminal' END AS severity_tier, ({D} - latest_notice_date)::INTEGER AS days_since_latest_notice, ({D} - first_notice_date)::INTEGER AS days_since_first_notice,
+  (latest_notice_date - first_notice_date)::INTEGER AS notice_span_days, ({D} - latest_notice_date <= 90)::INTEGER AS recent_notice_90d_flag, ({D} - latest_notice_date <= 365)::INTEGER AS recent_notice_365d_flag, (max_distress_stage - coalesce(least, max_distress_stage) >= 2)::INTEGER AS stage_progressed_flag,
+  CASE l.s WHEN 1 THEN 'petition' WHEN 2 THEN 'formal_insolvency' WHEN 3 THEN 'creditor_process' WHEN 4 THEN 'dividend' WHEN 5 THEN 'closing' ELSE 'other' END AS current_stage,
+  (l.f IN ('petition', 'winding_up_order', 'administration', 'voluntary_liquidation') AND {D} - latest_notice_date <= 365)::INTEGER AS active_case_flag, nullif(l.p, '') AS notice_postcode, nullif(upper(regexp_extract(l.p, '^([A-Za-z]{{1,2}})', 1)), '') AS notice_postcode_area, l.u AS latest_notice_url,
+  coalesce(liq1 >= pet, FALSE)::INTEGER AS petition_to_liquidation_flag, coalesce(liq1 >= adm, FALSE)::INTEGER AS administration_to_liquidation_flag, CASE WHEN liq0 >= pet THEN (liq0 - pet)::INTEGER END AS days_petition_to_order FROM g""")
 def ag8(t):
     return notice_features(notices(t), F.lit(AT))
 

@@ -10,7 +10,7 @@ from ..operators.events import notice_features
 from ..operators.metrics import mean_rank_auc
 from ..operators.panel import Months, deltas, run_starts
 from .registry import query
-from .standins import AT, NOTICES, PANEL, WIDE, notices, panel, wide
+from .standins import AT, NOTICES, PANEL, REGISTER, WIDE, notices, panel, register, wide
 
 W = "PARTITION BY cn ORDER BY m"
 
@@ -119,8 +119,7 @@ def wn16(t):
 
 @query("wn17_named_window", f"WITH {PANEL} SELECT cn, m, sum(charges) OVER w::BIGINT AS s, count(*) OVER w AS n FROM panel WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)")
 def wn17(t):
-    panel(t).createOrReplaceTempView("wn17_panel")
-    return t.spark.sql(f"SELECT cn, m, sum(charges) OVER w AS s, count(*) OVER w AS n FROM wn17_panel WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)")
+    return t.spark.sql(f"SELECT cn, m, sum(charges) OVER w AS s, count(*) OVER w AS n FROM {{rows}} WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)", rows=panel(t))
 
 
 @query("wn18_average_rank_auc", """WITH s AS (SELECT floor(o_totalprice / 1000) AS p, (o_orderpriority = '1-URGENT')::INT AS y FROM orders),
@@ -137,37 +136,50 @@ def wn19(t):
     return shares(wide(t), "nation").select("nation", "n", "n_cumulative")
 
 
-@query("wn20_burst", f"WITH {NOTICES}, l AS (SELECT cn, lead(notice_date, 2) OVER (PARTITION BY cn ORDER BY notice_date, url) - notice_date AS gap FROM notices) SELECT cn, coalesce(bool_or(gap <= 90), FALSE) AS burst FROM l GROUP BY 1")
+@query("wn20_burst", f"WITH {NOTICES}, l AS (SELECT cn, lead(notice_date, 2) OVER (PARTITION BY cn ORDER BY notice_date, url) - notice_date AS gap FROM notices) SELECT cn, coalesce(bool_or(gap <= 90), FALSE)::INTEGER AS burst FROM l GROUP BY 1")
 def wn20(t):
-    return notice_features(notices(t), F.lit(AT)).select("cn", "burst")
+    return notice_features(notices(t), F.lit(AT)).select("cn", F.col("notice_burst_flag").alias("burst"))
 
 
-@query("wn21_recurring", f"WITH {NOTICES} SELECT cn, count(DISTINCT notice_date) >= 2 AND max(notice_date) - min(notice_date) > 180 AS recurring FROM notices GROUP BY 1")
+@query("wn21_recurring", f"WITH {NOTICES} SELECT cn, (count(DISTINCT notice_date) >= 2 AND max(notice_date) - min(notice_date) > 180)::INTEGER AS recurring FROM notices GROUP BY 1")
 def wn21(t):
-    return notice_features(notices(t), F.lit(AT)).select("cn", "recurring")
-
-
-DELTAS = f"""WITH {PANEL}, l AS (
-  SELECT *, {', '.join(f"max({c}) OVER ({W} RANGE BETWEEN {n} PRECEDING AND {n} PRECEDING) AS {c}_{n}" for c, n in [('charges', 1), ('charges', 3), ('charges', 6), ('charges', 12), ('outstanding', 3), ('outstanding', 6), ('outstanding', 12), ('status', 1), ('tier', 12), ('segment', 12)])},
-    count(*) OVER ({W} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) > 0 AS h1, count(*) OVER ({W} RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) > 0 AS h12,
-    {', '.join(f"lag({c} IGNORE NULLS) OVER ({W}) AS {c}_p" for c in ('status', 'segment', 'overdue'))}
-  FROM panel),
-r AS (
-  SELECT *, CASE WHEN h1 THEN charges > charges_1 END AS is_new_charge,
-    {', '.join(f"sum(CASE WHEN {c}_p IS NOT NULL AND {c}_p IS DISTINCT FROM {c} THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS {c}_g" for c in ('status', 'segment', 'overdue'))}
-  FROM l)
-SELECT cn, m, charges, outstanding, status, segment, tier, overdue, charges - charges_3 AS d_charges_3m, charges - charges_6 AS d_charges_6m, charges - charges_12 AS d_charges_12m,
-  outstanding - outstanding_3 AS d_outstanding_3m, outstanding - outstanding_6 AS d_outstanding_6m, outstanding - outstanding_12 AS d_outstanding_12m, is_new_charge,
-  CASE WHEN h1 THEN status IS DISTINCT FROM status_1 END AS status_changed, CASE WHEN h12 THEN segment IS DISTINCT FROM segment_12 END AS segment_changed_12m,
-  CASE WHEN tier IS NOT NULL AND tier_12 IS NOT NULL THEN tier > tier_12 END AS upgraded_12m, CASE WHEN tier IS NOT NULL AND tier_12 IS NOT NULL THEN tier < tier_12 END AS downgraded_12m,
-  (sum(CASE WHEN is_new_charge THEN 1 ELSE 0 END) OVER ({W} RANGE BETWEEN 11 PRECEDING AND CURRENT ROW))::BIGINT AS new_charges_12m,
-  (m - max(CASE WHEN is_new_charge THEN m END) OVER ({W} ROWS UNBOUNDED PRECEDING))::INTEGER AS months_since_new_charge,
-  coalesce(max(CASE WHEN status = 'F' THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS ever_closed_before,
-  (m - min(m) OVER (PARTITION BY cn, status_g))::INTEGER AS months_in_status, (m - min(m) OVER (PARTITION BY cn, segment_g))::INTEGER AS months_in_segment,
-  CASE WHEN overdue THEN m - min(m) OVER (PARTITION BY cn, overdue_g) + 1 ELSE 0 END::INTEGER AS overdue_streak
-FROM r"""
+    return notice_features(notices(t), F.lit(AT)).select("cn", F.col("recurring_distress_flag").alias("recurring"))
+
+
+def on_spine(c: str, n: int) -> str:
+    return f"lag(r.{c}, {n}) OVER w AS {c}_{n}"
+
+
+#: The same features over a dense spine, where the row n places back is the month n back and absent months have no cn.
+LAGS = [("charges", 1), ("charges", 3), ("charges", 6), ("charges", 12), ("outstanding", 3), ("outstanding", 6), ("outstanding", 12), ("satisfied", 12), ("debt_ratio", 12), ("status", 1), ("tier", 12), ("sic", 12), ("name", 12), ("postcode", 12)]
+RUNS = ("status", "segment", "overdue", "stale")
+SHOWN = ", ".join(("charges", "outstanding", "satisfied", "debt_ratio", "status", "is_active", "segment", "tier", "overdue", "stale", "sic", "name", "postcode"))
+DATES = ("accounts_due", "statement_due", "accounts_made", "statement_made")
+DELTAS = f"""WITH {REGISTER}, bounds AS (SELECT min(m) AS a, max(m) AS z FROM register),
+spine AS (SELECT cn, month AS m FROM (SELECT DISTINCT cn FROM register), (SELECT unnest(range(a, z + 1))::INTEGER AS month FROM bounds)),
+l AS (
+  SELECT s.cn, s.m, r.cn IS NOT NULL AS there, r.* EXCLUDE (cn, m), {', '.join(on_spine(c, n) for c, n in LAGS)}, lag(r.cn, 1) OVER w IS NOT NULL AS h1, lag(r.cn, 12) OVER w IS NOT NULL AS h12,
+    {', '.join(f"lag(r.{c} IGNORE NULLS) OVER w AS {c}_seen" for c in RUNS)}
+  FROM spine s LEFT JOIN register r ON r.cn = s.cn AND r.m = s.m WINDOW w AS (PARTITION BY s.cn ORDER BY s.m)),
+b AS (
+  SELECT *, CASE WHEN h1 THEN charges > charges_1 END AS fresh, {', '.join(f"try_strptime({c}_text, '%d/%m/%Y')::DATE AS {c}" for c in DATES)},
+    {', '.join(f"sum((there AND {c}_seen IS NOT NULL AND {c}_seen IS DISTINCT FROM {c})::INT) OVER ({W} ROWS UNBOUNDED PRECEDING) AS {c}_run" for c in RUNS)}
+  FROM l),
+f AS (
+  SELECT *, sum((fresh IS TRUE)::INT) OVER ({W} RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS n_fresh, max(CASE WHEN fresh THEN m END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS last_fresh,
+    max((there AND NOT is_active)::INT) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was_out, {', '.join(f"m - min(CASE WHEN there THEN m END) OVER (PARTITION BY cn, {c}_run) AS {c}_months" for c in RUNS)}
+  FROM b)
+SELECT cn, m, source_date, {SHOWN}, {', '.join(DATES)},
+  {', '.join(f"{c} - {c}_{n} AS d_{c}_{n}m" for c, n in LAGS if c in ('charges', 'outstanding', 'satisfied') and n > 1)}, debt_ratio - debt_ratio_12 AS debt_ratio_trend_12m,
+  coalesce(n_fresh, 0)::BIGINT AS new_charge_events_12m, (m - last_fresh)::INTEGER AS months_since_last_new_charge, CASE WHEN h1 THEN status IS DISTINCT FROM status_1 END AS status_changed,
+  status_months::INTEGER AS months_in_current_status, coalesce(was_out = 1, FALSE) AS ever_distressed_before, CASE WHEN tier IS NOT NULL AND tier_12 IS NOT NULL THEN tier > tier_12 END AS segment_upgraded_12m,
+  CASE WHEN tier IS NOT NULL AND tier_12 IS NOT NULL THEN tier < tier_12 END AS segment_downgraded_12m, segment_months::INTEGER AS months_since_segment_change,
+  (CASE WHEN overdue THEN overdue_months + 1 ELSE 0 END)::INTEGER AS accounts_overdue_streak_months, (CASE WHEN stale THEN stale_months + 1 ELSE 0 END)::INTEGER AS accounts_stale_streak_months,
+  statement_due < source_date AS confstmt_late, datediff('day', source_date, accounts_due)::INTEGER AS days_to_next_accounts_due, datediff('month', accounts_made, source_date)::INTEGER AS months_since_last_accounts_filing,
+  datediff('month', statement_made, source_date)::INTEGER AS months_since_last_confstmt, {', '.join(f"CASE WHEN h12 THEN {c} IS DISTINCT FROM {c}_12 END AS {c}_changed_12m" for c in ('sic', 'name', 'postcode'))}
+FROM f WHERE there"""
 
 
 @query("tf2_delta_features", DELTAS)
 def tf2(t):
-    return deltas(panel(t))
+    return deltas(register(t))
