@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOT_STATED = "__notstated__"
+YES, NO = ("yes", "true", "1"), ("no", "false", "0")
 
 
 class FilterError(ValueError):
@@ -28,6 +29,7 @@ class Filter:
     kind: str  # in, bool, tri, choice, range
     column: Column
     options: dict[str, Column] | None = None
+    nullable: bool = True  # of a choice: whether "not stated" is an option
 
     def condition(self, value) -> Column:
         return getattr(self, f"_{self.kind}")(value)
@@ -41,12 +43,13 @@ class Filter:
         return reduce(or_, parts)
 
     def _bool(self, value) -> Column:
-        if value not in ("yes", "no"):
+        said = value.lower() if isinstance(value, str) else ""
+        if said not in (*YES, *NO):
             raise FilterError(f"{self.key}: yes or no")
-        return self.column if value == "yes" else ~self.column
+        return self.column if said in YES else ~self.column
 
     def _tri(self, value) -> Column:
-        states = {"yes": self.column.eqNullSafe(True), "no": self.column.eqNullSafe(False), NOT_STATED: self.column.isNull()}
+        states = {"yes": self.column.eqNullSafe(True), "no": self.column.eqNullSafe(False), NOT_STATED: self.column.isNull(), "notstated": self.column.isNull()}
         values = [value] if isinstance(value, str) else list(value)
         if not values or any(v not in states for v in values):
             raise FilterError(f"{self.key}: yes, no or {NOT_STATED}")
@@ -54,7 +57,7 @@ class Filter:
 
     def _choice(self, value) -> Column:
         values = [value] if isinstance(value, str) else list(value)
-        known = (self.options or {}) | {NOT_STATED: self.column.isNull()}
+        known = (self.options or {}) | ({NOT_STATED: self.column.isNull()} if self.nullable else {})
         if not values or any(v not in known for v in values):
             raise FilterError(f"{self.key}: one of {', '.join(known)}")
         return reduce(or_, [known[v] for v in values])

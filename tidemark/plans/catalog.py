@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-for _m in ("scans", "expressions", "joins", "aggregates", "windows", "temporal", "entities", "modelling", "reports"):
+for _m in ("scans", "expressions", "companies", "joins", "aggregates", "windows", "temporal", "entities", "modelling", "reports"):
     import_module(f"{__package__}.{_m}")
 
 

@@ -74,30 +74,38 @@ def fn11(t):
     return t.customer.select(F.col("c_custkey").alias("k"), F.greatest("c_acctbal", F.lit(0.0)).alias("g"), F.least(F.floor(F.col("c_acctbal") / 500), F.lit(10)).cast("bigint").alias("b"), F.nullif("c_nationkey", F.lit(7)).alias("n"))
 
 
-RAW_NUMBER = "CASE c_custkey % 5 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'sc' || c_custkey::VARCHAR WHEN 2 THEN ' nan' WHEN 3 THEN '1234567' || c_custkey::VARCHAR ELSE 'NI-' || c_custkey::VARCHAR END"
+RAW_NUMBER = "CASE c_custkey % 8 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'sc' || c_custkey::VARCHAR WHEN 2 THEN ' nan' WHEN 3 THEN '1234567' || c_custkey::VARCHAR WHEN 4 THEN ' s c ' || c_custkey::VARCHAR WHEN 5 THEN 'N/A' WHEN 6 THEN 'abcdefg' || c_custkey::VARCHAR ELSE 'NI-' || c_custkey::VARCHAR END"
+PADDED = "lpad({0}, greatest(8, length({0}))::INTEGER, '0')"
 
 
-@query("fn12_company_number", f"""WITH r AS (SELECT c_custkey AS k, upper(trim({RAW_NUMBER})) AS s FROM customer), b AS (SELECT *, regexp_replace(s, '[^A-Z0-9]', '', 'g') AS x FROM r)
-SELECT k, CASE WHEN s <> 'NAN' AND length(x) <= 8 THEN CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 8, '0') WHEN regexp_matches(x, '^[A-Z][A-Z][0-9]+$') THEN substr(x, 1, 2) || lpad(substr(x, 3), 6, '0') END END AS prefix,
-  CASE WHEN s <> 'NAN' THEN lpad(s, greatest(8, length(s))::INTEGER, '0') END AS plain FROM b""")
+@query("fn12_company_number", f"""WITH r AS (SELECT c_custkey AS k, upper(trim({RAW_NUMBER})) AS s FROM customer), b AS (SELECT *, regexp_replace(s, '[^A-Z0-9]', '', 'g') AS x, replace(s, ' ', '') AS n FROM r)
+SELECT k, CASE WHEN s NOT IN ('', 'NAN', 'NONE', 'NULL', 'N/A') AND length(x) BETWEEN 1 AND 8 THEN CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 8, '0') WHEN regexp_matches(x, '^[A-Z][A-Z][0-9]+$') THEN substr(x, 1, 2) || lpad(substr(x, 3), 6, '0') END END AS prefix,
+  CASE WHEN n IN ('', 'NAN', 'NONE') THEN NULL WHEN regexp_matches(n, '^[0-9]+$') THEN {PADDED.format('n')} WHEN length(n) <= 8 THEN lpad(n, 8, '0') END AS plain,
+  CASE WHEN n NOT IN ('', 'NAN', 'NONE') THEN CASE WHEN length(n) <= 8 THEN lpad(n, 8, '0') ELSE n END END AS lookup,
+  CASE WHEN s NOT IN ('', 'NAN') THEN CASE WHEN regexp_matches(s, '^[0-9]+$') THEN {PADDED.format('s')} ELSE s END END AS digits, {PADDED.format('s')} AS zeros FROM b""")
 def fn12(t):
     k = F.col("c_custkey")
-    s = k.cast("string")
-    raw = F.when(k % 5 == 0, s).when(k % 5 == 1, F.concat(F.lit("sc"), s)).when(k % 5 == 2, " nan").when(k % 5 == 3, F.concat(F.lit("1234567"), s)).otherwise(F.concat(F.lit("NI-"), s))
-    return t.customer.select(k.alias("k"), text.company_number(raw).alias("prefix"), text.company_number(raw, "plain").alias("plain"))
+    s, n = k.cast("string"), k % 8
+    after = lambda x: F.concat(F.lit(x), s)
+    raw = F.when(n == 0, s).when(n == 1, after("sc")).when(n == 2, " nan").when(n == 3, after("1234567")).when(n == 4, after(" s c ")).when(n == 5, "N/A").when(n == 6, after("abcdefg")).otherwise(after("NI-"))
+    return t.customer.select(k.alias("k"), *[text.company_number(raw, m).alias(m) for m in ("prefix", "plain", "lookup", "digits", "zeros")])
 
 
-RAW_NAME = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' Holdings, Ltd.' WHEN 1 THEN ' & Co Limited' WHEN 2 THEN '  The PLC' ELSE '' END"
+RAW_NAME = "p_name || CASE p_partkey % 6 WHEN 0 THEN ' Holdings, Ltd.' WHEN 1 THEN ' & Co Limited' WHEN 2 THEN '  The PLC' WHEN 3 THEN ' group, l.t.d.' WHEN 4 THEN ' Corp Company ., ' ELSE '' END"
+WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+READABLE = "trim(regexp_replace(trim(regexp_replace(trim(upper(s)), '(\\s(LIMITED|LTD|PLC|LLP|LP|CIC|INC|CORP|CORPORATION|GROUP|HOLDINGS|COMPANY|CO)[\\s,.]*)+$', '')), '[\\s,.]+$', ''))"
 
 
 @query("fn13_company_name", f"""WITH r AS (SELECT p_partkey AS k, {RAW_NAME} AS s FROM part)
 SELECT k, trim(regexp_replace(regexp_replace(upper(regexp_replace(s, '[^A-Za-z0-9 ]', '', 'g')), '\\s+', ' ', 'g'), '( LIMITED| LTD| PLC| LLP| CIC| CIO)+$', '')) AS trailing,
   trim(regexp_replace(regexp_replace(regexp_replace(upper(s), '[^A-Z0-9 ]', ' ', 'g'), '\\b({'|'.join(text.LOOSE_WORDS)})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS anywhere,
-  trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS lowered FROM r""")
+  trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS lower, {WORDS.format(f'lower({READABLE})')} AS readable,
+  trim(regexp_replace(s, '(?i)\\s+(LIMITED|LTD|PLC|LLP|L\\.T\\.D\\.)\\.?\\s*$', '')) AS last,
+  trim(regexp_replace(regexp_replace(regexp_replace(upper(s), '[^A-Z0-9 &]', ' ', 'g'), '\\b(LIMITED|LTD|PLC|LLP|CIC|CIO|COMPANY|CO|HOLDINGS|GROUP)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS search FROM r""")
 def fn13(t):
-    k = F.col("p_partkey")
-    raw = F.concat("p_name", F.when(k % 4 == 0, " Holdings, Ltd.").when(k % 4 == 1, " & Co Limited").when(k % 4 == 2, "  The PLC").otherwise(""))
-    return t.part.select(k.alias("k"), *[text.company_name(raw, m).alias(a) for m, a in (("trailing", "trailing"), ("anywhere", "anywhere"), ("lower", "lowered"))])
+    k, n = F.col("p_partkey"), F.col("p_partkey") % 6
+    raw = F.concat("p_name", F.when(n == 0, " Holdings, Ltd.").when(n == 1, " & Co Limited").when(n == 2, "  The PLC").when(n == 3, " group, l.t.d.").when(n == 4, " Corp Company ., ").otherwise(""))
+    return t.part.select(k.alias("k"), *[text.company_name(raw, m).alias(m) for m in ("trailing", "anywhere", "lower", "readable", "last", "search")])
 
 
 RAW_CODE = "CASE c_custkey % 4 WHEN 0 THEN 'sl' || (c_custkey % 9) || ' 9eh' WHEN 1 THEN 'nan' WHEN 2 THEN ' EC' || (c_custkey % 9) || 'A-1BB ' ELSE 'x1' END"
@@ -120,10 +128,22 @@ def fn15(t):
     return t.documents.select(k.alias("k"), text.postcode_in(s).alias("first"), text.postcode_in(s, "last").alias("last"))
 
 
-@query("fn16_html_text", r"""SELECT page_id AS k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages""")
+TAGGED = " <b>&pound;5</b> &#163;6 &#x41;&#66; &eacute;&amp;lt; &nope; &hellip;&nbsp;&nbsp;end"
+
+
+def replaced(s: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        s = f"replace({s}, '{a}', '{b}')"
+    return s
+
+
+LETTERS = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&pound;", "£"), ("&#163;", "£"), ("&#x41;", "A"), ("&#66;", "B"), ("&eacute;", "é"), ("&hellip;", "…"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")]
+NO_TAGS = f"regexp_replace(regexp_replace(html || '{TAGGED}', '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query("fn16_html_text", f"SELECT page_id AS k, trim(regexp_replace({replaced(NO_TAGS, LETTERS)}, '\\s+', ' ', 'g')) AS plain FROM pages")
 def fn16(t):
-    return t.pages.select(F.col("page_id").alias("k"), text.plain_text(F.col("html")).alias("plain"))
+    return t.pages.select(F.col("page_id").alias("k"), text.plain_text(F.concat("html", F.lit(TAGGED))).alias("plain"))
 
 
 @query("fn17_labelled_number", "WITH r AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Company Number: ' WHEN 1 THEN 'registered no ' ELSE 'none ' END || lpad(o_custkey::VARCHAR, 8, '0') AS s FROM orders) SELECT k, coalesce(nullif(regexp_extract(s, '(?i)company number\\s*:?\\s*([A-Z0-9]{6,8})', 1), ''), nullif(regexp_extract(s, '(?i)registered no\\s*:?\\s*([A-Z0-9]{6,8})', 1), '')) AS number FROM r")
@@ -307,12 +327,6 @@ def pj19(t):
     return t.events.select(F.col("user_id").alias("cn"), F.col("event_id").alias("e"), (F.abs(v) / whole).alias("share"), F.signum(v).cast("int").alias("direction"))
 
 
-@query("pj20_multi_label", "SELECT k, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['none'] END) AS flag FROM (SELECT o_orderkey AS k, list_filter([CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderstatus = 'F' THEN 'closed' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END], lambda x: x IS NOT NULL) AS f FROM orders)")
-def pj20(t):
-    flags = F.filter(F.array(F.when(F.col("o_totalprice") > 300000, "large"), F.when(F.col("o_orderstatus") == "F", "closed"), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent")), lambda x: x.isNotNull())
-    return t.orders.select(F.col("o_orderkey").alias("k"), F.explode(F.when(F.size(flags) > 0, flags).otherwise(F.array(F.lit("none")))).alias("flag"))
-
-
 @query("pj21_concern", f"SELECT l_orderkey AS k, l_partkey AS p, l_linenumber > 5 OR coalesce({DUE} < DATE '1996-01-01', FALSE) OR coalesce({DUE} < DATE '1995-06-01', TRUE) AS concern FROM lineitem")
 def pj21(t):
     due = F.when(F.col("l_linenumber") != 3, F.col("l_shipdate").cast("date"))
@@ -351,16 +365,6 @@ for _name, (_request, _sql) in REQUESTS.items():
     query(_name, f"WITH {WIDE} SELECT cn, sector, flag, moves, score FROM wide WHERE {_sql}")(lambda t, r=_request: wide(t).filter(where(filters(), r)).select("cn", "sector", "flag", "moves", "score"))
 
 
-def presets() -> dict:
-    s = F.col("score")
-    return {"rich": s > 9000, "indebted": s < 0, "flagged_builders": F.col("flag") & (F.col("sector") == "BUILDING"), "unknown": F.col("flag").isNull(), "movers": F.col("moves") > 0, "all": F.lit(True)}
-
-
-@query("pr9_presets", f"WITH {WIDE} SELECT count(*) FILTER (score > 9000) AS rich, count(*) FILTER (score < 0) AS indebted, count(*) FILTER (flag AND sector = 'BUILDING') AS flagged_builders, count(*) FILTER (flag IS NULL) AS unknown, count(*) FILTER (moves > 0) AS movers, count(*) AS all FROM wide".replace("AS all", 'AS "all"'))
-def pr9(t):
-    return preset_counts(wide(t), presets())
-
-
 @query("pr10_view", f"WITH {WIDE} SELECT cn, score FROM wide WHERE flag IS NOT NULL AND sector IN ('BUILDING')")
 def pr10(t):
     return wide(t).filter(where(filters(), {"sector": "BUILDING"}, base=F.col("flag").isNotNull())).select("cn", "score")
@@ -397,17 +401,6 @@ def pr16(t):
     return t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").between("1997-07-01", "1997-07-31").cast("int").alias("in_july"))
 
 
-FACETS = {"sector": "sector", "flag": "flag", "moves": "moves", "region": "region"}
-ASKED = {"flag": "yes", "sector": ["BUILDING", "MACHINERY"], "score": (0, None)}
-ASKED_SQL = {"flag": "flag IS TRUE", "sector": "sector IN ('BUILDING', 'MACHINERY')", "score": "score >= 0"}
-
-
-@query("ag3_facet_panel", f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT '{k}' AS facet, {c}::VARCHAR AS option, count(*) AS n FROM wide WHERE {' AND '.join(s for f, s in ASKED_SQL.items() if f != k)} GROUP BY 2" for k, c in FACETS.items()))
-def ag3(t):
-    """All facets in one scan, each without its own filter."""
-    return facet_counts(wide(t), filters(), ASKED, {k: F.col(c) for k, c in FACETS.items()})
-
-
 @query("sl1_ordered_page", f"WITH {WIDE} SELECT cn, moves FROM wide ORDER BY moves DESC NULLS LAST, cn LIMIT 50 OFFSET 100")
 def sl1(t):
     """SL1 and SL2: a page of a total order."""
@@ -428,14 +421,6 @@ def pj15(t):
     return t.customer.select("c_custkey").join(s, "c_custkey", "left").na.fill(fills).select(F.col("c_custkey").alias("k"), "n_total", "is_many", "stage", "last_date", "days_since")
 
 
-@query("pr7_registry", f"WITH {WIDE} SELECT 'sector' AS key, count(*) AS n FROM wide WHERE sector IN ('BUILDING') UNION ALL SELECT 'flag', count(*) FROM wide WHERE flag IS TRUE UNION ALL SELECT 'score', count(*) FROM wide WHERE score >= 0 UNION ALL SELECT 'band', count(*) FROM wide WHERE score >= 5000")
-def pr7(t):
-    """Every filter of a registry on its own, counted in one scan."""
-    asked = {"sector": "BUILDING", "flag": "yes", "score": (0, None), "band": "high"}
-    one = wide(t).agg(*[F.count_if(where(filters(), {k: v})).alias(k) for k, v in asked.items()])
-    return one.unpivot([], list(asked), "key", "n")
-
-
 @query("sl2_clamped_page", f"WITH {WIDE} SELECT cn FROM wide ORDER BY score ASC NULLS LAST, cn LIMIT 500")
 def sl2(t):
     """A limit beyond the most allowed, and an offset below 0."""

@@ -12,25 +12,11 @@ from .registry import query
 from .standins import CHARGES, NOTICES, PANEL, WIDE, charges, notices, panel, wide
 
 
-@query("rp1_meta", f"WITH {WIDE} SELECT count(*) AS universe, count(*) FILTER (flag IS NOT NULL) AS scored, count(*) FILTER (flag IS NULL) AS unscored, count(DISTINCT nation) AS nations, count(DISTINCT sector) AS sectors FROM wide")
-def rp1(t):
-    return wide(t).agg(F.count("*").alias("universe"), F.count("flag").alias("scored"), F.count_if(F.col("flag").isNull()).alias("unscored"), F.count_distinct("nation").alias("nations"), F.count_distinct("sector").alias("sectors"))
-
-
 @query("rp2_single_row", f"WITH {WIDE} SELECT * FROM wide WHERE cn = 42")
 def rp2(t):
     return wide(t).filter("cn = 42")
 
 
-@query("rp3_profile", "SELECT c_custkey AS cn, c_name AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS live, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS lapsed, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus NOT IN ('O', 'F')) AS other, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS notices FROM customer WHERE c_custkey = 42")
-def rp3(t):
-    """Point lookups in several sources, each filtered before it meets the others."""
-    one = t.customer.filter("c_custkey = 42").select(F.col("c_custkey").alias("cn"), F.col("c_name").alias("name"))
-    s = F.col("o_orderstatus")
-    o = t.orders.filter("o_custkey = 42").agg(F.count_if(s == "O").alias("live"), F.count_if(s == "F").alias("lapsed"), F.count_if(~s.isin("O", "F")).alias("other"))
-    return one.crossJoin(F.broadcast(o)).crossJoin(F.broadcast(t.events.filter("user_id = 42").agg(F.count("*").alias("notices"))))  # one row each
-
-
 @query("rp4_signal_shape", f"WITH {NOTICES} SELECT cn, 'register' AS source, family AS signal_type, notice_date AS signal_date, notice_type AS title, NULL::DOUBLE AS value, url, 1.0::DOUBLE AS confidence, 'number' AS method FROM notices")
 def rp4(t):
     return notices(t).select("cn", F.lit("register").alias("source"), F.col("family").alias("signal_type"), F.col("notice_date").alias("signal_date"), F.col("notice_type").alias("title"), F.lit(None).cast("double").alias("value"), "url", F.lit(1.0).alias("confidence"), F.lit("number").alias("method"))
@@ -50,9 +36,9 @@ def rp5(t):
     return r.join(u, "cn", "left").withColumn("why", why).agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("why") == k).alias(k) for k in ("no_key", "no_date", "outside", "kept")])
 
 
-@query("rp6_only_undated", "WITH r AS (SELECT user_id AS cn, CASE WHEN event_type <> 'view' AND event_id % 3 = 0 THEN ts::DATE END AS d FROM events) SELECT DISTINCT cn FROM r WHERE d IS NULL AND cn NOT IN (SELECT cn FROM r WHERE d IS NOT NULL)")
+@query("rp6_only_undated", "WITH r AS (SELECT user_id AS cn, CASE WHEN event_type = 'purchase' AND event_id % 20 = 0 THEN ts::DATE END AS d FROM events) SELECT DISTINCT cn FROM r WHERE d IS NULL AND cn NOT IN (SELECT cn FROM r WHERE d IS NOT NULL)")
 def rp6(t):
-    r = t.events.select(F.col("user_id").alias("cn"), F.when((F.col("event_type") != "view") & (F.col("event_id") % 3 == 0), F.col("ts").cast("date")).alias("d"))
+    r = t.events.select(F.col("user_id").alias("cn"), F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 20 == 0), F.col("ts").cast("date")).alias("d"))
     return r.groupBy("cn").agg(F.count("d").alias("n")).filter("n = 0").select("cn")
 
 
