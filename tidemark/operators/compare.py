@@ -49,6 +49,14 @@ def require_share(df: DataFrame, column: str, low: float, high: float) -> DataFr
     return df
 
 
+def require_complete(origins: list[int], last_complete: int) -> list[int]:
+    """The origins (month numbers), none of them past the last month that every source has in whole."""
+    late = [m for m in origins if m > last_complete]
+    if late:
+        raise GuardError(f"months {late} are past the last complete month {last_complete}: harvest again or shorten the grid")
+    return origins
+
+
 def coverage(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, dtype, non_null share of each column, in one scan."""
     columns = columns or df.columns
