@@ -6,9 +6,14 @@ rejects a row closes it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stands_alone
+
 
 def unique_candidates(reference: DataFrame, keys: list[str], entity: str = "cn") -> DataFrame:
     """keys, entity where exactly one entity has the keys; null keys match nothing."""
@@ -31,6 +36,19 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(1.0)
 
 
+def _nearest(names: DataFrame, ref: DataFrame, least: float) -> DataFrame:
+    """nm, pc, f (r_cn, score): the most similar entity of the same postcode and first word, if it is similar enough; ties
+    by entity. Names whose lengths differ too much can't be, so lengths are part of the block: a hot first word is split
+    by them, and each name is compared once, however many rows have it."""
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    n = F.length("nm")
+    fitting = F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))
+    left = names.select("nm", "pc", first(F.col("nm")).alias("w"), F.explode(fitting).alias("n"))
+    right = ref.filter("r_pc IS NOT NULL AND r_nm IS NOT NULL").select("r_cn", "r_nm", F.col("r_pc").alias("pc"), first(F.col("r_nm")).alias("w"), F.length("r_nm").alias("n"))
+    near = left.join(right, ["pc", "w", "n"]).withColumn("score", similarity(F.col("nm"), F.col("r_nm"))).filter(F.col("score") >= least)
+    return near.groupBy("nm", "pc").agg(F.min_by(F.struct("r_cn", "score"), F.struct(-F.col("score"), F.col("r_cn"))).alias("f"))
+
+
 def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str = "id", number: str = "number", name: str = "nm", area: str = "pc", entity: str = "cn") -> DataFrame:
     """key, entity, confidence, method; every row of `rows` once (key is unique).
 
@@ -43,14 +61,16 @@ def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str =
     by_number = ref.select(F.col("r_cn").alias("number"), F.col("r_cn").alias("n_cn")).distinct()
     by_name = ref.groupBy(F.col("r_nm").alias("nm")).agg(F.min("r_cn").alias("m_lo"), F.max("r_cn").alias("m_hi"))
     by_both = ref.filter("r_pc IS NOT NULL").groupBy(F.col("r_nm").alias("nm"), F.col("r_pc").alias("pc")).agg(F.min("r_cn").alias("b_lo"), F.max("r_cn").alias("b_hi"))
-    x = r.join(by_number, "number", "left").join(by_name, "nm", "left").join(by_both, ["nm", "pc"], "left")
-    open_rows = x.filter("n_cn IS NULL AND m_lo IS NULL AND nm IS NOT NULL AND pc IS NOT NULL").select("k", "nm", "pc")
-    block = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    left, right = open_rows.withColumn("w", block(F.col("nm"))), ref.withColumns({"w": block(F.col("r_nm")), "pc": F.col("r_pc")})
-    near = left.join(right, ["pc", "w"])
-    near = near.withColumn("score", similarity(F.col("nm"), F.col("r_nm"))).filter(F.col("score") >= least)
-    best = near.groupBy("k").agg(F.min_by(F.struct("r_cn", "score"), F.struct(-F.col("score"), F.col("r_cn"))).alias("f"))
-    x = x.join(best, "k", "left")
+    # a missing key meets nothing, and is dealt out by the row instead of all to one task
+    dealt = lambda c, k="k": F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(k).cast("string")))
+    x = r.withColumns({"j_number": dealt("number"), "j_nm": dealt("nm")})
+    x = x.join(by_number.select(F.col("number").cast("string").alias("j_number"), "n_cn"), "j_number", "left").join(by_name.withColumnRenamed("nm", "j_nm").filter("j_nm IS NOT NULL"), "j_nm", "left")
+    x = x.withColumn("j_pc", F.when(F.col("m_lo").isNotNull(), F.col("pc")))  # a name that nobody has needs no look-up with its postcode
+    x = x.join(by_both.select(F.col("nm").alias("j_nm"), F.col("pc").alias("j_pc"), "b_lo", "b_hi"), ["j_nm", "j_pc"], "left").drop("j_pc")
+    is_open = "n_cn IS NULL AND m_lo IS NULL AND nm IS NOT NULL AND pc IS NOT NULL"
+    best = _nearest(x.filter(is_open).select("nm", "pc").distinct(), ref, least)
+    x = x.withColumn("o_nm", F.when(F.expr(is_open), F.col("nm")).otherwise(F.concat(F.lit("\0"), F.col("k").cast("string"))))
+    x = x.join(best.withColumnRenamed("nm", "o_nm"), ["o_nm", "pc"], "left")
     tiers = [
         ("number", F.col("n_cn").isNotNull(), F.col("n_cn"), F.lit(1.0)),
         ("exact", F.col("b_lo") == F.col("b_hi"), F.col("b_lo"), F.lit(0.95)),
@@ -92,3 +112,22 @@ def precision(rows: DataFrame, reference: DataFrame, strategies: dict[str, list[
         one = m.agg(F.lit(label).alias("strategy"), F.count("*").alias("n"), F.count(entity).alias("matched"), F.count_if(F.col(entity) == F.col(truth)).alias("right"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def verify_articles(articles: DataFrame, sector_words: dict[str, list[str]], business: list[str], blocked: list[str]) -> DataFrame:
+    """articles: k, summary, body, name, town, sector and others, texts in lower case. Adds whether the name stands alone in
+    the summary (phrase), the town or a word of the sector anywhere, business words are there, the name is one word
+    (single_word) or on the block list (unsearchable), and what follows: verified. The texts are dropped."""
+    held = lambda x: F.coalesce(x, F.lit(False))
+    words = F.lit(False)
+    for sector, own in sector_words.items():
+        hit = reduce(or_, [stands_alone(F.col("body"), F.lit(w)) for w in own])
+        words = F.when(F.col("sector") == sector, hit).otherwise(words)
+    town = held((F.length("town") > 1) & stands_alone(F.col("body"), F.col("town")))
+    flags = {
+        "phrase": held(stands_alone(F.col("summary"), F.col("name"))), "town": town, "sector": held(words), "context": held(reduce(or_, [F.contains("body", F.lit(w)) for w in business])),
+        "single_word": F.size(F.regexp_extract_all("name", F.lit("[a-z0-9]+"), F.lit(0))) <= 1, "unsearchable": F.col("name").isin(*blocked),
+    }
+    rest = [c for c in articles.columns if c not in ("summary", "body", "name", "town", "sector")]
+    out = articles.select(*rest, *[v.alias(k) for k, v in flags.items()])
+    return out.withColumn("verified", ~F.col("unsearchable") & F.col("phrase") & (F.col("town") | F.col("sector") | F.col("context")))
