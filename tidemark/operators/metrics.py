@@ -1,7 +1,8 @@
 """Ranking metrics that treat ties exactly, from counts by score.
 
-Rows shrink to (score, positives, negatives) first, so the ordered windows run over distinct scores. Scores rounded to a
-grid bound their number whatever the input's size.
+Rows shrink to (score, positives, negatives) first. Running counts over scores are taken in two steps: within bands of
+neighbouring scores, and over the bands' totals. So no task orders all distinct scores, whatever their number, and no job
+runs ahead to find the bands.
 """
 
 from __future__ import annotations
@@ -9,73 +10,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bands an octave of scores: a band is a 250th part of a score wide.
+BANDS = 256
+
 
 def by_score(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
     return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*(groups or []), score).agg(F.sum(label).cast("double").alias("pos"), (F.count("*") - F.sum(label)).cast("double").alias("neg"))
 
 
+def band(score: Column) -> Column:
+    """A whole number that never falls as the score grows. At most 2 * 2098 * BANDS bands hold all finite scores."""
+    x = score.cast("double")
+    half = F.lit(1100 * BANDS)  # beyond the smallest and largest octave
+    return F.when(x > 0, F.floor(F.log2(x) * BANDS) + 2 * half).when(x < 0, -F.floor(F.log2(-x) * BANDS) - 2 * half).otherwise(F.lit(0)).cast("long")
+
+
+def running(counts: DataFrame, score: str, groups: list[str], values: list[str], descending: bool = True) -> DataFrame:
+    """counts with upto_<value>, the sum over all scores from the best (or the lowest) to the row's own, and all_<value>.
+    One row a group and score."""
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    d = counts.withColumn("_band", band(F.col(score)))
+    inner = Window.partitionBy(*groups, "_band").orderBy(order(score)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_in_{v}": F.sum(v).over(inner) for v in values})
+    totals = counts.groupBy(*groups, band(F.col(score)).alias("_band")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    outer = Window.partitionBy(*groups).orderBy(order("_band"))
+    before = {f"_b_{v}": F.coalesce(F.sum(f"_t_{v}").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) for v in values}
+    whole = {f"all_{v}": F.sum(f"_t_{v}").over(Window.partitionBy(*groups)) for v in values}
+    bands = totals.withColumns(before | whole).drop(*[f"_t_{v}" for v in values])
+    out = d.join(bands, [*groups, "_band"])
+    return out.withColumns({f"upto_{v}": F.col(f"_in_{v}") + F.col(f"_b_{v}") for v in values}).drop("_band", *[f"_{k}_{v}" for k in ("in", "b") for v in values])
+
+
 def ranking(df: DataFrame, score: str, label: str, groups: list[str] | None = None, cuts: tuple[int, ...] = (100,)) -> DataFrame:
     """n, base_rate, roc_auc, pr_auc (average precision), and precision and lift at each cut, by group.
 
     Tied scores count half in roc_auc and enter pr_auc together. At a cut within a tie, the tie's rows are taken in
     proportion. precision at n is null with fewer than n rows."""
-    groups = groups or []
-    s = by_score(df, score, label, groups)
-    down = Window.partitionBy(*groups).orderBy(F.desc(score))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups)
-    s = s.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
-    won = F.col("pos") * (F.col("n") - F.col("fp")) + F.col("pos") * F.col("neg") / 2
-    taken = lambda k: F.greatest(F.lit(0.0), F.least(F.col("pos") + F.col("neg"), k - (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg"))))
-    rows = (F.max("p") + F.max("n")).cast("long")
-    rate = F.try_divide(F.max("p"), F.max("p") + F.max("n"))
-    hits = lambda k: F.when(rows >= k, F.sum(F.col("pos") / (F.col("pos") + F.col("neg")) * taken(F.lit(float(k)))) / k)
-    out = [rows.alias("n"), rate.alias("base_rate"), F.try_divide(F.sum(won), F.max("p") * F.max("n")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")).alias("pr_auc")]
+    groups, c = groups or [], F.col
+    s = running(by_score(df, score, label, groups), score, groups, ["pos", "neg"])
+    tp, fp, p, n = c("upto_pos"), c("upto_neg"), c("all_pos"), c("all_neg")
+    won = c("pos") * (n - fp) + c("pos") * c("neg") / 2
+    taken = lambda k: F.greatest(F.lit(0.0), F.least(c("pos") + c("neg"), k - (tp + fp - c("pos") - c("neg"))))
+    rows = (F.max(p) + F.max(n)).cast("long")
+    rate = F.try_divide(F.max(p), F.max(p) + F.max(n))
+    hits = lambda k: F.when(rows >= k, F.sum(c("pos") / (c("pos") + c("neg")) * taken(F.lit(float(k)))) / k)
+    out = [rows.alias("n"), rate.alias("base_rate"), F.try_divide(F.sum(won), F.max(p) * F.max(n)).alias("roc_auc"), F.try_divide(F.sum(c("pos") * tp / (tp + fp)), F.max(p)).alias("pr_auc")]
     for k in cuts:
         out += [hits(k).alias(f"precision_{k}"), F.try_divide(hits(k), rate).alias(f"lift_{k}")]
     return s.groupBy(*groups).agg(*out)
 
 
-def bootstrap_weights(df: DataFrame, key: list[Column], resamples: int) -> DataFrame:
-    """One row a row and resample with a Poisson(1) weight fixed by the key's hash: a bootstrap without an index into the
-    whole table. Keys that are equal (as a company's rows) get equal weights, which makes it a cluster bootstrap."""
-    d = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *key, F.col("b"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    total, term, weight = 0.0, 0.36787944117144233, F.lit(0)
+def poisson(key: list[Column], resamples: int) -> Column:
+    """A Poisson(1) weight up to 7 for each resample, fixed by the key's hash: an array."""
+    steps = F.lit(poisson_steps())
+    share = lambda b: F.conv(F.substring(F.md5(F.concat_ws("|", *key, b)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.transform(F.transform(F.sequence(F.lit(1), F.lit(resamples)), share), lambda u: F.size(F.filter(steps, lambda s: u >= s)))
+
+
+def poisson_steps() -> list[float]:
+    """The chances of a weight of at most 0, 1, ... 6."""
+    total, term, out = 0.0, 0.36787944117144233, []
     for k in range(1, 8):
         total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
+        out.append(total)
         term /= k
-    return d.withColumn("weight", weight).filter("weight > 0")
+    return out
+
+
+def resampled(df: DataFrame, score: str, label: str, key: list[Column], resamples: int) -> DataFrame:
+    """b, score, pos, neg: weighted counts by score for each resample, a bootstrap without an index into the whole table.
+
+    A resample is a pair of sums beside the others in one aggregate by score, so rows are not multiplied; the sums are laid
+    out by resample afterwards. Keys that are equal (as a company's rows) get equal weights: a cluster bootstrap."""
+    y = F.col(label)
+    d = df.filter(y.isNotNull() & F.col(score).isNotNull()).select(F.col(score).cast("double").alias("score"), y.alias("y"), *[k.alias(f"key_{i}") for i, k in enumerate(key)])
+    own = [F.col(f"key_{i}") for i in range(len(key))]
+    d = d.withColumn("w", poisson(own, resamples))
+    sums = [F.struct(F.lit(b).alias("b"), F.sum(F.get("w", F.lit(b - 1)) * F.col("y")).cast("double").alias("pos"), F.sum(F.get("w", F.lit(b - 1)) * (1 - F.col("y"))).cast("double").alias("neg")) for b in range(1, resamples + 1)]
+    return d.groupBy("score").agg(F.array(*sums).alias("all")).select("score", F.inline("all")).filter("pos + neg > 0")
+
+
+def _auc(s: DataFrame, groups: list[str]) -> DataFrame:
+    c = F.col
+    r = running(s, "score", groups, ["pos", "neg"])
+    return r.groupBy(*groups).agg(F.try_divide(F.sum(c("pos") * (c("all_neg") - c("upto_neg")) + c("pos") * c("neg") / 2), F.max("all_pos") * F.max("all_neg")).alias("auc"))
+
+
+def _interval(df: DataFrame, value: str) -> DataFrame:
+    return df.agg(*[F.percentile(value, q).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
 
 
 def bootstrap_interval(df: DataFrame, score: str, label: str, key: list[Column], resamples: int = 200) -> DataFrame:
     """roc_auc's 2.5, 50 and 97.5 percentiles over resamples."""
-    w = bootstrap_weights(df.filter(F.col(label).isNotNull()), key, resamples)
-    s = w.groupBy("b", score).agg(F.sum(F.col(label) * F.col("weight")).cast("double").alias("pos"), F.sum((1 - F.col(label)) * F.col("weight")).cast("double").alias("neg"))
-    down, whole = Window.partitionBy("b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("b")
-    s = s.withColumns({"fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
-    auc = s.groupBy("b").agg(F.try_divide(F.sum(F.col("pos") * (F.col("n") - F.col("fp")) + F.col("pos") * F.col("neg") / 2), F.max("p") * F.max("n")).alias("auc"))
-    return auc.agg(*[F.percentile("auc", q).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    return _interval(_auc(resampled(df, score, label, key, resamples), ["b"]), "auc")
 
 
 def paired_delta(df: DataFrame, score_a: str, score_b: str, label: str, key: list[Column], resamples: int = 200) -> DataFrame:
     """low, mid, high of roc_auc(b) - roc_auc(a), both under the same weights."""
-    w = bootstrap_weights(df.filter(F.col(label).isNotNull()), key, resamples)
-    both = w.select("b", label, "weight", F.explode(F.array(F.struct(F.lit("a").alias("which"), F.col(score_a).cast("double").alias("s")), F.struct(F.lit("b").alias("which"), F.col(score_b).cast("double").alias("s")))).alias("x"))
-    s = both.groupBy("b", "x.which", "x.s").agg(F.sum(F.col(label) * F.col("weight")).cast("double").alias("pos"), F.sum((1 - F.col(label)) * F.col("weight")).cast("double").alias("neg"))
-    down, whole = Window.partitionBy("b", "which").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("b", "which")
-    s = s.withColumns({"fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
-    auc = s.groupBy("b", "which").agg(F.try_divide(F.sum(F.col("pos") * (F.col("n") - F.col("fp")) + F.col("pos") * F.col("neg") / 2), F.max("p") * F.max("n")).alias("auc"))
-    d = auc.groupBy("b").agg((F.max(F.when(F.col("which") == "b", F.col("auc"))) - F.max(F.when(F.col("which") == "a", F.col("auc")))).alias("d"))
-    return d.agg(*[F.percentile("d", q).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    a, b = (_auc(resampled(df, s, label, key, resamples), ["b"]).select("b", F.col("auc").alias(n)) for s, n in ((score_a, "auc_a"), (score_b, "auc_b")))
+    return _interval(a.join(b, "b").select((F.col("auc_b") - F.col("auc_a")).alias("d")), "d")
 
 
 def mean_rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """auc from average ranks of positives (Mann-Whitney)."""
-    s = by_score(df, score, label)
-    up = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("upto", F.sum(F.col("pos") + F.col("neg")).over(up))
-    rank = F.col("upto") - (F.col("pos") + F.col("neg") - 1) / 2
+    s = running(by_score(df, score, label), score, [], ["pos", "neg"], descending=False)
+    rank = F.col("upto_pos") + F.col("upto_neg") - (F.col("pos") + F.col("neg") - 1) / 2
     p, n = F.sum("pos"), F.sum("neg")
     return s.agg(F.try_divide(F.sum(F.col("pos") * rank) - p * (p + 1) / 2, p * n).alias("auc"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators.metrics import bootstrap_interval, paired_delta, ranking
-from ..operators.models import fit, importance, linear_contributions, score, top_reasons
+from ..operators.explain import contributions as contributions_of
+from ..operators.explain import kernel_values, tree_values
+from ..operators.metrics import bootstrap_interval, paired_delta, poisson_steps, ranking
+from ..operators.models import auc, fit, flagged, fold_of, frequent, grouped_auc, held_back, importance, linear_contributions, score, top_reasons, tune
 from .registry import query
 from .standins import WIDE, wide
 
@@ -37,20 +40,41 @@ def ml8(t):
     return ranking(scored(t), "p", "y", ["origin"])
 
 
-@query("ml9_bootstrap_interval")
+RESAMPLES = 50
+STEPS = poisson_steps()
+
+
+def resampled_sql(name: str, score: str, key: str) -> str:
+    """AUC of each resample, from the same weights: how many steps the key's hash is beyond."""
+    u = f"('0x' || md5({key}::VARCHAR || '|' || b::VARCHAR)[1:8])::BIGINT / 4294967296.0::DOUBLE"
+    weight = " + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in STEPS)
+    return f"""{name}_w AS (SELECT b, {score} AS v, y, {weight} AS w FROM (SELECT *, {u} AS u FROM s, (SELECT unnest(range(1, {RESAMPLES + 1})) AS b) WHERE y IS NOT NULL)),
+{name}_g AS (SELECT b, v, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM {name}_w GROUP BY 1, 2),
+{name}_r AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS fp, sum(pos) OVER (PARTITION BY b) AS p, sum(neg) OVER (PARTITION BY b) AS n FROM {name}_g),
+{name} AS (SELECT b, sum(pos * (n - fp) + pos * neg / 2) / (max(p) * max(n)) AS auc FROM {name}_r GROUP BY 1)"""
+
+
+def interval_sql(value: str) -> str:
+    return ", ".join(f"round(quantile_cont({value}, {q}), 9) AS {n}" for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975)))
+
+
+def rounded(df):
+    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+
+
+@query("ml9_bootstrap_interval", f"WITH {SCORED}, {resampled_sql('a', 'p', 'k')} SELECT {interval_sql('auc')} FROM a")
 def ml9(t):
-    """A Poisson bootstrap by hash: no SQL form, tested for coverage of the point estimate."""
-    return bootstrap_interval(scored(t), "p", "y", [F.col("k").cast("string")], 50)
+    return rounded(bootstrap_interval(scored(t), "p", "y", [F.col("k").cast("string")], RESAMPLES))
 
 
-@query("ml10_paired_delta")
+@query("ml10_paired_delta", f"WITH {SCORED}, {resampled_sql('a', 'p', 'k')}, {resampled_sql('c', 'q', 'k')} SELECT {interval_sql('c.auc - a.auc')} FROM a JOIN c USING (b)")
 def ml10(t):
-    return paired_delta(scored(t), "p", "q", "y", [F.col("k").cast("string")], 50)
+    return rounded(paired_delta(scored(t), "p", "q", "y", [F.col("k").cast("string")], RESAMPLES))
 
 
-@query("ml11_cluster_bootstrap")
+@query("ml11_cluster_bootstrap", f"WITH {SCORED}, {resampled_sql('a', 'p', 'cn')} SELECT {interval_sql('auc')} FROM a")
 def ml11(t):
-    return bootstrap_interval(scored(t), "p", "y", [F.col("cn").cast("string")], 50)
+    return rounded(bootstrap_interval(scored(t), "p", "y", [F.col("cn").cast("string")], RESAMPLES))
 
 
 @query("ml6_recalibrated", f"WITH {SCORED} SELECT k, ((q + 1) / 12) * 0.1 / (1 - ((q + 1) / 12) + ((q + 1) / 12) * 0.1) AS p FROM s")
@@ -98,12 +122,94 @@ def ml15(t):
     return j.groupBy("feature").agg((F.corr("contribution", value) * F.first(sign) > 0).alias("agrees"))
 
 
+NUMERIC, CATEGORICAL = ["q", "age", "lines"], ["segment"]
+
+
+def labelled(t):
+    """Orders as company-months: something to learn from, a category, missing numbers."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    d = t.orders.select(
+        k.alias("k"), F.col("o_custkey").alias("cn"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m"), F.floor(v / 50000).cast("double").alias("q"),
+        F.when(k % 5 > 0, (k % 40).cast("double")).alias("age"), (k % 7).cast("double").alias("lines"), F.col("o_orderpriority").alias("segment"), v.alias("v"),
+    )
+    return d.withColumn("y", ((F.col("v") / 500000 + F.col("lines") / 7 + F.when(F.col("segment") == "1-URGENT", 0.4).otherwise(0.0)) > 0.85).cast("double")).drop("v")
+
+
 @query("ml16_fit_and_score")
 def ml16(t):
-    """ML1 and ML2 with a logistic model: fit on even companies, score all; tested for a sensible ranking."""
-    d = wide(t).select("cn", "sector", "score", "moves", F.coalesce(F.col("flag").cast("double"), F.lit(0.0)).alias("y"))
-    fitted = fit(d.filter("cn % 2 = 0"), ["score", "moves"], ["sector"], "logistic")
-    return score(d, fitted, ["score", "moves"]).select("cn", "y", F.round("p", 6).alias("p"))
+    """ML1 to ML3: boosted trees fitted on the even companies, a tenth of which stops the boosting, score all. A fit has no
+    SQL form; tests hold it to its ranking and to grouped parts."""
+    d = labelled(t)
+    fitted = fit(d.filter("cn % 2 = 0"), NUMERIC, CATEGORICAL, "gbt", "cn")
+    return score(d, fitted).select("k", "cn", "y", F.round("p", 6).alias("p"))
+
+
+@query("ml1_registry_scores")
+def ml1(t):
+    """Every model of the registry on the same split and preparation, by its AUC on companies it has not seen."""
+    d = labelled(t)
+    rows = [(m, auc(score(d.filter("cn % 2 = 1"), fit(d.filter("cn % 2 = 0"), NUMERIC, CATEGORICAL, m)))) for m in ("logistic", "gbt", "mlp")]
+    return t.spark.createDataFrame([(m, a, a > 0.8) for m, a in rows], "model string, roc_auc double, good boolean").select("model", F.round("roc_auc", 3).alias("roc_auc"), "good")
+
+
+@query("ml2_frequent_categories", "WITH c AS (SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n >= 0.18 * (SELECT count(*) FROM part) THEN value ELSE '__rare__' END AS kept, sum(n)::BIGINT AS n FROM c GROUP BY 1")
+def ml2(t):
+    """Categories that too few rows have are one category."""
+    d = t.part.select(F.col("p_type").alias("value"))
+    return flagged(d, [], {"value": frequent(d, "value", 0.18)}).groupBy(F.col("value_kept").alias("kept")).agg(F.count("*").alias("n"))
+
+
+@query("ml3_held_back", "SELECT o_custkey AS cn, ('0x' || md5(o_custkey::VARCHAR || '|early')[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.1 AS held_back, count(*) AS n FROM orders GROUP BY 1, 2")
+def ml3(t):
+    """The companies on which boosting is stopped: whole companies, a tenth of them."""
+    return labelled(t).groupBy("cn", held_back("cn").alias("held_back")).agg(F.count("*").alias("n"))
+
+
+@query("ml4_randomised_search")
+def ml4(t):
+    """ML4: parameters drawn at random, each validated on later months behind the embargo."""
+    return tune(labelled(t), "m", 6, NUMERIC, CATEGORICAL, "logistic", 3, 2).select("trial", "parameters", "n_folds", F.round("mean_roc_auc", 3).alias("mean_roc_auc"), "place")
+
+
+@query("ml5_grouped_auc")
+def ml5(t):
+    """ML5: folds of whole companies, each scored by a model of the others."""
+    return grouped_auc(labelled(t), "cn", NUMERIC, CATEGORICAL).select("fold", "n", F.round("roc_auc", 3).alias("roc_auc"))
+
+
+@query("ml5_folds", "SELECT floor(('0x' || md5(o_custkey::VARCHAR || '|fold')[1:8])::BIGINT / 4294967296.0::DOUBLE * 3)::INTEGER AS fold, count(*) AS n, count(DISTINCT o_custkey) AS companies FROM orders GROUP BY 1")
+def ml5_folds(t):
+    return labelled(t).groupBy(fold_of("cn", 3).alias("fold")).agg(F.count("*").alias("n"), F.count_distinct("cn").alias("companies"))
+
+
+#: Two small trees over score and moves, with the rows that reached each node.
+TREES = [
+    {"feature": 0, "threshold": 4000.0, "rows": 100, "left": {"value": -1.0, "rows": 60}, "right": {"feature": 1, "threshold": 0.5, "rows": 40, "left": {"value": 0.5, "rows": 10}, "right": {"value": 2.0, "rows": 30}}},
+    {"feature": 1, "threshold": 1.5, "rows": 50, "left": {"value": 0.25, "rows": 35}, "right": {"value": -0.75, "rows": 15}},
+]
+XM = "x AS (SELECT cn, score, coalesce(moves, 0) AS moves FROM wide)"
+
+
+@query("ml12_tree_contributions", f"""WITH {WIDE}, {XM}, o AS (SELECT cn, CASE WHEN score <= 4000 THEN -1.0 WHEN moves <= 0.5 THEN 0.5 ELSE 2.0 END::DOUBLE AS f12, CASE WHEN score <= 4000 THEN -1.0 ELSE 0.25 * 0.5 + 0.75 * 2.0 END::DOUBLE AS f1,
+  (0.6 * -1.0 + 0.4 * CASE WHEN moves <= 0.5 THEN 0.5 ELSE 2.0 END)::DOUBLE AS f2, (0.6 * -1.0 + 0.1 * 0.5 + 0.3 * 2.0)::DOUBLE AS f0, (CASE WHEN moves <= 1.5 THEN 0.25 ELSE -0.75 END - (0.7 * 0.25 + 0.3 * -0.75))::DOUBLE AS second FROM x)
+SELECT cn, 'score' AS feature, round((f1 - f0 + f12 - f2) / 2, 9) AS contribution FROM o UNION ALL SELECT cn, 'moves', round((f2 - f0 + f12 - f1) / 2 + 0.5 * second, 9) FROM o""")
+def ml12_trees(t):
+    """Two fixed trees, the second at half weight, against the definition over all sets of features."""
+    x = wide(t).select("cn", "score", F.coalesce("moves", F.lit(0)).alias("moves"))
+    return contributions_of(x, ["score", "moves"], "cn", lambda m: tree_values(m, TREES, [1.0, 0.5])).withColumn("contribution", F.round("contribution", 9))
+
+
+LOGIT = "1 / (1 + exp(-({0} / 5000 - {1} * {0} / 9000)))"
+
+
+@query("ml12_kernel_contributions", f"""WITH {WIDE}, {XM}, b(s, m) AS (VALUES (1000.0::DOUBLE, 1.0::DOUBLE), (6000.0, 2.0)), o AS (SELECT cn, {LOGIT.format('score', 'moves')} AS f12, avg({LOGIT.format('score', 'm')}) AS f1, avg({LOGIT.format('s', 'moves')}) AS f2, avg({LOGIT.format('s', 'm')}) AS f0 FROM x, b GROUP BY cn, score, moves)
+SELECT cn, 'score' AS feature, round((f1 - f0 + f12 - f2) / 2, 9) AS contribution FROM o UNION ALL SELECT cn, 'moves', round((f2 - f0 + f12 - f1) / 2, 9) FROM o""")
+def ml12_kernel(t):
+    """Any model, here a logistic one with an interaction, against two background rows."""
+    x = wide(t).select("cn", "score", F.coalesce("moves", F.lit(0)).alias("moves"))
+    predict = lambda m: 1 / (1 + np.exp(-(m[:, 0] / 5000 - m[:, 1] * m[:, 0] / 9000)))
+    background = np.array([[1000.0, 1.0], [6000.0, 2.0]])
+    return contributions_of(x, ["score", "moves"], "cn", lambda m: kernel_values(m, predict, background)).withColumn("contribution", F.round("contribution", 9))
 
 
 @query("ml17_shortlist_reasons", f"{REASONS}, t AS (SELECT cn FROM x ORDER BY score DESC, cn LIMIT 50), r AS (SELECT c.*, row_number() OVER (PARTITION BY cn ORDER BY abs(v) DESC, feature) AS rank, abs(v) / sum(abs(v)) OVER (PARTITION BY cn) AS share FROM c) SELECT cn, rank, feature, v AS contribution, share FROM r WHERE cn IN (SELECT cn FROM t)")
