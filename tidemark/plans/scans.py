@@ -41,10 +41,17 @@ def sc4(t):
 
 @query("sc5_utf16_pipes", CUSTOMER)
 def sc5(t):
+    """Pipes in UTF-16 inside zip files, a file a task."""
     path = fresh(t.spark, "sc5")
-    t.customer.select(*CUSTOMER_COLUMNS).write.option("header", True).option("sep", "|").option("encoding", "UTF-16").csv(path)
-    # a line feed in UTF-16 is two bytes, so such files are read whole
-    return t.spark.read.option("header", True).option("sep", "|").option("encoding", "UTF-16").option("multiLine", True).csv(path)
+    sinks.zipped_csv(as_text(t.customer.select(*CUSTOMER_COLUMNS)).repartition(3), path, "|", "utf-16")
+    return readers.zipped_csv(t.spark, path, CUSTOMER_COLUMNS, sep="|", encoding="utf-16")
+
+
+@query("sc6_zipped_csv", "SELECT p_name, p_partkey::VARCHAR AS p_partkey, NULL::VARCHAR AS absent FROM part")
+def sc6(t):
+    path = fresh(t.spark, "sc6")
+    sinks.zipped_csv(as_text(t.part.select("p_partkey", "p_name", "p_brand")).repartition(2), path)
+    return readers.zipped_csv(t.spark, path, ["p_name", "p_partkey", "absent"])
 
 
 @query("sc7_parquet_glob", "SELECT * FROM orders")
@@ -60,7 +67,7 @@ def sc8(t):
     o = t.orders
     o.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "o_orderstatus").write.parquet(f"{path}/part=0")
     o.filter("o_orderkey % 2 = 1").select("o_custkey", "o_orderkey").write.parquet(f"{path}/part=1")
-    return readers.parquet(t.spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "part")
+    return readers.parquet(t.spark, path, merge=True).select("o_orderkey", "o_custkey", "o_orderstatus", "part")
 
 
 @query("sc9_one_partition", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -114,9 +121,7 @@ def sc15(t):
 @query("sc16_registered_view", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sc16(t):
     """SC16 and SK7: tables under names that SQL can use."""
-    t.nation.createOrReplaceTempView("tm_nation")
-    t.region.createOrReplaceTempView("tm_region")
-    return t.spark.sql("SELECT n_name AS name, r_name AS region FROM tm_nation JOIN tm_region ON n_regionkey = r_regionkey")
+    return t.spark.sql("SELECT n_name AS name, r_name AS region FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", nation=t.nation, region=t.region)
 
 
 @query("sc17_values", "SELECT * FROM (VALUES (DATE '2026-01-01', DATE '2026-02-01'), (DATE '2026-02-01', DATE '2026-03-02')) t(snapshot_date, source_date)")
@@ -193,5 +198,4 @@ def sk7(t):
     """A table kept for several uses: written once, then read under a name."""
     path = fresh(t.spark, "sk7")
     t.orders.groupBy(F.col("o_custkey").alias("cn")).agg(F.count("*").alias("n")).write.parquet(path)
-    t.spark.read.parquet(path).createOrReplaceTempView("tm_counts")
-    return t.spark.sql("SELECT cn, n FROM tm_counts WHERE n > 12")
+    return t.spark.sql("SELECT cn, n FROM {counts} WHERE n > 12", counts=t.spark.read.parquet(path))

@@ -56,8 +56,8 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str], member: str =
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, text_schema(columns))
 
 
-def parquet(spark: SparkSession, *paths: str, merge: bool = True) -> DataFrame:
-    """By column name over files of drifting schemas; partition folders become columns, filters on them prune folders."""
+def parquet(spark: SparkSession, *paths: str, merge: bool = False) -> DataFrame:
+    """By column name; merge reads every footer and joins drifting schemas. Partition folders become columns, filters on them prune folders."""
     return spark.read.option("mergeSchema", merge).parquet(*paths)
 
 
