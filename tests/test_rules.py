@@ -1,19 +1,24 @@
 """The rules that are easiest to get wrong, on hand-made rows."""
 
+import random
 from datetime import date
+from itertools import combinations
+from math import factorial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, text
+from tidemark.operators import explain
 from tidemark.operators.asof import award_features, lender_features
 from tidemark.operators.compare import GuardError, require_known, require_share, require_unique
 from tidemark.operators.events import append_new, cross_source_dedup, notice_features
 from tidemark.operators.facets import NOT_STATED, Filter, FilterError, conditions, facet_counts, page
 from tidemark.operators.matching import ladder
-from tidemark.operators.metrics import bootstrap_interval, paired_delta, ranking
-from tidemark.operators.models import downsample, expanding_folds, fit, origin_split, score
-from tidemark.operators.panel import Months, deltas, forward_labels, run_starts
+from tidemark.operators.metrics import bootstrap_interval, by_score, paired_delta, ranking, running
+from tidemark.operators.models import downsample, expanding_folds, fit, fold_of, grouped_auc, held_back, origin_split, prepare, score
+from tidemark.operators.panel import DELTA_INPUTS, Months, deltas, forward_labels, run_starts
 
 M = 2025 * 12  # + month
 
@@ -24,9 +29,11 @@ def panel_of(spark, charges=None, overdue=None):
 
 
 def test_calendar_hole(spark):
-    d = {r["m"] - M: r for r in deltas(panel_of(spark, {3: 1, 4: 1, 5: 2, 7: 2, 8: 3, 9: 3})).collect()}
-    want = {3: (None, None, 0, None), 4: (None, False, 0, None), 5: (None, True, 1, 0), 7: (1, None, 1, 2), 8: (1, True, 2, 0), 9: (None, False, 2, 1)}
-    assert {m: (r["d_charges_3m"], r["is_new_charge"], r["new_charges_12m"], r["months_since_new_charge"]) for m, r in d.items()} == want
+    panel = panel_of(spark, {3: 1, 4: 1, 5: 2, 7: 2, 8: 3, 9: 3})
+    absent = [F.lit(None).cast("date" if x.endswith(("due", "made", "date")) else "boolean" if x in ("is_active", "stale") else "double" if x == "debt_ratio" else "bigint" if x == "satisfied" else "string").alias(x) for x in DELTA_INPUTS if x not in panel.columns]
+    d = {r["m"] - M: r for r in deltas(panel.select("*", *absent)).collect()}
+    want = {3: (None, None, 0, None), 4: (None, False, 0, None), 5: (None, False, 1, 0), 7: (1, None, 1, 2), 8: (1, False, 2, 0), 9: (None, False, 2, 1)}
+    assert {m: (r["d_charges_3m"], r["status_changed"], r["new_charge_events_12m"], r["months_since_last_new_charge"]) for m, r in d.items()} == want
 
 
 def test_labels_stop_at_the_panel_end(spark):
@@ -178,9 +185,9 @@ def test_pages_cover_ties(spark):
 def test_bursts(spark):
     from datetime import timedelta
 
-    rows = [(k, "petition", "p", d("2023-01-01") + timedelta(n), "AB1", f"{k}{n:04}") for k, days in (("a", (0, 40, 90)), ("b", (0, 91, 181))) for n in days]
-    n = spark.createDataFrame(rows, "cn string, family string, notice_type string, notice_date date, postcode string, url string")
-    assert {r["cn"]: (r["burst"], r["recurring"]) for r in notice_features(n, F.lit(d("2023-12-31"))).collect()} == {"a": (True, False), "b": (False, True)}
+    rows = [(k, None, "petition", "p", d("2023-01-01") + timedelta(n), "AB1", f"{k}{n:04}") for k, days in (("a", (0, 40, 90)), ("b", (0, 91, 181))) for n in days]
+    n = spark.createDataFrame(rows, "cn string, name string, family string, notice_type string, notice_date date, postcode string, url string")
+    assert {r["cn"]: (r["notice_burst_flag"], r["recurring_distress_flag"]) for r in notice_features(n, F.lit(d("2023-12-31"))).collect()} == {"a": (1, 0), "b": (0, 1)}
 
 
 def test_guards(spark):
@@ -191,11 +198,156 @@ def test_guards(spark):
             bad()
 
 
+def learnable(spark):
+    return spark.range(400).select("id", (F.col("id") % 20).alias("cn"), (F.col("id") % 50).cast("double").alias("v"), F.when(F.col("id") % 7 > 0, F.col("id") % 11).cast("double").alias("u"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 90 > 0, "b").otherwise("c").alias("c"), (F.col("id") % 50 > 25).cast("double").alias("y"))
+
+
 def test_model_ranks(spark):
-    df = spark.range(200).select("id", (F.col("id") % 50).cast("double").alias("v"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("c"), (F.col("id") % 50 > 25).cast("double").alias("y"))
-    for model in ("logistic", "gbt"):
-        out = score(df, fit(df, ["v"], ["c"], model), ["v"])
-        assert ranking(out.withColumn("y", F.col("y").cast("int")), "p", "y").first()["roc_auc"] > 0.95
+    df = learnable(spark)
+    for model, entity in (("logistic", None), ("gbt", None), ("gbt", "cn"), ("mlp", None)):
+        out = score(df, fit(df, ["v", "u"], ["c"], model, entity))
+        assert out.columns == [*df.columns, "p"] and ranking(out.withColumn("y", F.col("y").cast("int")), "p", "y").first()["roc_auc"] > 0.95
+
+
+def test_rare_and_unseen_categories_are_one(spark):
+    df = learnable(spark)
+    p = prepare(df, ["v", "u"], ["c"], least_share=0.1)
+    assert p.known == {"c": ["a", "b"]}
+    odd = df.limit(3).withColumn("c", F.when(F.col("id") == 0, "c").when(F.col("id") == 1, "never seen"))
+    rows = {r["id"]: r["features"].toArray().tolist() for r in p.transform(odd).select("id", "features").collect()}
+    assert rows[0][4:] == rows[1][4:] == rows[2][4:] and sum(rows[0][4:]) == 1
+    assert all(len(r) == len(rows[0]) for r in rows.values())
+
+
+def test_groups_are_never_split(spark):
+    df = learnable(spark)
+    for part in (held_back("cn", 0.3), fold_of("cn", 3)):
+        assert df.select("cn", part.alias("part")).distinct().groupBy("cn").count().filter("count > 1").count() == 0
+    folds = grouped_auc(df, "cn", ["v"], [], folds=2).collect()
+    assert sum(r["n"] for r in folds) == 400 and all(r["roc_auc"] > 0.95 for r in folds)
+
+
+def test_search_keeps_the_embargo(spark, monkeypatch):
+    from tidemark.operators import models
+
+    df, seen = learnable(spark).withColumn("m", (F.col("id") % 12).cast("int")), []
+    build = models.fit
+
+    def fitted(train, *a, **k):
+        seen.append(sorted(r[0] for r in train.select("m").distinct().collect()))
+        return build(train, *a, **k)
+
+    monkeypatch.setattr(models, "fit", fitted)
+    got = models.tune(df, "m", 2, ["v"], [], "logistic", 2, 2).collect()
+    assert sorted(r["place"] for r in got) == [1, 2] and len({r["parameters"] for r in got}) == 2
+    cuts = expanding_folds(list(range(12)), 2, 2)
+    assert seen == [early for _ in range(2) for early, _ in cuts] and all(max(e) + 2 < min(v) for e, v in cuts)
+    with pytest.raises(ValueError):
+        models.tune(df.filter("m < 3"), "m", 6, ["v"], [])
+
+
+def shapley(value, features):
+    """The definition, over all sets."""
+    out = []
+    for j in range(features):
+        total = 0.0
+        for r in range(features):
+            for known in combinations([i for i in range(features) if i != j], r):
+                total += factorial(r) * factorial(features - 1 - r) / factorial(features) * (value({*known, j}) - value(set(known)))
+        out.append(total)
+    return out
+
+
+def random_tree(r, depth, rows):
+    if depth == 0 or rows < 4 or r.random() < 0.15:
+        return {"value": r.uniform(-2, 2), "rows": rows}
+    left = r.randrange(1, rows)
+    return {"feature": r.randrange(4), "threshold": r.uniform(-1, 1), "rows": rows, "left": random_tree(r, depth - 1, left), "right": random_tree(r, depth - 1, rows - left)}
+
+
+def test_tree_contributions_by_definition():
+    r = random.Random(4)
+    x = np.array([[r.uniform(-1.5, 1.5) for _ in range(4)] for _ in range(6)])
+    for _ in range(30):
+        tree = random_tree(r, 4, 200)
+
+        def expected(row, known, node):
+            if "value" in node:
+                return node["value"]
+            low, high = node["left"], node["right"]
+            if node["feature"] in known:
+                return expected(row, known, low if row[node["feature"]] <= node["threshold"] else high)
+            return (expected(row, known, low) * low["rows"] + expected(row, known, high) * high["rows"]) / node["rows"]
+
+        got = explain.tree_values(x, [tree])
+        for row, mine in zip(x, got, strict=True):
+            assert np.allclose(mine, shapley(lambda known: expected(row, known, tree), 4))  # noqa: B023
+
+
+def test_kernel_contributions_by_definition():
+    r = np.random.default_rng(1)
+    background, x = r.normal(size=(5, 3)), r.normal(size=(4, 3))
+    predict = lambda m: np.tanh(m[:, 0] * m[:, 1]) + m[:, 2] ** 2
+    got = explain.kernel_values(x, predict, background)
+    for row, mine in zip(x, got, strict=True):
+        def value(known):
+            m = background.copy()
+            for j in known:
+                m[:, j] = row[j]  # noqa: B023
+            return float(predict(m).mean())
+
+        assert np.allclose(mine, shapley(value, 3))
+    with pytest.raises(ValueError):
+        explain.kernel_values(np.zeros((1, 13)), predict, background)
+
+
+def test_fitted_models_are_explained(spark):
+    from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["v", "id"], outputCol="features").transform(learnable(spark))
+    x = np.array([[r["v"], r["id"]] for r in df.select("v", "id").collect()], float)
+    boosted = GBTClassifier(labelCol="y", featuresCol="features", maxIter=3, maxDepth=3, seed=1).fit(df)
+    trees, weights = explain.spark_trees(boosted)
+    raw = np.array([r["rawPrediction"][1] for r in boosted.transform(df).select("rawPrediction").collect()])
+    total = explain.tree_values(x, trees, weights).sum(1)
+    assert np.allclose(total - total.mean(), (raw - raw.mean()) * np.polyfit(raw, total, 1)[0], atol=1e-6)  # raw may count the margin twice
+    layers = MultilayerPerceptronClassifier(labelCol="y", featuresCol="features", layers=[2, 3, 2], maxIter=5, seed=1).fit(df)
+    p = explain.perceptron_output([2, 3, 2], layers.weights.toArray())(x)
+    assert np.allclose(p, [r["probability"][1] for r in layers.transform(df).select("probability").collect()], atol=1e-6)
+    rows = explain.contributions(df, ["v", "id"], "id", lambda m: explain.tree_values(m, trees, weights))
+    assert rows.count() == 800 and rows.columns == ["id", "feature", "contribution"]
+
+
+def test_a_long_calendar_is_replayed_in_parts(spark, monkeypatch):
+    from tidemark.operators import asof
+
+    days = [date(2020 + k // 12, k % 12 + 1, 28) for k in range(30)]
+    r = random.Random(2)
+    born = lambda: date(2019 + r.randrange(4), r.randrange(12) + 1, r.randrange(28) + 1)
+    charges = spark.createDataFrame([(k % 5, k % 17, born(), born() if k % 3 else None, born() if k % 4 else None, f"G{k % 4}" if k % 5 else "unclassified", k % 4 == 1) for k in range(90)], "cn int, charge int, created date, delivered date, satisfied date, lender string, ours boolean")
+    awards = spark.createDataFrame([(k % 4, k % 13, born(), float(k) if k % 3 else None) for k in range(60)], "cn int, contract int, published date, value double")
+    for f, rows in ((lender_features, charges), (award_features, awards)):
+        monkeypatch.setattr(asof, "MASK_DATES", 62)
+        whole = sorted(map(tuple, f(rows, days).collect()), key=repr)
+        monkeypatch.setattr(asof, "MASK_DATES", 7)
+        assert whole and sorted(map(tuple, f(rows, days).collect()), key=repr) == whole
+
+
+def test_running_counts_in_bands(spark):
+    r = random.Random(3)
+    rows = [(r.choice([r.uniform(-5, 5), 0.0, r.uniform(0, 1e-9), float(r.randrange(-3, 4))]), r.randrange(2), r.choice("ab")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "s double, y int, g string")
+    got = {(x["g"], x["s"]): (x["upto_pos"], x["upto_neg"], x["all_pos"]) for x in running(by_score(df, "s", "y", ["g"]), "s", ["g"], ["pos", "neg"]).collect()}
+    for (g, s), (pos, neg, whole) in got.items():
+        better = [y for v, y, h in rows if h == g and v >= s]
+        assert (pos, neg, whole) == (sum(better), len(better) - sum(better), sum(y for _, y, h in rows if h == g))
+
+
+def test_entities_are_read_once(spark):
+    said = ["a &amp;lt; b &pound;5 &#163; &#x1F600; &bogus; & c", "&#0;&#xD800;&", "none", None]
+    got = [x["t"] for x in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").select("i", text.unescaped(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert got == ["a &lt; b £5 £ 😀 &bogus; & c", "&#0;&#xD800;&", "none", None]
 
 
 def test_zipped_csv(spark, tmp_path):
