@@ -49,66 +49,112 @@ def near_copies(seed=4, bases=12, copies=9):
     return [*rows, (900, None), (901, ""), (902, "one"), (903, "ONE "), (904, "one two")]
 
 
-@pytest.mark.parametrize(("n", "num", "block"), [(3, 90, 50_000), (3, 90, 4), (5, 80, 50_000), (2, 50, 3)])
-def test_jaccard_groups(spark, monkeypatch, n, num, block):
+@pytest.mark.parametrize(("n", "num", "most"), [(3, 90, 512), (3, 90, 2), (5, 80, 512), (2, 50, 3)])
+def test_jaccard_groups(spark, monkeypatch, n, num, most):
     rows = near_copies()
-    build = jaccard.candidate_pairs
-    monkeypatch.setattr(jaccard, "candidate_pairs", lambda *a: build(*a, block=block))
+    monkeypatch.setattr(jaccard, "TRIE_SETS", most)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, n, num, 100).collect()}
     assert got == plain_groups(rows, n, num)
 
 
+def test_jaccard_of_chained_passages(spark):
+    """Groups that share passages with one another, and chains whose ends do not link."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    passages = [r.choices(words, k=60) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        w = [*passages[i % 3], *r.choices(words, k=(i // 3) % 12)]
+        if i % 5 == 0:
+            w = w[: len(w) - i % 7]
+        rows.append((1000 - i, " ".join(w)))
+    chain = r.choices(words, k=90)
+    for i in range(60):
+        rows.append((2000 + i, " ".join(chain)))
+        chain[(i * 7) % 90] = r.choice(words)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for n, num in ((3, 90), (5, 80), (1, 70)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(df, n, num, 100).collect()}
+        assert got == plain_groups(rows, n, num)
+
+
+def test_order_keys():
+    r = np.random.default_rng(3)
+    s = np.unique(r.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2))
+    border = jaccard._border(80, 100)
+    low = s[s < border]
+    held = np.arange(len(low), 0, -1) * 100
+    keys = jaccard.order_keys(s, border, low, held)
+    assert len(keys) == len(s) and (np.diff(keys.astype(object)) > 0).all()
+    first = keys[: len(low)] >> np.uint64(jaccard.KEY_BITS)
+    assert first.tolist() == sorted(min(2047, int(x)) for x in held) and (keys[len(low) :] >= np.uint64(1 << 63)).all()
+    # an n-gram that no other class holds has no key
+    assert np.isin(jaccard.order_keys(s, border, low[1:], held[1:]), keys).all()
+
+
+def by_path(sets):
+    return sorted(sets, key=lambda x: x[2].byteswap().tobytes())
+
+
 def test_trie_finds_all_links():
     r = np.random.default_rng(2)
     for _ in range(60):
         pool = np.unique(r.integers(0, 1 << 62, 60).astype(np.uint64))
-        sets = [np.sort(r.choice(pool, r.integers(1, len(pool)), replace=False)) for _ in range(12)]
+        paths = [np.sort(r.choice(pool, r.integers(1, len(pool)), replace=False)) for _ in range(12)]
+        sets = [(k % 7, len(p) + int(r.integers(0, 3)), p) for k, p in enumerate(paths)]
         probe = np.sort(r.choice(pool, r.integers(1, len(pool)), replace=False))
-        ordered = sorted(enumerate(sets), key=lambda x: x[1].byteswap().tobytes())
+        size, trie = len(probe) + int(r.integers(0, 3)), jaccard.Trie(by_path(sets))
         for num in (50, 80, 90):
-            want = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= num * len(np.union1d(s, probe))}
-            assert set(jaccard.Trie(ordered).links(probe, num, 100)) == want
+            for own in (None, 3):
+                shared = lambda p: len(np.intersect1d(p, probe))  # noqa: B023, E731
+                want = {c for c, s, p in sets if c != own and 100 * shared(p) >= num * (s + size - shared(p))}
+                assert trie.links(own, size, probe, num, 100) == want
 
 
 def edited_copies(n, size):
-    """A set and n copies with one member changed each, as the trie orders them."""
+    """A set and n copies with one member changed each."""
     base = np.arange(10, 10 * size + 10, 10).astype(np.uint64)
     copies = []
     for k in range(n):
         s = base.copy()
         s[k % size] += np.uint64(1 + k // size)
-        copies.append((k, s))
-    return base, sorted(copies, key=lambda x: x[1].byteswap().tobytes())
+        copies.append((k, size, s))
+    return base, copies
 
 
 def test_trie_of_many_edited_copies():
     base, copies = edited_copies(3000, 1500)
-    assert sorted(jaccard.Trie(copies).links(base, 90, 100)) == list(range(3000))
+    assert jaccard.Trie(by_path(copies)).links(None, len(base), base, 90, 100) == set(range(3000))
+
 
+def test_walk_over_batches():
+    base, copies = edited_copies(300, 400)
+    rows = [(1, 0, 0, False, k, n, s.tobytes()) for k, n, s in copies] + [(1, 0, 0, True, 1000, 400, base.tobytes()), (1, 0, 0, True, 7, 400, copies[7][2].tobytes())]
+    rows += [(1, 0, 1, True, 2000, 400, base.tobytes())]  # a visitor where no set is
+    rows += [(2, 1, 0, False, 5000, 400, base.tobytes()), (2, 1, 0, True, 5001, 400, base.tobytes()), (2, 1, 0, True, 5000, 400, base.tobytes()), (2, 1, 0, True, 5002, 100, base[:100].tobytes())]
+    cols = list(zip(*rows, strict=True))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    names = ["root", "part", "block", "visits", "comp", "size", "members"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+    got = {x for out in jaccard._walk(iter([batch.slice(0, 120), batch.slice(120, 181), batch.slice(301)]), 90, 100) for x in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    assert got == {(k, 1000) for k in range(300)} | {(min(7, k), max(7, k)) for k in range(300) if k != 7} | {(5000, 5001)}
 
-def test_walk_bounds_its_tries(monkeypatch):
-    base, copies = edited_copies(2500, 400)
-    rows = [(1, 0, None, base.tobytes()), *((1, 0, k, s.tobytes()) for k, s in copies), (2, 0, None, base.tobytes()), (2, 0, 7, base[:100].tobytes())]
-    a, salt, b, members = (list(c) for c in zip(*rows, strict=True))
-    batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int64()), pa.array(b, pa.int64()), pa.array(members, pa.binary())], ["a", "salt", "b", "members"])
-    held, build = [], jaccard.Trie.__init__
 
-    def init(self, sets):
-        held.append((len(sets), sum(s.nbytes for _, s in sets)))
-        build(self, sets)
+def test_many_variants_of_one_text(spark):
+    """20,000 one-word variants of one text: one group, and tries of bounded size."""
+    from pyspark.sql import functions as F
 
-    monkeypatch.setattr(jaccard.Trie, "__init__", init)
-    for most in (16 << 20, 100_000):
-        monkeypatch.setattr(jaccard, "TRIE_BYTES", most)
-        held.clear()
-        got = [x for out in jaccard._walk(iter([batch.slice(0, 700), batch.slice(700)]), 90, 100) for x in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
-        assert sorted(got) == [(1, k) for k in range(2500)]
-        assert all(n <= jaccard.TRIE_SETS and size <= most for n, size in held)
+    base = [f"w{k}" for k in range(200)]
+    words = F.transform(F.array(*map(F.lit, base)), lambda w, k: F.when(k == F.col("doc_id") % 200, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(w))
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id").select("doc_id", F.concat_ws(" ", words).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(99_999, "quite another text " * 9)], "doc_id bigint, text string"))
+    got = jaccard.near_duplicates(df, 3, 90, 100).groupBy("component_id").count().collect()
+    assert {(r["component_id"], r["count"]) for r in got} == {(0, 20_000), (99_999, 1)}
 
 
-def test_popular_probes_get_more_slices(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+def test_roots_with_many_tries(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TRIE_SETS", 3)
     rows = near_copies(bases=3, copies=40)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}
     assert got == plain_groups(rows, 3, 90)

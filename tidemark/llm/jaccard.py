@@ -1,17 +1,19 @@
 """N-gram Jaccard join by prefix tree, and the near-duplicate groups that its links make.
 
-1. Each text becomes the sorted set of 64-bit hashes of its n-grams. Texts with equal sets are one class from then on.
-2. All n-grams have one global order: those in the lowest part of the hash space come first, rare ones before frequent
-   ones, then the others by hash. Two sets can only link if they share one of their first |x| - ceil(t |x|) + 1 n-grams.
-   N-grams that a single class holds lead to no pair and go early.
-3. Classes that share such an n-gram meet. A pair goes on if its sizes fit, enough n-grams can still follow the shared
-   one, and the parities of both sets by hash bits differ in no more places than t allows. Each of these bounds is exact:
-   no linked pair is lost, and there is no cap on partners.
-4. The pairs that are left are joined through a trie: the ordered sets of a probe's partners share the nodes of what they
-   have in common, one walk carries the overlap so far, and a subtree is left when the most that can still come (what
-   remains of the probe or of the longest set below) is too little.
-5. First each class tries its nearest earlier partner only, which joins most of a group with one link a member. Then all
-   pairs that still lie in different components are tried, so the result is exact and copies are not expanded into pairs.
+1. Each text becomes the set of 64-bit hashes of its n-grams. Texts with equal sets are one class from then on.
+2. All n-grams have one global order, written as a 64-bit key (`order_keys`): those in the lowest part of the hash space
+   come first, rare ones before frequent ones, then the others by hash. N-grams of that lowest part that a single class
+   holds are in no intersection: they stand first in the order, are counted, and not stored.
+3. Two sets can only link if they share one of their first |x| - ceil(t |x|) + 1 n-grams (the prefix). The tree is dealt
+   out by root: a class lies under the one of its prefix n-grams that most prefixes hold, once. Near copies lie under one
+   root, whatever else their prefixes hold. A class visits the roots under which classes with one of its prefix n-grams
+   and a fitting size lie; of two roots, the members of the smaller one visit the larger one.
+4. Under each root the ordered sets are a trie of bounded size; a root with more of them has several. A visitor walks it
+   once: sets that begin alike share the overlap so far, and a subtree is left when the most that can still come (what
+   remains of the visitor or of the longest set below) is too little for the smallest set below.
+5. First each root's most typical class alone walks its trie, which joins most of a group of near copies with one link a
+   member. Then each class visits every root that still holds another component, and passes by subtrees of its own. So the
+   result is exact without a cap, and the pairs inside a group are never made.
 
 Null texts and texts without a word have an empty set and link with nothing. A text with fewer words than n has one
 n-gram, the whole sequence. Repeated rows are members like others. A row whose id is null links as others do, but no
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, release, remove, small_batches, texts, worker_cache, written
@@ -34,18 +36,14 @@ from .components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _KEPT_WORDS = 200_000
-#: Members of one n-gram's group that meet in one task; larger groups are split into blocks, each pair of blocks a task.
-BLOCK = 20_000
 #: Rows of 24 bytes up to which the classes to be joined are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 #: Parts of the hash space whose n-grams are counted one after the other.
 SLICES = 4
-#: Probe and partners of one trie come from so many slices of the partners, so that a popular probe is spread.
-SALTS = 8
-#: A probe with more than SALTS times so many partners gets a slice for about each so many.
-PARTNERS = 256
-#: A trie takes no more partners than this, nor more bytes of their sets (one partner at least).
-TRIE_SETS, TRIE_BYTES = 1024, 16 << 20
+#: A trie holds about so many sets and bytes of them at most (one set at least); a root with more has several tries.
+TRIE_SETS, TRIE_BYTES = 512, 2 << 20
+#: Bits of an order key that hold the hash; those above hold the number of classes, up to 2047, and the border.
+KEY_BITS = 52
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -83,31 +81,22 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -((-n * num) // den) + 1 if n else 0
 
 
-def parity(hashes: np.ndarray, num: int, den: int) -> bytes:
-    """Parity of the number of members by low hash bits: 8 to 16 places for each difference that is allowed, 64 at
-    least and 4096 at most (of very long texts the parities tell less, and the trie decides)."""
-    allowed = max(1, 2 * len(hashes) * (den - num) // (den + num))
-    places = min(4096, max(64, 1 << (16 * allowed - 1).bit_length()))
-    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    """A parity sketch (64-bit words) for fewer places."""
-    while len(sketch) > words:
-        half = len(sketch) // 2
-        sketch = sketch[:half] ^ sketch[half:]
-    return sketch
-
-
 def _border(num: int, den: int) -> np.uint64:
     """The hashes below this come first in the global order, rare ones ahead: 1.8 times what a prefix takes."""
     return np.uint64(int(min(1.0, 1.8 * (1 - num / den)) * (2**64 - 1)))
 
 
+def order_keys(members: np.ndarray, border: np.uint64, shared: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The set in the global order, each n-gram as a key that sorts so. members: sorted hashes; shared and held: its n-grams
+    below the border that several classes hold, and how many do."""
+    early = (np.minimum(held, 2047).astype(np.uint64) << np.uint64(KEY_BITS)) | (shared & np.uint64((1 << KEY_BITS) - 1))
+    late = members[np.searchsorted(members, border) :]
+    return np.concatenate([np.sort(early), (late >> np.uint64(1)) | np.uint64(1 << 63)])
+
+
 def fingerprints(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, cid (of the class of equal sets), size, low (hashes below the border), first (the lowest hashes
-    that the prefix may need), sketch."""
+    that the prefix may need)."""
 
     def work(batches):
         border = _border(num, den)
@@ -117,17 +106,17 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_
                 s = ngram_set(text, n)
                 low = int(np.searchsorted(s, border))
                 cid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
-                rows.append((cid, len(s), low, s[: max(low, prefix_length(len(s), num, den))].view(np.int64), parity(s, num, den)))
-            cid, size, low, first, sketch = zip(*rows, strict=True)
+                rows.append((cid, len(s), low, s[: max(low, prefix_length(len(s), num, den))].view(np.int64)))
+            cid, size, low, first = zip(*rows, strict=True)
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.int64()), lists, pa.array(sketch, pa.binary())],
-                ["doc_id", "text_hash", "cid", "size", "low", "first", "sketch"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.int64()), lists],
+                ["doc_id", "text_hash", "cid", "size", "low", "first"],
             )
 
     t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return t.mapInArrow(work, "doc_id long, text_hash long, cid long, size long, low long, first array<long>, sketch binary")
+    return t.mapInArrow(work, "doc_id long, text_hash long, cid long, size long, low long, first array<long>")
 
 
 def shared_grams(classes: DataFrame, rows: int) -> DataFrame:
@@ -146,266 +135,189 @@ def shared_grams(classes: DataFrame, rows: int) -> DataFrame:
     return out
 
 
-def postings(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """gram, cid, size, place: the shared n-grams in each class's prefix."""
-    # rare ones first; beyond the border the place is that by hash
+def live_classes(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, size, doc_id and text_hash (of one of its texts), prefix (the shared n-grams in its prefix; classes without one
+    are in no pair), early and held (its shared n-grams below the border, and how many classes hold each), typical (the
+    mean of that over all its n-grams there)."""
     both = shared.withColumn("late", F.col("at").isNotNull().cast("int"))
-    own = both.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("late", F.when(F.col("late") == 0, F.col("df")).alias("df"), "at", "gram"))).alias("grams"))
-    own = own.join(classes.select("cid", "size", "low"), "cid")
-    early = F.col("low") - F.size(F.filter("grams", lambda g: g["late"] == 0))
-    each = own.select("cid", "size", early.alias("early"), F.posexplode("grams").alias("k", "g"))
-    place = F.when(F.col("g.late") == 1, F.col("g.at")).otherwise(F.col("early") + F.col("k")).cast("long")
-    wide = F.col("size") - F.ceil(F.col("size") * num / F.lit(den).cast("decimal(20,0)")).cast("long") + 1
-    each = each.select("cid", "size", F.col("g.gram").alias("gram"), place.alias("place")).filter(F.col("place") < wide)
-    return each.select("gram", "cid", "size", "place")
-
-
-def _meet(rows: Iterator[pa.RecordBatch], num: int, den: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that meet in a group. Rows come sorted by group (gram, i, j), then size, cid. nearest: only the
-    nearest earlier partner of each."""
-    held: dict[str, list] = {}
-
-    def candidates(cid, comp, size, place, side, sketch, crossed):
-        """Of one group; arrays sorted by size."""
-        m = len(cid)
-        widths = np.array([len(s) for s in sketch])
-        first = np.searchsorted(size, -((-size * num) // den))  # partners must have this size at least
-        out = []
-        for w in np.unique(widths).tolist():
-            # members of this width against all earlier ones of this width or narrower
-            here = np.nonzero(widths == w)[0]
-            for v in np.unique(widths[: here[-1] + 1]).tolist():
-                if v > w:
-                    continue
-                there = np.nonzero(widths == v)[0]
-                words = v // 8
-                left = np.stack([folded(np.frombuffer(sketch[k], np.uint64), words) for k in here])
-                right = np.stack([np.frombuffer(sketch[k], np.uint64) for k in there])
-                step = max(1, (1 << 20) // max(1, len(there) * words))
-                for at in range(0, len(here), step):
-                    own = here[at : at + step]
-                    lo, hi = np.searchsorted(there, first[own].min()), np.searchsorted(there, own.max())
-                    if hi <= lo:
-                        continue
-                    cols = there[lo:hi]
-                    need = least_overlap(size[own][:, None], size[cols][None, :], num, den)
-                    most = 1 + np.minimum((size - place - 1)[own][:, None], (size - place - 1)[cols][None, :])
-                    ok = (cols[None, :] < own[:, None]) & (cols[None, :] >= first[own][:, None]) & (comp[own][:, None] != comp[cols][None, :]) & (most >= need)
-                    if crossed:
-                        ok &= side[own][:, None] != side[cols][None, :]
-                    if not ok.any():
-                        continue
-                    differ = np.zeros(ok.shape, np.int64)
-                    for k in range(words):
-                        differ += np.bitwise_count(left[at : at + step, k][:, None] ^ right[lo:hi, k][None, :])
-                    ok &= differ <= size[own][:, None] + size[cols][None, :] - 2 * need
-                    if nearest:
-                        differ[~ok] = 1 << 40
-                        best = differ.argmin(1)
-                        found = ok[np.arange(len(own)), best]
-                        out.append((own[found], cols[best[found]], differ[np.arange(len(own)), best][found]))
-                    else:
-                        x, y = np.nonzero(ok)
-                        out.append((own[x], cols[y], differ[x, y]))
-        if not out:
-            return None
-        x, y, d = (np.concatenate(c) for c in zip(*out, strict=True))
-        return cid[x], cid[y], d
-
-    def small(cols, starts, ends):
-        """Groups of up to 16, all at once: members k places apart."""
-        cid, comp, size, place, sketch = cols["cid"], cols["comp"], cols["size"], cols["place"], cols["sketch"]
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        rows = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
-        xs, ys = [], []
-        for k in range(1, 16):
-            if k >= len(rows):
-                break
-            same = group[k:] == group[:-k]
-            xs.append(rows[k:][same])
-            ys.append(rows[:-k][same])
-        if not xs:
-            return None
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        need = least_overlap(size[x], size[y], num, den)
-        most = 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1
-        ok = (size[y] * den >= size[x] * num) & (comp[x] != comp[y]) & (most >= need)
-        x, y, allowed = x[ok], y[ok], (size[x] + size[y] - 2 * need)[ok]
-        differ = np.empty(len(x), np.int64)
-        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-            p, q = np.frombuffer(sketch[a], np.uint64), np.frombuffer(sketch[b], np.uint64)
-            words = min(len(p), len(q))
-            differ[i] = np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()
-        ok = differ <= allowed
-        return cid[x[ok]], cid[y[ok]], differ[ok]
-
-    def solve(cols):
-        key = np.stack([cols["gram"], cols["i"], cols["j"]])
-        new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
-        starts = np.nonzero(new)[0]
-        ends = np.append(starts[1:], len(cols["gram"]))
-        few = (ends - starts > 1) & (ends - starts <= 16)
-        out = [small(cols, starts[few], ends[few])] if few.any() else []
-        for a, b in zip(starts[ends - starts > 16].tolist(), ends[ends - starts > 16].tolist(), strict=True):
-            part = {k: v[a:b] for k, v in cols.items()}
-            out.append(candidates(part["cid"], part["comp"], part["size"], part["place"], part["side"], part["sketch"], part["i"][0] != part["j"][0]))
-        out = [o for o in out if o is not None and len(o[0])]
-        if out:
-            x, y, d = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], ["b", "a", "differ"])
-
-    names = ("gram", "i", "j", "cid", "comp", "size", "place", "side")
-
-    def joined():
-        return {k: np.concatenate([c[k] for c in held["cols"]]) for k in held["cols"][0]}
-
-    held["cols"] = []
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        cols["sketch"] = np.array(batch.column("sketch").to_pylist(), object)
-        held["cols"].append(cols)
-        whole = joined()
-        # the last group may go on in the next batch
-        last = (whole["gram"] == whole["gram"][-1]) & (whole["i"] == whole["i"][-1]) & (whole["j"] == whole["j"][-1])
-        cut = int(np.argmax(last))
-        if cut:
-            yield from solve({k: v[:cut] for k, v in whole.items()})
-        held["cols"] = [{k: v[cut:] for k, v in whole.items()}]
-    if held["cols"]:
-        yield from solve(joined())
-
-
-def candidate_pairs(posts: DataFrame, sketches: DataFrame, labels: DataFrame | None, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """a, b: distinct pairs of classes to be joined. labels (node, label) names the component of classes that have one;
-    without it each class gets its nearest earlier partner only."""
-    nearest = labels is None
-    p = posts.withColumn("comp", F.col("cid")) if nearest else posts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    groups = p.groupBy("gram").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("m > 1 AND lo <> hi").select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    p = p.join(groups, "gram").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
-    one = p.filter("blocks = 1").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    more = p.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    more = more.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
-    met = one.unionByName(more).join(sketches, "cid").select("gram", "i", "j", "cid", "comp", "size", "place", "side", "sketch")
-    met = met.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size", "cid")
-    found = met.mapInArrow(lambda rows: _meet(rows, num, den, nearest), "b long, a long, differ long")
-    if nearest:
-        best = found.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x"))
-        return best.select(F.col("x.a").alias("a"), "b")
-    return found.select("a", "b").distinct()
+    # rare ones first; beyond the border the place is that by hash
+    grams = F.sort_array(F.collect_list(F.struct("late", F.when(F.col("late") == 0, F.col("df")).alias("df"), "at", "gram")))
+    own = both.groupBy("cid").agg(grams.alias("grams"), F.sum(1 - F.col("late")).cast("int").alias("n"), F.sum(F.when(F.col("late") == 0, F.col("df"))).alias("total"))
+    own = own.join(classes.select("cid", "size", "low", "w"), "cid")
+    # columns named in a lambda run once an element, so they are plain sums here
+    alone = F.col("low") - F.col("n")
+    within = F.col("size") - F.expr(f"(size * {num} + {den} - 1) div {den}") + 1
+    place = lambda g, k: F.when(g["late"] == 1, g["at"]).otherwise(alone + k)
+    prefix = F.transform(F.filter("grams", lambda g, k: place(g, k) < within), lambda g: g["gram"])
+    early = F.slice("grams", F.lit(1), F.col("n"))
+    typical = (F.coalesce("total", F.lit(0)) + alone) / F.greatest("low", F.lit(1))
+    return own.withColumn("prefix", prefix).filter(F.size("prefix") > 0).select(
+        "cid", "size", "w.doc_id", "w.text_hash", "prefix",
+        F.transform(early, lambda g: g["gram"]).alias("early"), F.transform(early, lambda g: g["df"]).alias("held"), typical.alias("typical"),
+    )
+
+
+def rooted(live: DataFrame) -> DataFrame:
+    """gram, cid, size, root: each class's prefix n-grams that another prefix holds too, and the root it lies under."""
+    posts = live.select("cid", "size", F.explode("prefix").alias("gram"))
+    met = posts.join(posts.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), "gram")
+    # a window holds one class's prefix
+    return met.withColumn("root", F.max(F.struct("m", "gram")).over(Window.partitionBy("cid"))["gram"]).select("gram", "cid", "size", "root")
+
+
+def sets_of(docs: DataFrame, live: DataFrame, wanted: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """cid, members (the ordered set as order keys) of the wanted classes (cid), made again from one text of each."""
+    chosen = live.join(wanted, "cid", "left_semi").select("cid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    chosen = written(chosen, "chosen", 0)
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)  # so that texts stay where they are; beyond the bound they are shuffled
+    t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    found = t.join(chosen, t["doc_id"].eqNullSafe(F.col("w_id")) & (t["text_hash"] == F.col("w_hash"))).select("cid", "text").dropDuplicates(["cid"])
+    whole = found.hint("merge").join(live.select("cid", "early", "held"), "cid")
+
+    def work(batches):
+        border = _border(num, den)
+        for b in small_batches(batches):
+            out = []
+            for text, early, held in zip(b.column("text").to_pylist(), b.column("early"), b.column("held"), strict=True):
+                shared, many = (np.asarray(x.values, dtype=np.int64) for x in (early, held))
+                out.append(order_keys(ngram_set(text, n), border, shared.view(np.uint64), many).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.binary())], ["cid", "members"])
+
+    return whole.select("cid", "text", "early", "held").mapInArrow(work, "cid long, members binary")
 
 
 class Trie:
     """Ordered sets, what they share stored once: a node is a run of members (its own part of the path), its children and
-    the sets that end there."""
+    the sets that end there. `least` is the smallest size of a set below, `most` the longest path, `only` the one component
+    of the sets below (none if there are several)."""
 
-    __slots__ = ("run", "children", "ends", "least", "most")
+    __slots__ = ("run", "children", "ends", "least", "most", "only")
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]):
-        """sets: sorted as sequences. Built with a stack of its own: one branching a member would go too deep for calls."""
+    def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
+        """sets: (component, size, path), sorted by path; the size counts members that are not in the path too. Built with a
+        stack of its own: one branching a member would go too deep for calls."""
         todo = [(self, sets, 0)]
         while todo:
             node, own, depth = todo.pop()
-            first, last = own[0][1], own[-1][1]
+            first, last = own[0][2], own[-1][2]
             n = min(len(first), len(last))
             differ = np.nonzero(first[depth:n] != last[depth:n])[0]
-            node.least, node.most = min(len(s) for _, s in own), max(len(s) for _, s in own)
-            shared = min(depth + int(differ[0]) if len(differ) else n, node.least)
+            node.least, node.most = min(s for _, s, _ in own), max(len(p) for _, _, p in own)
+            comps = {c for c, _, _ in own}
+            node.only = next(iter(comps)) if len(comps) == 1 else None
+            shared = depth + int(differ[0]) if len(differ) else n
             node.run = first[depth:shared]
-            node.ends = [k for k, s in own if len(s) == shared]
-            rest = [x for x in own if len(x[1]) > shared]
+            node.ends = [(c, s) for c, s, p in own if len(p) == shared]
+            rest = [x for x in own if len(x[2]) > shared]
             node.children, at = [], 0
             while at < len(rest):
-                to = at
-                while to < len(rest) and rest[to][1][shared] == rest[at][1][shared]:
+                to = at + 1
+                while to < len(rest) and rest[to][2][shared] == rest[at][2][shared]:
                     to += 1
                 child = Trie.__new__(Trie)
                 node.children.append(child)
                 todo.append((child, rest[at:to], shared))
                 at = to
 
-    def links(self, probe: np.ndarray, num: int, den: int) -> list[int]:
-        """The sets that the probe links with: one walk, the overlap carried along."""
-        out, todo = [], [(self, 0, 0, 0)]
-        nx = len(probe)
+    def links(self, comp: int | None, size: int, probe: np.ndarray, num: int, den: int) -> set[int]:
+        """The components other than its own that the probe links with: one walk, the overlap carried along."""
+        out, todo = set(), [(self, 0, 0, 0)]
+        n = len(probe)
         while todo:
             node, depth, overlap, passed = todo.pop()
-            if overlap + min(nx - passed, node.most - depth) < least_overlap(nx, node.least, num, den):
+            if node.only is not None and (node.only == comp or node.only in out):
+                continue
+            if overlap + min(n - passed, node.most - depth) < least_overlap(size, node.least, num, den):
                 continue
-            if len(node.run):
+            if len(node.run) and n:
                 at = np.searchsorted(probe, node.run)
-                overlap += int(np.count_nonzero(probe[np.minimum(at, nx - 1)] == node.run))
+                overlap += int(np.count_nonzero(probe[np.minimum(at, n - 1)] == node.run))
                 depth += len(node.run)
-                passed = int(np.searchsorted(probe, node.run[-1], side="right"))
-            if node.ends and overlap >= least_overlap(nx, depth, num, den):
-                out += node.ends
+                passed = int(at[-1])
+            for c, s in node.ends:
+                if c != comp and overlap >= least_overlap(size, s, num, den):
+                    out.add(c)
             todo += [(c, depth, overlap, passed) for c in node.children]
         return out
 
 
 def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, salt, b with the probe's own set first (b null). Each partner's link depends on the probe alone, so
-    many partners go through several tries."""
-    probe = key = None
-    held = 0
-    partners: list[tuple[int, np.ndarray]] = []
-
-    def done():
-        if probe is not None and partners:
-            partners.sort(key=lambda x: x[1].byteswap().tobytes())
-            linked = Trie(partners).links(probe, num, den)
-            if linked:
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(linked), pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
+    """a, b: components with a link between them. Rows come sorted by root, part, block and visits, so a trie's sets are
+    there before its visitors, who pass one by one."""
+    key, sets, trie = None, [], None
+    found: set[tuple[int, int]] = set()
+
+    def told():
+        a, b = zip(*found, strict=True)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in rows:
-        for a, salt, b, members in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "members")), strict=True):
-            s = np.frombuffer(members, np.uint64)
-            if (a, salt) != key:
-                yield from done()
-                probe, key, partners, held = None, (a, salt), [], 0
-            if b is None:
-                probe = s
+        for *own, visits, comp, size, members in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "block", "visits", "comp", "size", "members")), strict=True):
+            path = np.frombuffer(members, np.uint64)
+            if own != key:
+                key, sets, trie = own, [], None
+                if found:
+                    yield told()
+            if not visits:
+                sets.append((comp, size, path))
                 continue
-            if partners and (len(partners) >= TRIE_SETS or held + len(members) > TRIE_BYTES):
-                yield from done()
-                partners, held = [], 0
-            partners.append((b, s))
-            held += len(members)
-    yield from done()
-
-
-def trie_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that link. sets: cid, members."""
-    popular = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > SALTS * PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("long").alias("slices"))
-    popular = written(popular, "popular", 0)
-    few = popular.count()
-    slices = F.lit(SALTS).cast("long")
-    if few:
-        pairs = pairs.join(F.broadcast(popular) if few <= BROADCAST_ROWS else popular, "a", "left")
-        slices = F.coalesce("slices", slices)
-    p = pairs.select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("salt"))
-    partners = p.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "members")
-    probes = p.select("a", "salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
-    both = partners.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(lambda rows: _walk(rows, num, den), "a long, b long")
-
-
-def sets_of(docs: DataFrame, marks: DataFrame, pairs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """cid, members of the classes in pairs, made again from one text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    chosen = marks.join(wanted, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("cid", F.col("x.doc_id").alias("w_id"), F.col("x.text_hash").alias("w_hash"))
-    chosen = written(chosen, "chosen", 2 * pairs.count())
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)  # so that texts stay where they are; beyond the bound they are shuffled
-    t = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    found = t.join(chosen, t["doc_id"].eqNullSafe(F.col("w_id")) & (t["text_hash"] == F.col("w_hash"))).select("cid", "text")
-
-    def work(batches):
-        for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([ngram_set(x, n).tobytes() for x in b.column("text").to_pylist()], pa.binary())], ["cid", "members"])
-
-    return found.mapInArrow(work, "cid long, members binary").groupBy("cid").agg(F.first("members").alias("members"))
+            if trie is None and sets:
+                sets.sort(key=lambda x: x[2].byteswap().tobytes())
+                trie, sets = Trie(sets), []
+            if trie is not None:
+                found.update((min(comp, c), max(comp, c)) for c in trie.links(comp, size, path, num, den))
+    if found:
+        yield told()
+
+
+def walks(stored: DataFrame, visits: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: components with a link. stored: root, part, cid, comp, size of the sets in tries; visits: the same, of those who
+    walk them. Of the visits inside a part, one goes to the tries with its own number or a larger one only."""
+    sizes = stored.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / TRIE_SETS), F.ceil(F.col("total") * 8 / TRIE_BYTES)).cast("long")
+    sizes = sizes.select("root", "part", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    cols = ["root", "part", "block", "visits", "cid", "comp", "size"]
+    kept = stored.hint("merge").join(sizes, ["root", "part"]).withColumns({"block": own, "visits": F.lit(False)}).select(cols)
+    each = F.explode(F.sequence(F.when(F.col("inside"), own).otherwise(F.lit(0).cast("long")), F.col("blocks") - 1))
+    gone = visits.hint("merge").join(sizes, ["root", "part"]).withColumns({"block": each, "visits": F.lit(True)}).select(cols)
+    rows = kept.unionByName(gone).hint("merge").join(sets, "cid").drop("cid")
+    rows = rows.repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "visits")
+    return rows.mapInArrow(lambda b: _walk(b, num, den), "a long, b long").distinct()
+
+
+def first_round(posts: DataFrame, live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of each root's most typical class with the others under it."""
+    under = posts.select("root", "cid", "size").distinct().join(live.select("cid", "typical"), "cid")
+    top = under.groupBy("root").agg(F.max_by(F.struct("cid", "size"), F.struct("typical", "cid")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    stored = under.join(top.select("root"), "root", "left_semi").select("root", F.lit(0).alias("part"), "cid", F.col("cid").alias("comp"), "size")
+    visits = top.select("root", F.lit(0).alias("part"), "top.cid", F.col("top.cid").alias("comp"), "top.size", F.lit(False).alias("inside"))
+    return walks(stored, visits, sets, num, den)
+
+
+def second_round(posts: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the components that labels (node, label) leave apart. Under each root its largest component is a part
+    of its own, which nobody of that component visits; the rest is the other part."""
+    p = posts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+    under = p.select("root", "cid", "comp", "size").distinct()
+    largest = under.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    p = p.join(largest, "root").withColumn("part", (F.col("comp") != F.col("main")).cast("int")).drop("main")
+    p = written(p, "posts")
+    reach = p.groupBy("gram", "root", "part").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "size") for f in (F.min, F.max)])
+    reach = reach.select(F.col("gram").alias("g"), F.col("root").alias("to"), F.col("part").alias("to_part"), "min_comp", "max_comp", "min_size", "max_size")
+    other = ~((F.col("min_comp") == F.col("max_comp")) & (F.col("min_comp") == F.col("comp")))
+    fits = (F.col("max_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("min_size") * num)
+    beyond = (F.col("to") > F.col("root")) | ((F.col("to") == F.col("root")) & (F.col("part") == 1))
+    inside = (F.col("to") == F.col("root")) & (F.col("to_part") == F.col("part"))
+    met = p.hint("merge").join(reach, F.col("gram") == F.col("g")).filter(other & fits & beyond)
+    visits = written(met.select(F.col("to").alias("root"), F.col("to_part").alias("part"), "cid", "comp", "size", inside.alias("inside")).distinct(), "visits")
+    stored = p.select("root", "part", "cid", "comp", "size").distinct().join(visits.select("root", "part").distinct(), ["root", "part"], "left_semi")
+    found = written(walks(stored, visits, sets, num, den), "links")
+    remove(visits)
+    remove(p)
+    return found
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
@@ -414,30 +326,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = bounded(docs).sparkSession
     marks = written(fingerprints(docs, n, num, den, id_col, text_col), "marks")
     rows = marks.count()
-    classes = marks.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
+    one_text = F.min(F.struct("doc_id", "text_hash")).alias("w")
+    classes = marks.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.first("first").alias("first"), one_text)
     classes, narrow = written(classes, "classes", rows), written(marks.select("doc_id", "text_hash", "cid", "size"), "members", rows)
     remove(marks)
     release(spark)
     shared = shared_grams(classes, rows)
-    posts = written(postings(shared, classes, num, den), "postings", rows)
-    sketches = written(classes.select("cid", "sketch").join(posts.select("cid").distinct(), "cid", "left_semi"), "sketches", rows)
+    live = written(live_classes(shared, classes, num, den), "live", rows)
     remove(classes)
     remove(shared)
     release(spark)
-    pairs = written(candidate_pairs(posts, sketches, None, num, den), "pairs", rows)
-    links = written(trie_links(pairs, sets_of(docs, narrow, pairs, n, id_col, text_col), num, den), "links", rows)
+    posts = written(rooted(live), "posts", rows)
+    sets = written(sets_of(docs, live, posts.select("cid").distinct(), n, num, den, id_col, text_col), "sets")
+    links = written(first_round(posts, live, sets, num, den), "links", rows)
     release(spark)
     labels = connected_components(links)
-    rest = written(candidate_pairs(posts, sketches, labels, num, den), "pairs", rows)
-    more = written(trie_links(rest, sets_of(docs, narrow, rest, n, id_col, text_col), num, den), "links", rows)
+    more = second_round(posts, labels, sets, num, den)
+    for old in (live, posts, sets):
+        remove(old)
     release(spark)
     named = connected_components(links.unionByName(more)).withColumnRenamed("node", "cid")
     grouped = narrow.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least")).join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = grouped.join(least, "label").select("cid", "component_id", "label")
     out = narrow.join(by_class, "cid", "left")
-    for old in (posts, sketches, pairs, rest, labels):
-        remove(old)
+    remove(labels)
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["text_hash", "label"] * with_hash)
 
 
