@@ -33,9 +33,8 @@ def docs(spark):
 
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string")
     df = df.withColumn("n_chars", F.length("text").cast("long"))
-    for name in ("row", "spans", "text_hash", "cid", "label", "steps", "covered", "host", "salt", "piece", "score"):
-        df = df.withColumn(name, F.lit(name))
-    return df
+    own = ("row", "spans", "text_hash", "cid", "label", "steps", "covered", "host", "salt", "piece", "score", "known", "_h", "_l", "_th", "_tl", "_key", "_id", "_hash", "key", "hash", "n_removed", "root", "clean")
+    return df.select("*", *[F.lit(name).alias(name) for name in (*own, "my col", "a-b", "a.b", "x`y")])
 
 
 @pytest.fixture(scope="session")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,13 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
+ONE_MACHINE = "file:///tmp/checkpoints/tidemark"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that the driver and all executors share (spark.checkpoint.dir). A cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or ONE_MACHINE).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -77,7 +81,22 @@ def release(spark: SparkSession) -> None:
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator reads, so that other columns can't clash with its own."""
-    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
+    return bounded(df).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), *[quoted(c) for c in more])
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever letters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct `row`, beside which an operator's own columns can have any name."""
+    return F.struct(*[quoted(c) for c in df.columns]).alias("row")
+
+
+def fields(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of df out of `row`, some of them made anew."""
+    return [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in df.columns]
 
 
 def let(value: Column, then) -> Column:
