@@ -1,12 +1,12 @@
 """Quality rules with cross-document line frequency, in DataFrame operations alone.
 
 Rules on one text: word and symbol counts, lines and 8-word windows that the text repeats. Rule across texts: lines are
-normalised and hashed, the distinct texts of a host that hold each line are counted (so copies of one text count once),
-lines held by more than `line_limit` texts of a host are taken out, and a document that keeps too few of its words is
-rejected as depleted.
+normalised and hashed, the distinct documents of a host that hold each line are counted, lines held by more than
+`line_share` of the host's documents (and by more than `least_documents`) are taken out, and a document that keeps too few
+of its words is rejected as depleted.
 
 Null texts have no words. Empty texts, and texts without a word, fail the word rule. A null host is a host of its own.
-Repeated rows give repeated results. An empty table gives an empty result.
+Rows equal in id, host and text are one document and give repeated results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: A line in more distinct texts of one host than this is taken out.
-LINE_LIMIT = 200
+#: A line in more than this share of a host's documents is taken out, and in more than so many of a small host.
+LINE_SHARE = 0.1
+LEAST_DOCUMENTS = 5
 #: A document is depleted if fewer than this share of its words, or fewer than LEAST_KEPT words, stay.
 LEAST_SHARE = 0.2
 LEAST_KEPT = 5
@@ -69,42 +70,57 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     ).select("doc_id", "host", "text_hash", "text_length", F.col("of_words.n").alias("n_words"), F.col("of_words.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("of_words.h").alias("h"), "l")
 
 
+#: What tells documents apart; rows equal in all of it are one document.
+KEY = ["doc_id", "host", "text_hash", "text_length"]
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Equal keys; those of `right` have names that end in an underscore."""
+    out = None
+    for c in KEY:
+        same = F.col(c).eqNullSafe(F.col(f"{c}_"))
+        out = same if out is None else out & same
+    return out
+
+
+def _by_key(df: DataFrame, value: Column) -> DataFrame:
+    return df.groupBy(*[F.col(c).alias(f"{c}_") for c in KEY]).agg(value)
+
+
 def repeated_words(measured: DataFrame) -> DataFrame:
-    """text_hash, text_length, n_repeat_words of the texts that repeat a window: the union of the windows' places."""
+    """The key and n_repeat_words of the documents that repeat a window: the union of the windows' places."""
     from pyspark.sql import Window
 
-    own = ["text_hash", "text_length"]
-    places = measured.filter(F.col("h").isNotNull()).groupBy(*own).agg(F.first("h").alias("h")).select(*own, F.posexplode("h").alias("at", "window"))
-    at = Window.partitionBy(*own, "window")
-    twice = places.withColumn("n", F.count("*").over(at)).filter(F.col("n") > 1)
-    nearest = F.lead("at").over(Window.partitionBy(*own).orderBy("at")) - F.col("at")
-    return twice.select(*own, F.least(F.lit(WINDOW), F.coalesce(nearest, F.lit(WINDOW))).cast("long").alias("new")).groupBy(*own).agg(F.sum("new").alias("n_repeat_words"))
+    places = measured.filter(F.col("h").isNotNull()).dropDuplicates(KEY).select(*KEY, F.posexplode("h").alias("at", "window"))
+    twice = places.withColumn("n", F.count("*").over(Window.partitionBy(*KEY, "window"))).filter(F.col("n") > 1)
+    nearest = F.lead("at").over(Window.partitionBy(*KEY).orderBy("at")) - F.col("at")
+    new = F.least(F.lit(WINDOW), F.coalesce(nearest, F.lit(WINDOW))).cast("long")
+    return _by_key(twice.withColumn("new", new), F.sum("new").alias("n_repeat_words"))
 
 
-def heavy_lines(measured: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
-    """host, line of the lines in more than line_limit distinct texts of a host. Copies of a text are one row first;
-    counts shrink map-side, so a line in a third of all texts moves one row a partition."""
-    per_text = measured.groupBy("host", "text_hash", "text_length").agg(F.first("l").alias("l"))
-    lines = per_text.select("host", F.explode(F.array_distinct(F.transform("l", lambda x: x["line"]))).alias("line"))
-    return lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > line_limit).drop("n")
+def heavy_lines(documents: DataFrame, line_share: float = LINE_SHARE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """host, line of the lines in more than line_share of a host's documents. Counts shrink map-side, so a line in a third
+    of all documents moves one row a partition; what is left to compare with a host's size is past the floor already."""
+    hosts = documents.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("documents"))
+    lines = documents.select("host", F.explode(F.array_distinct(F.transform("l", lambda x: x["line"]))).alias("line"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_documents)
+    return often.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > line_share * F.col("documents")).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, least_share: float = LEAST_SHARE, least_kept: int = LEAST_KEPT) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE, least_documents: int = LEAST_DOCUMENTS, least_share: float = LEAST_SHARE, least_kept: int = LEAST_KEPT) -> DataFrame:
     """doc_id, the counts, base_failed, n_heavy_words (words on lines taken out), kept; one row per input row."""
     measured = written(measure(docs, id_col, text_col, host_col), "quality")
-    heavy = written(heavy_lines(measured, line_limit), "heavy-lines").withColumn("taken", F.lit(True))
-    size = heavy.count()
-    lines = measured.groupBy("host", "text_hash", "text_length").agg(F.first("l").alias("l"))
-    lines = lines.select(F.col("host").alias("h_host"), "text_hash", "text_length", F.explode("l").alias("x"))
-    if size <= BROADCAST_ROWS:
+    documents = measured.groupBy(*KEY).agg(F.first("l").alias("l"))
+    heavy = written(heavy_lines(documents, line_share, least_documents), "heavy-lines").select(F.col("host").alias("of"), F.col("line").alias("heavy"))
+    if heavy.count() <= BROADCAST_ROWS:
         heavy = F.broadcast(heavy)
-    met = lines.join(heavy, lines["h_host"].eqNullSafe(heavy["host"]) & (F.col("x.line") == heavy["line"]))
-    lost = met.groupBy("h_host", "text_hash", "text_length").agg(F.sum("x.words").alias("n_heavy_words"))
-    lost = lost.select(F.col("h_host").alias("l_host"), F.col("text_hash").alias("l_hash"), F.col("text_length").alias("l_length"), "n_heavy_words")
-    repeats = repeated_words(measured).select(F.col("text_hash").alias("r_hash"), F.col("text_length").alias("r_length"), "n_repeat_words")
+    lines = documents.select(*KEY, F.explode("l").alias("x"))
+    met = lines.join(heavy, F.col("host").eqNullSafe(F.col("of")) & (F.col("x.line") == F.col("heavy")))
+    lost = _by_key(met, F.sum("x.words").alias("n_heavy_words"))
     m = measured.drop("h", "l")
-    out = m.join(lost, m["host"].eqNullSafe(lost["l_host"]) & (m["text_hash"] == lost["l_hash"]) & (m["text_length"] == lost["l_length"]), "left")
-    out = out.join(repeats, (m["text_hash"] == repeats["r_hash"]) & (m["text_length"] == repeats["r_length"]), "left")
+    out = m.join(lost, _same(m, lost), "left").drop(*[f"{c}_" for c in KEY])
+    repeats = repeated_words(measured)
+    out = out.join(repeats, _same(out, repeats), "left")
     repeated, taken = F.coalesce("n_repeat_words", F.lit(0)).cast("long"), F.coalesce("n_heavy_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * F.col("n_words"))
     stays = F.col("n_words") - taken
@@ -127,10 +143,12 @@ WITH d AS (
 win AS (SELECT r, p, array_to_string(w[p:p+7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS t(p) WHERE len(w) >= 8),
 twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, sum(least(8, coalesce(nxt - p, 8)))::BIGINT AS n FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS nxt FROM twice) GROUP BY r),
-x AS (SELECT r, host, text, unnest(l) AS line FROM d),
-y AS (SELECT r, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+x AS (SELECT r, doc_id, host, text, unnest(l) AS line FROM d),
+y AS (SELECT r, doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
              len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda z: z <> '')) AS n FROM x),
-heavy AS (SELECT host, line FROM y GROUP BY host, line HAVING count(DISTINCT text) > 200),
+hosts AS (SELECT host, count(DISTINCT {'i': doc_id, 't': text}) AS documents FROM d GROUP BY host),
+often AS (SELECT host, line, count(DISTINCT {'i': doc_id, 't': text}) AS n FROM y GROUP BY host, line),
+heavy AS (SELECT often.host, line FROM often JOIN hosts ON often.host IS NOT DISTINCT FROM hosts.host WHERE n > 5 AND n > 0.1 * documents),
 lost AS (SELECT r, sum(n)::BIGINT AS n FROM y JOIN heavy ON y.host IS NOT DISTINCT FROM heavy.host AND y.line = heavy.line GROUP BY r),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
