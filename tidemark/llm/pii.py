@@ -15,20 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, texts, written
+from .common import fields, let, quoted, texts, whole_row, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_id")
 KINDS = BASE_KINDS + ADDED_KINDS
 
+# The letters and digits of an account number (IBAN) by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: A country's numbers have one length, so a word or number that follows is not taken for a part of it.
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: For Java's engine. (?<!x)|\G: a run of x is tried once from its start, and again where the last match ended in it.
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 #: What a text must hold before a kind's pattern is run over it.
@@ -143,8 +151,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
     """The rows with each span replaced by its kind in brackets; where spans meet, the one that starts first (then the
-    longest) names the whole stretch. Other columns stay as they are."""
-    found = written(candidates(docs.withColumn("_id", F.lit(0)), "_id", text_col), "pii")
+    longest) names the whole stretch. Other columns stay as they are, whatever their names."""
+    found = written(candidates(docs.select(F.lit(0).alias("doc_id"), quoted(text_col).alias("text"))), "pii")
     spans = find_spans(found, least_score).withColumn("s", F.explode("spans")).select("text_hash", "text_length", "s.start", "s.end", "s.kind")
     own = ["text_hash", "text_length"]
     order = Window.partitionBy(*own).orderBy("start", F.desc("end"), "kind")
@@ -154,13 +162,14 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.5) ->
     before = F.lag("end", 1, 0).over(Window.partitionBy(*own).orderBy("start"))
     steps = merged.withColumn("from", before).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("from", "start", "end", "kind"))).alias("_steps"))
     steps = steps.select(F.col("text_hash").alias("_h"), F.col("text_length").alias("_l"), "_steps")
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"_th": F.xxhash64(text), "_tl": F.length(F.coalesce(text, F.lit("")))})
+    own_text = quoted(text_col).cast("string")
+    keyed = docs.select(whole_row(docs), F.xxhash64(own_text).alias("_th"), F.length(F.coalesce(own_text, F.lit(""))).alias("_tl"))
+    text = F.col("row").getField(text_col).cast("string")
     out = keyed.join(steps, (F.col("_th") == F.col("_h")) & (F.col("_tl") == F.col("_l")), "left")
     piece = lambda s: F.concat(F.substr(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
     tail = F.substr(text, (F.element_at("_steps", -1)["end"] + 1).cast("int"))
     rebuilt = F.when(F.col("_steps").isNull(), text).otherwise(F.concat(F.array_join(F.transform("_steps", piece), ""), tail))
-    return out.withColumn(text_col, rebuilt).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*fields(docs, **{text_col: rebuilt}))
 
 
 def digest(detected: DataFrame) -> DataFrame:
