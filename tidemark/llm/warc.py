@@ -5,7 +5,8 @@ such a stream once from start to end, rewrites every record as a gzip member of
 offsets, so that any record can be read alone. read_records() reads records back through the index.
 
 Archives lie in the folder that driver and executors share. A task writes under a name of its own attempt and renames
-it when complete, so a lost executor's task can run again. Memory is bounded by one record, not by an archive.
+it when complete, so a lost executor's task can run again. Memory is bounded by one record, not by an archive
+or its index.
 
 Payloads are the html in UTF-8; null is empty. Of records with equal payloads the largest page_id is the response and
 the others are revisits that name it; with a tie for the largest, all of the tied are responses. A null page_id counts
@@ -22,6 +23,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -71,17 +73,20 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit carries no payload, but the digest and length of what it stands for."""
-    name = "null" if page_id is None else str(page_id)
+def record(uid: uuid.UUID, kind: str, when: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC/1.1 record of an HTTP message. A revisit holds the message's head alone. Page ids stand in fields of their
+    own: several records may be of one page, and each has a record id."""
+    target = lambda u: " ".join((u or "").split()) or "urn:page:none"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Target-URI: " + " ".join((url or "").split()),
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{uid.urn}>", f"WARC-Date: {when}", f"WARC-Target-URI: {target(url)}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", *[f"X-Page-ID: {page_id}"] * (page_id is not None),
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    body = b"" if kind == "revisit" else payload
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {target(refers_url)}", f"WARC-Refers-To-Date: {when}", f"X-Refers-To-Page: {refers_to}"]
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if kind != "revisit":
+        body += payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -119,16 +124,22 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
 
 
 def inflated(f) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in chunks."""
-    z = zlib.decompressobj(31)
+    """The content of a gzip file of one or more members, in chunks. Zeros after a member are padding; a member that is cut
+    off is an error."""
+    z, begun = zlib.decompressobj(31), False
     while data := f.read(_CHUNK):
         while data:
+            if not begun:
+                data = data.lstrip(b"\0")
+                begun = bool(data)
+                continue
             yield z.decompress(data, _CHUNK)
             data = z.unconsumed_tail
             if z.eof:
-                data = z.unused_data
+                data, begun = z.unused_data, False
                 z = zlib.decompressobj(31)
-    yield z.flush()
+    if begun:
+        raise ValueError("the archive is cut off")
 
 
 def member(data: bytes) -> bytes:
@@ -137,21 +148,23 @@ def member(data: bytes) -> bytes:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html, refers_to. Digests are compared on narrow rows, and only digests with more than one page are
+    """page_id, url, html, refers_to, refers_url. Digests are compared on narrow rows, and only digests with more than one page are
     joined back; the largest id by digest is found map-side first, so a payload in a third of all pages stays small."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    narrow = p.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("size"))
-    last = narrow.filter(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", "last")
+    narrow = p.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("size"))
+    last = narrow.filter(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.max_by("url", F.struct("page_id", "url")).alias("last_url"), F.count("*").alias("n")).filter("n > 1").select("sha", "last", "last_url")
     last = written(last, "warc-last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = p.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
     joined = salted.join(last, ["sha", "salt"], "left")
-    refers = F.when(F.octet_length("html") >= least, F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    again = (F.octet_length("html") >= least) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
+    return joined.select("page_id", "url", "html", F.when(again, F.col("last")).alias("refers_to"), F.when(again, F.col("last_url")).alias("refers_url"))
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     """Write one archive a task, a single gzip stream of many records; name, n_records. `pages` is what with_revisits()
-    gives. The result is a written table, so the archives exist when this returns."""
+    gives. The result is a written table, so the archives exist when this returns. A record's id follows from the folder,
+    the archive and its place there, so a task that runs again writes the same."""
+    when = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def work(batches):
         task = TaskContext.get()
@@ -159,10 +172,11 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
         part = f"mono/.{uuid.uuid4().hex}"
         out = z = None
         for b in small_batches(batches, "html"):
-            for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page, url, html, refers, refers_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
                 if out is None:
                     out, z = store.write(part), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                out.write(z.compress(record("response" if refers is None else "revisit", page, url, html.encode("utf-8"), refers)))
+                uid = uuid.uuid5(uuid.NAMESPACE_URL, f"{folder}/{name}#{n}")
+                out.write(z.compress(record(uid, "response" if refers is None else "revisit", when, page, url, html.encode("utf-8"), refers, refers_url)))
                 n += 1
         if out is not None:
             out.write(z.flush())
@@ -182,17 +196,15 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for name in b.column("name").to_pylist():
                 to = name.replace("mono/", "members/")
-                part, index, at, n = f"members/.{uuid.uuid4().hex}", io.BytesIO(), 0, 0
-                with store.write(part) as out, store.read(name) as f:
+                part, at, n = f"members/.{uuid.uuid4().hex}", 0, 0
+                with store.write(part) as out, store.write(part + ".idx") as index, store.read(name) as f:
                     for head, body in records(inflated(f)):
                         data = member(head + b"\r\n\r\n" + body + b"\r\n\r\n")
                         h = headers(head)
-                        index.write(json.dumps({"offset": at, "length": len(data), "type": h["WARC-Type"], "id": h["WARC-Record-ID"], "digest": h["WARC-Payload-Digest"]}).encode() + b"\n")
+                        index.write(json.dumps({"offset": at, "length": len(data), "type": h["WARC-Type"], "id": h["WARC-Record-ID"], "page": h.get("X-Page-ID"), "digest": h["WARC-Payload-Digest"]}).encode() + b"\n")
                         out.write(data)
                         at += len(data)
                         n += 1
-                with store.write(part + ".idx") as out:
-                    out.write(index.getvalue())
                 store.rename(part, to)
                 store.rename(part + ".idx", to + ".idx")
                 yield pa.RecordBatch.from_pydict({"name": [to], "index": [to + ".idx"], "n_records": [n]}, pa.schema([("name", pa.string()), ("index", pa.string()), ("n_records", pa.int64())]))
@@ -208,7 +220,7 @@ def read_records(archives: DataFrame, folder: str, with_payload: bool = False) -
     does not match the record's own is an error."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x.removeprefix("<urn:page:").rstrip(">"))
+    number = lambda x: None if x is None else int(x)
 
     def work(batches):
         store = Store(folder)
@@ -223,18 +235,17 @@ def read_records(archives: DataFrame, folder: str, with_payload: bool = False) -
             for name, index in zip(b.column("name").to_pylist(), b.column("index").to_pylist(), strict=True):
                 rows, held = [], 0
                 with store.read(name) as f, store.read(index) as lines:
-                    for line in lines.read().splitlines():
+                    for line in lines if isinstance(lines, io.BufferedReader) else io.BufferedReader(lines):
                         entry = json.loads(line)
                         f.seek(entry["offset"])
                         head, _, rest = zlib.decompress(f.read(entry["length"]), 31).partition(b"\r\n\r\n")
                         h = headers(head)
-                        body = rest[: int(h["Content-Length"])]
-                        digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["WARC-Payload-Length"])
+                        http, _, body = rest[: int(h["Content-Length"])].partition(b"\r\n\r\n")
+                        digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers(http)["Content-Length"])
                         if h["WARC-Type"] == "response":
-                            size = len(body)
-                            if payload_digest(body) != digest:
+                            if len(body) != size or payload_digest(body) != digest:
                                 raise ValueError(f"digest mismatch in {name} at {entry['offset']}")
-                        rows.append((number(h["WARC-Record-ID"]), h.get("WARC-Target-URI", ""), size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To")), body if with_payload else None))
+                        rows.append((number(h.get("X-Page-ID")), h["WARC-Target-URI"], size, digest, h["WARC-Type"], number(h.get("X-Refers-To-Page")), body if with_payload else None))
                         held += len(body) if with_payload else 200
                         if held > 4 << 20:
                             yield batch(rows)
