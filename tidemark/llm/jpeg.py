@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BLOCK = 64
+#: A header may claim any size, and coefficients take 4 bytes each: a larger image is not decoded.
+MOST_PIXELS = 1 << 26
 _DC_SHIFT = 8
 _AC_SIZE = 7  # bits of an AC coefficient in its first scan, at point transform 1
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
@@ -252,8 +254,15 @@ def _ac_refine(scan: Scan, zz: np.ndarray, blocks: np.ndarray, chunk: bytes, tab
             at += 1
 
 
-def decode(data: bytes) -> Image:
-    """The image of a progressive file; ValueError for other kinds and for broken files."""
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> Image:
+    """The image of a progressive file; ValueError for other kinds, for broken files and for larger images."""
+    try:
+        return _decode(data, most_pixels)
+    except (IndexError, KeyError, OverflowError, struct.error) as e:
+        raise ValueError("a broken file") from e
+
+
+def _decode(data: bytes, most_pixels: int) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, quant, tables, image, interval = 2, {}, {}, None, 0
@@ -288,6 +297,10 @@ def decode(data: bytes) -> Image:
             if bits != 8:
                 raise ValueError("samples are not of 8 bits")
             parts = [Component(body[6 + 3 * i], *divmod(body[7 + 3 * i], 16), body[8 + 3 * i]) for i in range(n)]
+            if not (height and width and parts) or any(not (1 <= c.h <= 4 and 1 <= c.v <= 4) for c in parts):
+                raise ValueError("a frame without a size")
+            if height * width * len(parts) > 3 * most_pixels:
+                raise ValueError("the image is too large")
             top_h, top_v = max(c.h for c in parts), max(c.v for c in parts)
             mcus_x, mcus_y = -(-width // (8 * top_h)), -(-height // (8 * top_v))
             for c in parts:
@@ -303,6 +316,8 @@ def decode(data: bytes) -> Image:
             by = {c.id: c for c in image.components}
             chosen = [(by[body[1 + 2 * i]], *divmod(body[2 + 2 * i], 16)) for i in range(body[0])]
             first, last, shift = body[-3:]
+            if not first <= last < BLOCK or (first and len(chosen) != 1) or not chosen:
+                raise ValueError("a scan of no such coefficients")
             scan = Scan(chosen, first, last, *divmod(shift, 16))
             end = m.start() if (m := _MARKER.search(data, at)) else len(data)
             raw, at = data[at:end], end

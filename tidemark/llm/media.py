@@ -1,7 +1,8 @@
 """Media columns: progressive JPEG in, full-resolution RGB tensors out.
 
 A null or empty text is a payload of 64 zero bytes. Equal texts give equal media. Repeated rows give repeated results,
-an empty table an empty one. A media value that is null or no progressive JPEG has null in every decoded column.
+an empty table an empty one. A media value that is null, no progressive
+JPEG, broken or of more than jpeg.MOST_PIXELS pixels has null in every decoded column.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
             for data in b.column("media").to_pylist():
                 try:
                     image = jpeg.decode(data) if data else None
-                except (ValueError, IndexError, KeyError):
+                except ValueError:
                     image = None
                 out.append((image.height, image.width, image.rgb().tobytes()) if image else (None, None, None))
             h, w, rgb = zip(*out, strict=True)
