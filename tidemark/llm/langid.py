@@ -18,8 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded, small_batches, texts
+from .common import bounded, small_batches, texts, whole_row
 
 NGRAM = 5
 #: Slots of the bit-sliced filter; each holds a 64-bit mask, so at most 64 languages are learned.
@@ -87,17 +88,18 @@ class SlicedFilter:
             out = own if out is None else out & own
         return out
 
-    def decide(self, text: str | None) -> tuple[str, float]:
-        """(language, score): hits corrected for chance, the best's share of all; ties go to the first language."""
+    def decide(self, text: str | None) -> tuple[str, float, float]:
+        """(language, score, known): hits corrected for chance; the best language's share of all languages' hits, and its
+        share of the text's n-grams, which does not depend on how many languages are learned. Ties go to the first."""
         hashes = grams(text)
         if not len(hashes) or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         masks = self.languages_of(hashes)
         hits = np.array([np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.languages))], float)
         true = np.maximum((hits - self.chance * len(hashes)) / (1 - np.minimum(self.chance, 0.999)), 0)
         if not true.sum():
-            return self.languages[int(hits.argmax())], 0.0
-        return self.languages[int(true.argmax())], float(true.max() / true.sum())
+            return self.languages[int(hits.argmax())], 0.0, 0.0
+        return self.languages[int(true.argmax())], float(true.max() / true.sum()), min(1.0, float(true.max()) / len(hashes))
 
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, least_texts: int = LEAST_TEXTS, size: int = SLOTS) -> SlicedFilter:
@@ -139,11 +141,9 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def identify(docs: DataFrame, model: SlicedFilter, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score for every row; with_rows adds the whole input row as the struct `row`."""
+    """doc_id, lang_pred, score, known (see decide) for every row; with_rows adds the whole input row as the struct `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one mask a slot: 8 MB at most
-    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = bounded(docs).select(whole) if with_rows else bounded(docs).select(*own)
+    rows = bounded(docs).select(whole_row(docs)) if with_rows else texts(docs, id_col, text_col)
 
     def work(batches):
         m = shared.value
@@ -151,12 +151,12 @@ def identify(docs: DataFrame, model: SlicedFilter, id_col: str = "doc_id", text_
             # a text is sent once: with_rows reads it where it stands in its row
             fields = b.column("row") if with_rows else None
             ids = pc.cast(fields.field(id_col), pa.int64()) if with_rows else b.column("doc_id")
-            told = [m.decide(t) for t in pc.cast(fields.field(text_col) if with_rows else b.column("text"), pa.string()).to_pylist()]
-            cols = [ids, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, *b.columns[: int(with_rows)]], ["doc_id", "lang_pred", "score", *["row"][: int(with_rows)]])
+            told = list(zip(*[m.decide(t) for t in pc.cast(fields.field(text_col) if with_rows else b.column("text"), pa.string()).to_pylist()], strict=True)) or [()] * 3
+            cols = [ids, *(pa.array(x, t) for x, t in zip(told, (pa.string(), pa.float64(), pa.float64()), strict=True))]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[: int(with_rows)]], ["doc_id", "lang_pred", "score", "known", *["row"][: int(with_rows)]])
 
-    more = f", row {rows.schema['row'].dataType.simpleString()}" if with_rows else ""
-    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double" + more)
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double, known double")
+    return rows.mapInArrow(work, schema.add(rows.schema["row"]) if with_rows else schema)
 
 
 def held_out(doc_id="doc_id"):
