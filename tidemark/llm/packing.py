@@ -20,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import tokenizer_file
 from .common import small_batches, texts, worker_cache, written
 from .words import Vocabulary, byte_letters
 
 CAPACITY = 2048
-#: Pieces of one length are numbered in so many groups, since one length may hold a third of all pieces. The driver
-#: receives at most CAPACITY * GROUPS counts.
-GROUPS = 64
+#: Pieces of one length are numbered in groups of about so many, so that a length that a third of all have is spread.
+A_GROUP = 20_000
 #: Words in one of the two generations that a worker keeps encoded.
 KEPT_WORDS = 700_000
 
@@ -147,10 +147,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     return texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, a_group: int = A_GROUP) -> DataFrame:
     """The pieces with sequence_id and offset. `cut` should be a written table: it is read twice."""
-    grouped = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    counted = grouped.groupBy("length", "_group").count().collect()  # at most capacity * groups rows
+    sizes = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
+    split = [max(1, -(-sizes.get(n, 0) // a_group)) for n in range(capacity + 1)]
+    groups = max(split)
+    grouped = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(split), F.col("length").cast("int"))).cast("int"))
+    counted = grouped.groupBy("length", "_group").count().collect()  # a row a length and one for each a_group pieces
     first, total = {}, Counter()
     for r in sorted(counted, key=lambda r: (r["length"], r["_group"])):
         first[r["length"], r["_group"]] = total[r["length"]]
@@ -172,8 +175,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
             kept = [x for x in b.schema.names if x not in ("_group", "_rank")]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(seq), pa.array(off)], [*kept, "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.mapInArrow(work, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(work, StructType(cut.schema.fields).add("sequence_id", "long").add("offset", "long"))
 
 
 def op4_min_bin_slack(spark, sf_dir: str) -> DataFrame:

@@ -103,13 +103,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = judged.withColumns({"row_hash": F.xxhash64("doc_id", "owner", "repo", F.to_json("spans")), "s": F.explode("spans")})
     keyed = keyed.select("doc_id", "owner", "repo", "row_hash", "s", F.col("s.value_hash").alias("value_hash"), F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(salts)).cast("int").alias("salt"))
     verdict = F.when(F.col("n_owners") >= copied_from, "copied").when((F.col("n_owners") == 1) & F.col("s.random"), "live").otherwise("unclear")
-    told = keyed.join(stats, ["value_hash", "salt"]).select(
+    told = keyed.hint("merge").join(stats, ["value_hash", "salt"]).select(
         "doc_id", "row_hash", F.struct("s.start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("rank"), "s.end", "s.kind", "n_owners", "n_repos", verdict.alias("verdict")).alias("t")
     )
     told = told.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("t")).alias("told"))
     rows = found.select("doc_id", F.when(F.size("spans") > 0, F.xxhash64("doc_id", "owner", "repo", F.to_json("spans"))).alias("row_hash"))
     match = rows["doc_id"].eqNullSafe(told["doc_id"]) & (rows["row_hash"] == told["row_hash"])
-    return rows.join(told, match, "left").select(rows["doc_id"], F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("spans"))
+    return rows.hint("merge").join(told, match, "left").select(rows["doc_id"], F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
