@@ -2,15 +2,18 @@
 
 import base64
 import hashlib
+import io
 import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+from plain import added_spans, base_spans, redacted
 from support import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jpeg, langid, media, packing, pii, quality, secrets, warc
 from tidemark.llm.words import Vocabulary
@@ -85,6 +88,21 @@ def test_bins_are_few():
     assert sum(t for _, t in packing.bins(dict(zip(n.tolist(), c.tolist(), strict=True)))) <= math.ceil(total / 2048) * 1.002
 
 
+@SETTINGS
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9))
+def test_each_bin_is_the_fullest(lengths):
+    left = sorted(lengths)
+    for combination, times in packing.bins({n: lengths.count(n) for n in lengths}, 24):
+        for _ in range(times):
+            # of all bins that hold the longest piece left
+            sums = {left[-1] + sum(x for k, x in enumerate(left[:-1]) if m >> k & 1) for m in range(1 << (len(left) - 1))}
+            assert sum(n * c for n, c in combination.items()) == max(x for x in sums if x <= 24)
+            for n, c in combination.items():
+                for _ in range(c):
+                    left.remove(n)
+    assert not left
+
+
 def test_packing_query(spark, docs, empty, library):
     from tidemark.llm.common import written
 
@@ -265,27 +283,42 @@ def test_media_query(spark, docs, empty):
     assert len(got) == docs.count() and media.digests(media.store(empty)).count() == 0
     tensors = by_id(media.load(media.store(docs)))
     assert all(len(t["rgb"]) == t["height"] * t["width"] * 3 for t in tensors)
-    broken = spark.createDataFrame([(1, b"nothing"), (2, None)], "doc_id bigint, media binary")
-    assert [r["rgb"] for r in media.load(broken).collect()] == [None, None]
+    whole = jpeg.encode_payload(b"x" * 640)
+    frame = jpeg._segment(0xC2, b"\x08\xff\xff\xff\xff\x03\x01\x22\0\x02\x11\0\x03\x11\0")
+    bad = [b"nothing", None, b"", b"\xff\xd8\xff\xc2", b"\xff\xd8" + frame + b"\xff\xd9", *(whole[:n] for n in range(0, len(whole) - 2, 37)), whole.replace(b"\x08\0", b"\x0c\0", 1)]
+    loaded = media.load(spark.createDataFrame(list(enumerate(bad)), "doc_id bigint, media binary")).collect()
+    assert len(loaded) == len(bad) and all(r["rgb"] is None for r in loaded)
+
+
+def test_colour_against_a_direct_transform():
+    """Three components at 4:2:0, each sample from the sum that defines the transform."""
+    r = np.random.default_rng(9)
+    image = jpeg.decode(jpeg.encode_payload(b"\0" * 64 * 12))
+    for c in image.components:
+        c.zz[:] = r.integers(-60, 61, c.zz.shape) * (r.random(c.zz.shape) < 0.15)
+        c.zz[:, 0] = r.integers(-300, 300, len(c.zz))
+    order = sorted(range(64), key=lambda k: (k // 8 + k % 8, k % 8 if (k // 8 + k % 8) % 2 == 0 else k // 8))
+    cosine = lambda x, u: (math.sqrt(0.125) if u == 0 else 0.5 * math.cos((2 * x + 1) * u * math.pi / 16))
+    planes = []
+    for c in image.components:
+        p = np.zeros((c.rows * 8, c.cols * 8))
+        for k, zz in enumerate(c.zz):
+            f = [0.0] * 64
+            for place, v in zip(order, zz.tolist(), strict=True):
+                f[place] = v
+            for y in range(8):
+                for x in range(8):
+                    p[k // c.cols * 8 + y, k % c.cols * 8 + x] = sum(f[8 * v + u] * cosine(y, v) * cosine(x, u) for v in range(8) for u in range(8) if f[8 * v + u])
+        planes.append(np.clip(np.rint(p + 128), 0, 255))
+    h, w = image.height, image.width
+    full = [planes[0][:h, :w], *(np.repeat(np.repeat(q, 2, 0), 2, 1)[:h, :w] for q in planes[1:])]
+    y, cb, cr = full[0], full[1] - 128, full[2] - 128
+    want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1), 0, 255)
+    assert np.abs(image.rgb().astype(float) - want).max() <= 2.5
 
 
 # ---- PII and secrets
 
-PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
-def plain_pii(text):
-    out = []
-    for kind, p in PII.items():
-        for m in re.finditer(p, text or ""):
-            digits = re.sub("[^0-9]", "", m[0])
-            double = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(digits))]
-            good = {"email": True, "ip": all(int(x) <= 255 for x in re.sub(r"[^0-9.]", "", m[0]).split(".") if x), "card": 13 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in double) % 10 == 0, "phone": 9 <= len(digits) <= 15}
-            if good[kind]:
-                out.append(f"{kind}:{m.start()}:{m.end()}")
-    return ",".join(out)
-
-
 def test_pii_query(spark, docs, empty):
     r = np.random.default_rng(3)
     letters = list("0123456789" * 3 + "....@@--++  ()ab%é😀_")
@@ -293,7 +326,7 @@ def test_pii_query(spark, docs, empty):
     for source in (docs, spark.createDataFrame(odd, "doc_id bigint, text string"), spark.read.parquet(f"{SF}/documents.parquet")):
         texts = [(r["doc_id"], r["text"]) for r in source.collect()]
         got = sorted((g["doc_id"], g["base_sha256"]) if g["doc_id"] is not None else (-1, g["base_sha256"]) for g in by_id(pii.digest(pii.detect(source))))
-        assert got == sorted((-1 if i is None else i, hashlib.sha256(plain_pii(t).encode()).hexdigest()) for i, t in texts)
+        assert got == sorted((-1 if i is None else i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t)).encode()).hexdigest()) for i, t in texts)
     assert pii.detect(empty).count() == 0
 
 
@@ -303,6 +336,20 @@ def test_pii_method_adds(spark):
     assert "iban:11:38" in got[1] and "iban" not in got[2] and "national_id:26:37" in got[3] and "national_id" not in got[4]
 
 
+def test_ibans_and_what_follows(spark):
+    uk, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    rows = [(1, f"{uk} USED"), (2, f"{uk} 2024"), (3, f"to {uk} and {de}."), (4, f"{uk}{de}"), (5, f"{de} {uk} 1"), (6, f"x{de}"), (7, f"{de}0"), (8, "ZZ89370400440532013000"), (9, f"{uk}a")]
+    got = {g["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in g["spans"] if s["kind"] == "iban"] for g in by_id(pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string")))}
+    assert got == {i: [s for s in added_spans(t) if s[0] == "iban"] for i, t in rows}
+    assert [len(got[i]) for i in range(1, 10)] == [1, 1, 2, 0, 2, 0, 0, 0, 0]
+
+
+def test_redaction_equals_a_plain_one(spark, docs):
+    for source in (docs, spark.read.parquet(f"{SF}/documents.parquet")):
+        want = sorted(((r["doc_id"], redacted(r["text"])) for r in source.collect()), key=repr)
+        assert sorted(((r["doc_id"], r["text"]) for r in pii.redact(source).collect()), key=repr) == want
+
+
 def test_pii_context_on_both_sides(spark):
     n, dots = "123-45-6789", "." * 50
     rows = [
@@ -355,6 +402,24 @@ def test_secret_ownership(spark):
     assert got == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 0), 9: (0, 1)}
 
 
+def test_ownership_equals_a_plain_count(spark):
+    r = np.random.default_rng(11)
+    values = [f"token = k{i}Zq8Lm2Xv{i * 7919}Rt" for i in range(12)]
+    rows = [(int(i), " ; ".join(r.choice(values, 3)), None if i % 7 == 0 else f"o{r.integers(0, 4)}", None if i % 5 == 0 else f"r{r.integers(0, 3)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, owner string, repo string")
+    owners, repos = {}, {}
+    for _, text, owner, repo in rows:
+        for v in text.split(" ; "):
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add((owner, repo))
+    got = by_id(secrets.scan_secrets(df, owner_col="owner", repo_col="repo"))
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _, _ in rows}
+    for g in got:
+        assert [(s["n_owners"], s["n_repos"]) for s in g["spans"]] == [(len(owners[v]), len(repos[v])) for v in texts[g["doc_id"]].split(" ; ")]
+        assert all((s["verdict"] == "copied") == (s["n_owners"] >= 3) for s in g["spans"])
+
+
 # ---- language
 
 
@@ -371,6 +436,39 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_filter_equals_exact_sets(spark):
+    """The filter knows every n-gram of a language's exact set, and others at the rate of its fill alone."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL")
+    model = langid.fit(d, size=1 << 16)
+    held = {}
+    for r in d.collect():
+        for g in set(langid.grams(r["text"]).tolist()):
+            held.setdefault(r["lang"], {}).setdefault(g, []).append(1)
+    exact = {x: np.array(sorted(g for g, n in own.items() if len(n) >= langid.LEAST_TEXTS), np.uint64) for x, own in held.items()}
+    assert model.languages == sorted(exact)
+    every = np.unique(np.concatenate([langid.grams(r["text"]) for r in d.collect()]))
+    masks = model.languages_of(every)
+    for b, x in enumerate(model.languages):
+        said, true = (masks >> np.uint64(b) & np.uint64(1)).astype(bool), np.isin(every, exact[x])
+        assert said[true].all()
+        assert abs(said[~true].mean() - model.chance[b]) <= 0.02 + 0.3 * model.chance[b]
+
+    def plain(text):
+        g = langid.grams(text)
+        hits = [int(np.isin(g, exact[x]).sum()) for x in model.languages]
+        return model.languages[int(np.argmax(hits))] if len(g) else "und"
+
+    rows = [r for r in d.collect() if len(r["text"]) > 100]
+    assert sum(plain(r["text"]) == model.decide(r["text"])[0] for r in rows) >= 0.99 * len(rows)
+
+
+def test_language_ties_go_to_the_first(spark):
+    text = "exactly the same words in both of them"
+    both = spark.createDataFrame([(i, text, lang) for i in range(4) for lang in ("xx", "aa")], "doc_id bigint, text string, lang string")
+    model = langid.fit(both, least_texts=1)
+    assert model.languages == ["aa", "xx"] and model.decide(text)[0] == "aa" and model.decide("1234") == ("und", 0.0, 0.0)
+
+
 # ---- quality
 
 
@@ -396,10 +494,24 @@ def test_quality_query(spark, docs, empty):
 
 def test_quality_depletes_boilerplate(spark):
     line = "cookies are used on this site, and by going on you agree to all of that and to some more things besides"
-    rows = [(i, f"{line}\nown {chr(97 + i)}", "h") for i in range(8)] + [(50, f"{line}\n" + " ".join(f"w{k}" for k in range(60)), "h"), (60, f"{line}\nother", "g")] + [(70 + i, " ".join(f"c{k}" for k in range(30)), "h") for i in range(9)]
-    got = {g["doc_id"]: (g["n_heavy_words"], g["kept"]) for g in by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), line_limit=5))}
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)  # noqa: E731  no digits, which are all the same to the rule
+    words = lambda p, n: " ".join(f"{p}{name(k)}" for k in range(n))
+    rows = [(i, f"{line}\nown {chr(97 + i)}", "h") for i in range(8)] + [(50, f"{line.upper()} \n{words('w', 60)}", "h"), (60, f"{line}\nother", "g")]
+    rows += [(70 + i, words(f"c{name(i)}x", 30), "h") for i in range(60)] + [(200 + i, f"{line}\n{words('z', 5)}", None) for i in range(5)]
+    rows += [(300, words("r", 30), "r")] * 20  # one document, however often it stands there
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {g["doc_id"]: (g["n_heavy_words"], g["kept"]) for g in by_id(quality.quality_rules(df))}
     assert got[0] == (22, False) and got[50] == (22, True) and got[60] == (0, True)
-    assert got[70] == (0, True)  # copies of one text are one text
+    assert got[70] == (0, True) and got[200] == (0, True) and got[300] == (0, True)
+    # the same share of ten times as many documents
+    more = df.filter("doc_id < 200").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select((F.col("doc_id") + 1000 * F.col("k")).alias("doc_id"), "text", "source")
+    again = {g["doc_id"]: (g["n_heavy_words"], g["kept"]) for g in by_id(quality.quality_rules(more.filter("source = 'h'")))}
+    assert all(again[i + 1000 * k] == got[i] for i in (0, 50, 70) for k in range(10))
+
+
+def test_line_rule_acts_on_the_tables(spark):
+    rows = quality.op9_line_frequency(spark, SF.replace("0.001", "0.01")).filter("n_heavy_words > 0")
+    assert rows.count() > 0
 
 
 # ---- WARC
@@ -430,6 +542,38 @@ def test_warc_round_trip(spark):
         assert starts == r["n_records"]
 
 
+def test_warc_records_are_valid(spark):
+    from tidemark.llm.common import scratch
+
+    rows = [(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (None, None, None), (3, "http://c/", "y")]
+    folder = scratch(spark, "warc-test")
+    mono = warc.write_monolithic(warc.with_revisits(spark.createDataFrame(rows, "page_id bigint, url string, html string")), folder)
+    seen = []
+    store = warc.Store(folder)
+    for r in mono.collect():
+        with store.read(r["name"]) as f:
+            for head, body in warc.records(warc.inflated(f)):
+                h = warc.headers(head)
+                assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h)
+                assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", h["WARC-Record-ID"]) and re.fullmatch(r"\d{4}(-\d\d){2}T\d\d:\d\d:\d\dZ", h["WARC-Date"])
+                assert h["Content-Type"] == "application/http; msgtype=response" and body.startswith(b"HTTP/1.1 200 OK\r\n")
+                assert not any(k.startswith("WARC-") and k not in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Profile", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date") for k in h)
+                if h["WARC-Type"] == "revisit":
+                    assert h["WARC-Refers-To-Target-URI"] == "http://b/" and h["X-Refers-To-Page"] == "2"
+                seen.append(h["WARC-Record-ID"])
+    assert len(seen) == len(set(seen)) == 5
+
+
+def test_gzip_ends():
+    data = b"".join(warc.member(bytes([65 + k]) * 1000) for k in range(3))
+    said = lambda raw: b"".join(warc.inflated(io.BytesIO(raw)))
+    whole = b"A" * 1000 + b"B" * 1000 + b"C" * 1000
+    assert said(data) == whole == said(data + b"\0" * 700_000) and said(b"") == b""
+    for cut in (1, 4, 8, 12):
+        with pytest.raises((ValueError, zlib.error)):
+            said(data[:-cut])
+
+
 def test_warc_empty(spark):
     from tidemark.llm.common import scratch
 
