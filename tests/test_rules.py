@@ -16,7 +16,7 @@ from tidemark.operators.compare import GuardError, require_known, require_share,
 from tidemark.operators.events import append_new, cross_source_dedup, notice_features
 from tidemark.operators.facets import NOT_STATED, Filter, FilterError, conditions, facet_counts, page
 from tidemark.operators.matching import ladder
-from tidemark.operators.metrics import bootstrap_interval, by_score, paired_delta, ranking, running
+from tidemark.operators.metrics import bootstrap_interval, by_score, paired_delta, quantiles, ranking, running
 from tidemark.operators.models import downsample, expanding_folds, fit, fold_of, grouped_auc, held_back, origin_split, prepare, score
 from tidemark.operators.panel import DELTA_INPUTS, Months, deltas, forward_labels, run_starts
 
@@ -344,6 +344,15 @@ def test_running_counts_in_bands(spark):
         assert (pos, neg, whole) == (sum(better), len(better) - sum(better), sum(y for _, y, h in rows if h == g))
 
 
+def test_quantiles_in_bands(spark):
+    r = random.Random(6)
+    for values in ([r.gauss(0, 3) for _ in range(301)], [1.0, 1.0, 2.0], [-4.5], [0.0, 0.0, -1.0, 7.25]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        got = quantiles(df, "v", [0.99, 0.9, 0.5, 0.0]).first()
+        assert np.allclose(list(got), np.quantile(values, [0.99, 0.9, 0.5, 0.0]))
+    assert list(quantiles(df.limit(0), "v", [0.9]).first()) == [None]
+
+
 def test_entities_are_read_once(spark):
     said = ["a &amp;lt; b &pound;5 &#163; &#x1F600; &bogus; & c", "&#0;&#xD800;&", "none", None]
     got = [x["t"] for x in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").select("i", text.unescaped(F.col("t")).alias("t")).orderBy("i").collect()]

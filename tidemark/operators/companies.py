@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facets import NOT_STATED, Filter, FilterError, conditions, where
+from .metrics import quantiles
 
 # Register statuses by phase of life, and the segments that trade.
 PHASES = {
@@ -38,10 +39,14 @@ def is_active() -> Column:
     return lifecycle(F.col("status")) == "Trading"
 
 
-def thresholds(companies: DataFrame) -> dict[str, tuple[float, float]]:
-    """The 99th and 90th percentile of each score over all companies that have one; six numbers reach the driver."""
-    row = companies.agg(*[F.percentile(c, F.array(F.lit(0.99), F.lit(0.9))).alias(k) for k, c in SCORES.items()]).first()
-    return {k: tuple(row[k]) for k in SCORES if row[k]}
+def thresholds(companies: DataFrame, in_one_pass: int = 5_000_000) -> dict[str, tuple[float, float]]:
+    """The 99th and 90th percentile of each score over all companies that have one; six numbers reach the driver. Up to
+    in_one_pass rows one aggregate holds the scores; beyond, each score's values are ranked in bands."""
+    if companies.count() <= in_one_pass:
+        row = companies.agg(*[F.percentile(c, F.array(F.lit(0.99), F.lit(0.9))).alias(k) for k, c in SCORES.items()]).first()
+        return {k: tuple(row[k]) for k in SCORES if row[k]}
+    found = {k: tuple(quantiles(companies, c, [0.99, 0.9]).first()) for k, c in SCORES.items()}
+    return {k: v for k, v in found.items() if v[0] is not None}
 
 
 def registry(top: dict[str, tuple[float, float]]) -> list[Filter]:

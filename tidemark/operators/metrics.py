@@ -41,6 +41,20 @@ def running(counts: DataFrame, score: str, groups: list[str], values: list[str],
     return out.withColumns({f"upto_{v}": F.col(f"_in_{v}") + F.col(f"_b_{v}") for v in values}).drop("_band", *[f"_{k}_{v}" for k in ("in", "b") for v in values])
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with the exact quantile (interpolated between neighbours) for each share: q0, q1, ... No aggregate holds all
+    values; equal ones shrink to a count and the counts are ranked in bands."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    r = running(counts, "v", [], ["n"], descending=False)
+    out = []
+    for k, share in enumerate(shares):
+        at = share * (F.col("all_n") - 1)
+        low, high = (F.min(F.when(F.col("upto_n") > f(at), F.col("v"))) for f in (F.floor, F.ceil))
+        up = F.max(at - F.floor(at))
+        out.append((low * (1 - up) + high * up).alias(f"q{k}"))
+    return r.agg(*out)
+
+
 def ranking(df: DataFrame, score: str, label: str, groups: list[str] | None = None, cuts: tuple[int, ...] = (100,)) -> DataFrame:
     """n, base_rate, roc_auc, pr_auc (average precision), and precision and lift at each cut, by group.
 
