@@ -10,25 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import tokenizer_file
-from tidemark.llm.common import written
+from tidemark.llm.common import fields, quoted, written
 from tidemark.llm.jaccard import one_of_each_group
 from tidemark.llm.langid import fit, identify
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.pii import redact
-from tidemark.llm.substrings import dedup_substrings
+from tidemark.llm.substrings import without_repeats
 
-#: A text of LONG characters or more whose best language has less than this share of the corrected hits is in none of the
-#: learned languages (even shares of four would be 0.25). A shorter one may just hold too little evidence, and stays.
-LEAST_SCORE = 0.3
+#: A text of LONG characters or more of whose n-grams no language knows this share is in none of the learned languages,
+#: however many they are. A shorter one may just hold too little evidence, and stays.
+LEAST_KNOWN = 0.2
 LONG = 200
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """The same columns, n_chars counted anew."""
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter, and long ones in none of the learned languages. lang stays as it is where it is
     known, and takes the prediction where it is null."""
     told = identify(docs, fit(docs), with_rows=True)
-    good = told.filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.length("row.text") < LONG)))
-    return good.select(*[F.coalesce(F.col("row.lang"), "lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    good = told.filter((F.col("lang_pred") != "und") & ((F.col("known") >= LEAST_KNOWN) | (F.length("row.text") < LONG)))
+    return good.select(*fields(docs, lang=F.coalesce(F.col("row.lang"), "lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated sentence spans go; a document of which no word is left goes with them."""
-    clean = dedup_substrings(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return counted(without_repeats(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return counted(redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
