@@ -101,12 +101,6 @@ def facet_counts(df: DataFrame, filters: list[Filter], request: dict, facets: di
     return d.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).groupBy("e.facet", "e.option").agg(F.count("*").alias("n"))
 
 
-def preset_counts(df: DataFrame, presets: dict[str, Column], base: Column | None = None) -> DataFrame:
-    """One row with the number of rows of each named population, in one scan."""
-    d = df.filter(base) if base is not None else df
-    return d.agg(*[F.count_if(c).alias(k) for k, c in presets.items()])
-
-
 def page(df: DataFrame, order: str, descending: bool, key: str, allowed: list[str], limit: int = 100, offset: int = 0, most: int = 500) -> DataFrame:
     """A page of a total order: the column, nulls last, then the key. limit is held within 0 and `most`."""
     if order not in allowed:

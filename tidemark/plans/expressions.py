@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators.facets import NOT_STATED, Filter, facet_counts, page, preset_counts, search, where
+from ..operators.facets import NOT_STATED, Filter, page, search, where
 from ..operators.metrics import by_score
 from .registry import query
 from .standins import WIDE, wide
