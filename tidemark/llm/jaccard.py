@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, release, remove, small_batches, texts, worker_cache, written
+from .common import bounded, fields, quoted, release, remove, small_batches, texts, whole_row, worker_cache, written
 from .components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -44,6 +44,8 @@ SLICES = 4
 TRIE_SETS, TRIE_BYTES = 512, 2 << 20
 #: Bits of an order key that hold the hash; those above hold the number of classes, up to 2047, and the border.
 KEY_BITS = 52
+#: Tasks over which the classes under one root are dealt where they meet what the root has one row of.
+SALTS = 16
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -272,17 +274,25 @@ def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.Rec
         yield told()
 
 
+def _salted(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """rows (one a class) joined with a table of one row for each key, which a third of all rows may share: the key's rows
+    are dealt over SALTS tasks, its one row goes to each."""
+    each = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS))).hint("merge").join(each, [*on, "salt"]).drop("salt")
+
+
 def walks(stored: DataFrame, visits: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: components with a link. stored: root, part, cid, comp, size of the sets in tries; visits: the same, of those who
-    walk them. Of the visits inside a part, one goes to the tries with its own number or a larger one only."""
+    """a, b: components with a link. stored: root, part, cid, comp, size of the sets in tries (parts that nobody visits are
+    passed by); visits: the same, of those who walk them. Of the visits inside a part, one goes to the tries with its own
+    number or a larger one only."""
     sizes = stored.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / TRIE_SETS), F.ceil(F.col("total") * 8 / TRIE_BYTES)).cast("long")
-    sizes = sizes.select("root", "part", blocks.alias("blocks"))
+    sizes = sizes.join(visits.select("root", "part").distinct(), ["root", "part"], "left_semi").select("root", "part", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     cols = ["root", "part", "block", "visits", "cid", "comp", "size"]
-    kept = stored.hint("merge").join(sizes, ["root", "part"]).withColumns({"block": own, "visits": F.lit(False)}).select(cols)
+    kept = _salted(stored, sizes, ["root", "part"]).withColumns({"block": own, "visits": F.lit(False)}).select(cols)
     each = F.explode(F.sequence(F.when(F.col("inside"), own).otherwise(F.lit(0).cast("long")), F.col("blocks") - 1))
-    gone = visits.hint("merge").join(sizes, ["root", "part"]).withColumns({"block": each, "visits": F.lit(True)}).select(cols)
+    gone = _salted(visits, sizes, ["root", "part"]).withColumns({"block": each, "visits": F.lit(True)}).select(cols)
     rows = kept.unionByName(gone).hint("merge").join(sets, "cid").drop("cid")
     rows = rows.repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "visits")
     return rows.mapInArrow(lambda b: _walk(b, num, den), "a long, b long").distinct()
@@ -292,7 +302,7 @@ def first_round(posts: DataFrame, live: DataFrame, sets: DataFrame, num: int, de
     """Links of each root's most typical class with the others under it."""
     under = posts.select("root", "cid", "size").distinct().join(live.select("cid", "typical"), "cid")
     top = under.groupBy("root").agg(F.max_by(F.struct("cid", "size"), F.struct("typical", "cid")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    stored = under.join(top.select("root"), "root", "left_semi").select("root", F.lit(0).alias("part"), "cid", F.col("cid").alias("comp"), "size")
+    stored = under.select("root", F.lit(0).alias("part"), "cid", F.col("cid").alias("comp"), "size")
     visits = top.select("root", F.lit(0).alias("part"), "top.cid", F.col("top.cid").alias("comp"), "top.size", F.lit(False).alias("inside"))
     return walks(stored, visits, sets, num, den)
 
@@ -303,8 +313,8 @@ def second_round(posts: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
     p = posts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     under = p.select("root", "cid", "comp", "size").distinct()
     largest = under.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    p = p.join(largest, "root").withColumn("part", (F.col("comp") != F.col("main")).cast("int")).drop("main")
-    p = written(p, "posts")
+    part = _salted(under, largest, ["root"]).select("cid", (F.col("comp") != F.col("main")).cast("int").alias("part"))
+    p = written(p.hint("merge").join(part, "cid"), "posts")
     reach = p.groupBy("gram", "root", "part").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "size") for f in (F.min, F.max)])
     reach = reach.select(F.col("gram").alias("g"), F.col("root").alias("to"), F.col("part").alias("to_part"), "min_comp", "max_comp", "min_size", "max_size")
     other = ~((F.col("min_comp") == F.col("max_comp")) & (F.col("min_comp") == F.col("comp")))
@@ -313,7 +323,7 @@ def second_round(posts: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
     inside = (F.col("to") == F.col("root")) & (F.col("to_part") == F.col("part"))
     met = p.hint("merge").join(reach, F.col("gram") == F.col("g")).filter(other & fits & beyond)
     visits = written(met.select(F.col("to").alias("root"), F.col("to_part").alias("part"), "cid", "comp", "size", inside.alias("inside")).distinct(), "visits")
-    stored = p.select("root", "part", "cid", "comp", "size").distinct().join(visits.select("root", "part").distinct(), ["root", "part"], "left_semi")
+    stored = p.select("root", "part", "cid", "comp", "size").distinct()
     found = written(walks(stored, visits, sets, num, den), "links")
     remove(visits)
     remove(p)
@@ -363,9 +373,9 @@ def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100
     alone = [F.when(F.col("label").isNull(), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")]
     best = named.groupBy("label", *alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
     stay = best.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_key": F.col(f"`{id_col}`").cast("long"), "_text_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    kept = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["_key", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole_row(docs), quoted(id_col).cast("long").alias("key"), F.xxhash64(quoted(text_col).cast("string")).alias("hash"))
+    kept = keyed.join(stay, F.col("key").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["key", "hash"]).select(*fields(docs))
 
 
 def op10_prefix_tree_join(spark, sf_dir: str) -> DataFrame:
