@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import re
@@ -64,11 +65,21 @@ def bounded(df: DataFrame) -> DataFrame:
 _cache: dict[str, object] = {}
 
 
+def trim() -> None:
+    """Give back to the system what this process has freed: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def worker_cache(name: str, make):
     """What make() gives, kept for later tasks of the same worker process. Only one name is kept at a time, so that the
     stages of a pipeline do not add up their caches."""
     if name not in _cache:
         _cache.clear()
+        trim()
         _cache[name] = make()
     return _cache[name]
 

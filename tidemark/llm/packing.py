@@ -95,20 +95,20 @@ class Plan:
 
 
 class _Words(dict):
-    """A word's ids as little-endian bytes, asked of the tokenizers library's model once. When KEPT_WORDS are known they
+    """A word's ids as little-endian bytes, asked of the tokenizers library's model once. When `kept` are known they
     become the older generation, from which words in use return; so memory is bounded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.v, self.older = Vocabulary(path), {}
+        self.v, self.older, self.kept = Vocabulary(path), {}, kept
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.made = {n: struct.Struct(f"<{n}I") for n in range(1, 65)}
 
     def learn(self, lists) -> None:
         """Encode what a block of texts holds and is not known yet."""
-        if len(self) > KEPT_WORDS:
+        if len(self) > self.kept:
             self.older = dict(self)
             self.clear()
         new = set().union(*lists) - self.keys()
@@ -126,11 +126,11 @@ class _Words(dict):
         return [b"".join([struct.pack("<I", special[p]) if s else b"".join(map(get, w)) for w, s, p in own]) for own in parts]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit). kept: encoded words in memory."""
 
     def work(batches):
-        words, closing = worker_cache(f"words {tokenizer_path}", lambda: _Words(tokenizer_path)), b"\0\0\0\0"
+        words, closing = worker_cache(f"words {tokenizer_path} {kept}", lambda: _Words(tokenizer_path, kept)), b"\0\0\0\0"
         for b in small_batches(batches):
             rows = []
             block = words.ids_of([t or "" for t in b.column("text").to_pylist()])
