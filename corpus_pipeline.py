@@ -21,6 +21,9 @@ from tidemark.llm.substrings import without_repeats
 #: however many they are. A shorter one may just hold too little evidence, and stays.
 LEAST_KNOWN = 0.2
 LONG = 200
+#: Encoded words that a worker keeps in the packing stage, less than op4's own: executors still hold what the stages before
+#: this one have grown to.
+KEPT_WORDS = 250_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer_file()), "pieces"))
+    return pack(written(pieces(docs, tokenizer_file(), kept=KEPT_WORDS), "pieces"))
 
 
 STAGES = [
