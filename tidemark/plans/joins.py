@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_sum
 from ..operators.asof import near_event
+from ..operators.nearest import nearest
 from .registry import query
 from .standins import PANEL, panel
 
@@ -183,10 +184,8 @@ def j6(t):
 
 @query("j22_block_join", "WITH a AS (SELECT s_suppkey AS id, s_name AS nm, s_nationkey AS block FROM supplier), b AS (SELECT c_custkey AS cn, replace(c_name, 'Customer', 'Supplier') AS nm, c_nationkey AS block FROM customer) SELECT id, cn, s FROM (SELECT id, cn, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, cn) AS rn FROM (SELECT id, cn, 1 - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) AS s FROM a JOIN b USING (block)) WHERE s >= 0.9) WHERE rn = 1")
 def j22(t):
-    """The nearest name of the same block: an equi-join on the block, then a maximum, never a product of the tables."""
-    from ..operators.matching import similarity
-
-    a = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("x"), F.col("s_nationkey").alias("block"))
-    b = t.customer.select(F.col("c_custkey").alias("cn"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("y"), F.col("c_nationkey").alias("block"))
-    j = a.join(b, "block").withColumn("s", similarity(F.col("x"), F.col("y"))).filter("s >= 0.9")
-    return j.groupBy("id").agg(F.min_by(F.struct("cn", "s"), F.struct(-F.col("s"), "cn")).alias("m")).select("id", "m.cn", "m.s")
+    """The nearest name of the same block, never a product of the tables or of a block's names."""
+    names = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("nm"), F.col("s_nationkey").alias("block"))
+    ref = t.customer.select(F.col("c_custkey").alias("r_cn"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("r_nm"), F.col("c_nationkey").alias("block"))
+    found = nearest(names.select("block", "nm").distinct(), ref, ["block"], 0.9)
+    return names.join(found, ["block", "nm"]).groupBy("id").agg(F.min_by("f", F.struct(-F.col("f.score"), "f.r_cn")).alias("f")).select("id", F.col("f.r_cn").alias("cn"), F.col("f.score").alias("s"))
