@@ -7,6 +7,7 @@ import pytest
 from support import SF
 
 from tidemark.operators import nearest
+from tidemark.operators.matching import ladder
 from tidemark.plans import catalog
 
 
@@ -57,7 +58,25 @@ def test_few_pairs_of_a_large_block():
     assert 0 < len(told) < 2 * len(names) and all(distance(names[i], others[j]) <= 1 for i, j in told)
 
 
-@pytest.mark.parametrize("name", ["j22_block_join"])
+@pytest.mark.parametrize("name", ["er5_ladder", "j22_block_join"])
 def test_no_join_compares_names(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" in plan and not re.search("Join .*levenshtein", plan)
+
+
+def test_ladder_over_cells(spark, monkeypatch):
+    """A block dealt over many cells; entities that share a name; the smallest of equally near ones wins."""
+    monkeypatch.setattr(nearest, "CELL", 7)
+    r = random.Random(5)
+    ref = [(i, f"ACME {r.randrange(30_000)} {r.choice(('STEELWORKS', 'BAKERY'))}", r.choice(("AB1", "CD2", None))) for i in range(300)]
+    ref += [(1000 + i, ref[i][1], ref[i][2]) for i in range(40)] + [(5000, None, "AB1")]
+    rows = [(i, None, like[1][: -1 - i % 2] + r.choice(("", "X", "Z")), like[2] if i % 9 else "ZZ9") for i, like in enumerate(r.choices(ref[:300], k=120))]
+    got = ladder(spark.createDataFrame(rows, "id int, number long, nm string, pc string"), spark.createDataFrame(ref, "cn long, nm string, pc string"))
+    got = {x["id"]: (x["cn"], x["confidence"]) for x in got.collect() if x["method"] in ("fuzzy", "none")}
+    names = {n for _, n, _ in ref}
+    want = {}
+    for i, _, name, pc in rows:
+        if name not in names:
+            near = min(((-similar(name, n), c) for c, n, p in ref if n and p and p == pc), default=(0, None))
+            want[i] = (near[1], round(-near[0] * 0.9, 6)) if -near[0] >= 0.9 else (None, None)
+    assert got == want and len({c for c, _ in want.values()}) > 20

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stands_alone
+from .nearest import nearest
 
 
 def unique_candidates(reference: DataFrame, keys: list[str], entity: str = "cn") -> DataFrame:
@@ -30,23 +31,13 @@ def resolve(rows: DataFrame, reference: DataFrame, keys: list[str], universe: Da
     return rows.join(found, keys, "left")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Normalised Levenshtein similarity from 0 to 1."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(1.0)
-
-
 def _nearest(names: DataFrame, ref: DataFrame, least: float) -> DataFrame:
     """nm, pc, f (r_cn, score): the most similar entity of the same postcode and first word, if it is similar enough; ties
-    by entity. Names whose lengths differ too much can't be, so lengths are part of the block: a hot first word is split
-    by them, and each name is compared once, however many rows have it."""
+    by entity. Each name is looked up once, however many rows have it."""
     first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    n = F.length("nm")
-    fitting = F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))
-    left = names.select("nm", "pc", first(F.col("nm")).alias("w"), F.explode(fitting).alias("n"))
-    right = ref.filter("r_pc IS NOT NULL AND r_nm IS NOT NULL").select("r_cn", "r_nm", F.col("r_pc").alias("pc"), first(F.col("r_nm")).alias("w"), F.length("r_nm").alias("n"))
-    near = left.join(right, ["pc", "w", "n"]).withColumn("score", similarity(F.col("nm"), F.col("r_nm"))).filter(F.col("score") >= least)
-    return near.groupBy("nm", "pc").agg(F.min_by(F.struct("r_cn", "score"), F.struct(-F.col("score"), F.col("r_cn"))).alias("f"))
+    left = names.select("nm", "pc", first(F.col("nm")).alias("w"))
+    right = ref.select("r_cn", "r_nm", F.col("r_pc").alias("pc"), first(F.col("r_nm")).alias("w"))
+    return nearest(left, right, ["pc", "w"], least).select("nm", "pc", "f")
 
 
 def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str = "id", number: str = "number", name: str = "nm", area: str = "pc", entity: str = "cn") -> DataFrame:

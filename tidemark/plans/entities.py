@@ -8,7 +8,8 @@ from ..functions.text import company_name, postcode
 from ..operators.asof import first_n
 from ..operators.compare import changed_rows, differences
 from ..operators.events import append_new, cross_source_dedup, upsert_by
-from ..operators.matching import best_per_entity, ladder, precision, resolve, similarity, two_tier, unique_candidates, verify_articles
+from ..operators.matching import best_per_entity, ladder, precision, resolve, two_tier, unique_candidates, verify_articles
+from ..operators.nearest import similarity
 from .registry import query
 
 # ---- sets
