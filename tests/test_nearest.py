@@ -58,7 +58,7 @@ def test_few_pairs_of_a_large_block():
     assert 0 < len(told) < 2 * len(names) and all(distance(names[i], others[j]) <= 1 for i, j in told)
 
 
-@pytest.mark.parametrize("name", ["er5_ladder", "er11_coverage", "j22_block_join"])
+@pytest.mark.parametrize("name", ["er5_ladder", "er7_best_per_entity", "er11_coverage", "j22_block_join"])
 def test_no_join_compares_names(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" in plan and not re.search("Join .*levenshtein", plan)
