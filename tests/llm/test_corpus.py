@@ -315,3 +315,68 @@ def test_pipeline(spark, docs, empty):
     for _, stage in c.STAGES:
         nothing = written(stage(spark, nothing, SF), "t")
     assert nothing.count() == 0
+
+
+def components(links):
+    up = {}
+    def find(c):
+        while up.setdefault(c, c) != c:
+            c = up[c]
+        return c
+    for a, b in links:
+        up[find(a)] = find(b)
+    return {frozenset(c for c in up if find(c) == top) for top in {find(c) for c in list(up)}}
+
+
+def walked(rows, forest, step=70):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    names = ["root", "part", "block", "visits", "comp", "size", "members"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    parts = iter([batch.slice(k, step) for k in range(0, batch.num_rows, step)])
+    return [x for out in jaccard._walk(parts, 90, 100, forest) for x in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+
+
+def test_walk_tells_a_forest():
+    """Copies that all link with one another, in two tries: joined by fewer links than rows, not by all pairs."""
+    _, copies = edited_copies(200, 400)
+    rows = [(1, 0, b, v, k, n, s.tobytes()) for b in (0, 1) for v in (False, True) for k, n, s in copies if v or k % 2 == b]
+    got = walked(rows, True)
+    assert components(got) == components(walked(rows, False)) == {frozenset(range(200))}
+    assert len(got) == 199 and len(walked(rows, False)) > 10_000
+
+
+def test_forest_joins_what_all_links_do():
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        pool = np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64))
+        bases = [r.choice(pool, r.integers(20, 40), replace=False) for _ in range(5)]
+        rows = []
+        for root in range(3):
+            for v in (False, True):
+                for _ in range(25):
+                    k = int(r.integers(0, 60))
+                    p = np.sort(r.permutation(bases[k % 5])[int(r.integers(0, 4)) :])
+                    rows.append((root, 0, 0, v, k, len(p), p.tobytes()))
+        assert components(walked(rows, True)) == components(walked(rows, False))
+
+
+def test_links_of_many_copies(spark, monkeypatch):
+    """900 variants, no two of them alike, each linked with many others but not with the most typical one: links in
+    proportion to the variants."""
+    told, walks = [], jaccard.walks
+    def counted(*args):
+        out = walks(*args).persist()
+        told.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "walks", counted)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(900):
+        w = list(base)
+        for k in r.sample(range(0, 300, 30), 4):
+            w[k] = f"x{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}
+    assert got == plain_groups(rows, 3, 90)
+    assert sum(told) < 6 * 900

@@ -36,6 +36,7 @@ from .components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _KEPT_WORDS = 200_000
+_KEPT_COMPONENTS = 200_000
 #: Rows of 24 bytes up to which the classes to be joined are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 #: Parts of the hash space whose n-grams are counted one after the other.
@@ -192,16 +193,17 @@ def sets_of(docs: DataFrame, live: DataFrame, wanted: DataFrame, n: int, num: in
 class Trie:
     """Ordered sets, what they share stored once: a node is a run of members (its own part of the path), its children and
     the sets that end there. `least` is the smallest size of a set below, `most` the longest path, `only` the one component
-    of the sets below (none if there are several)."""
+    of the sets below (none if there are several). The first node has all nodes, parents first."""
 
-    __slots__ = ("run", "children", "ends", "least", "most", "only")
+    __slots__ = ("run", "children", "ends", "least", "most", "only", "nodes")
 
     def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
         """sets: (component, size, path), sorted by path; the size counts members that are not in the path too. Built with a
         stack of its own: one branching a member would go too deep for calls."""
-        todo = [(self, sets, 0)]
+        todo, self.nodes = [(self, sets, 0)], []
         while todo:
             node, own, depth = todo.pop()
+            self.nodes.append(node)
             first, last = own[0][2], own[-1][2]
             n = min(len(first), len(last))
             differ = np.nonzero(first[depth:n] != last[depth:n])[0]
@@ -243,12 +245,63 @@ class Trie:
             todo += [(c, depth, overlap, passed) for c in node.children]
         return out
 
+    def join(self, comp: int, size: int, probe: np.ndarray, num: int, den: int, joined: Joined) -> list[tuple[int, int]]:
+        """links() that joins what it finds at once, so that the walk passes by all that is joined with the probe by now. The
+        pairs told are those that joined two components."""
+        out, todo = [], [(self, 0, 0, 0)]
+        n, find = len(probe), joined.find
+        mine = find(comp)
+        while todo:
+            node, depth, overlap, passed = todo.pop()
+            if node.only is not None and find(node.only) == mine:
+                continue
+            if overlap + min(n - passed, node.most - depth) < least_overlap(size, node.least, num, den):
+                continue
+            if len(node.run) and n:
+                at = np.searchsorted(probe, node.run)
+                overlap += int(np.count_nonzero(probe[np.minimum(at, n - 1)] == node.run))
+                depth += len(node.run)
+                passed = int(at[-1])
+            for c, s in node.ends:
+                if find(c) != mine and overlap >= least_overlap(size, s, num, den):
+                    mine = joined.join(comp, c)
+                    out.append((min(comp, c), max(comp, c)))
+            todo += [(c, depth, overlap, passed) for c in node.children]
+        return out
+
+    def renew(self, find) -> int:
+        """Make `only` anew from what is joined by now; how many components are left."""
+        for node in reversed(self.nodes):
+            comps = {find(c) for c, _ in node.ends} | {c.only for c in node.children}
+            node.only = comps.pop() if len(comps) == 1 else None
+        return len({find(c) for node in self.nodes for c, _ in node.ends})
+
+
+class Joined:
+    """Components joined so far by the links that one task has told."""
 
-def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """a, b: components with a link between them. Rows come sorted by root, part, block and visits, so a trie's sets are
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        up = self.up
+        while (a := up.get(c, c)) != c:
+            up[c] = c = up.get(a, a)
+        return c
+
+    def join(self, a: int, b: int) -> int:
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+        return a
+
+
+def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """a, b: components with a link between them; with forest only links that join what those told before leave apart, so
+    there are fewer of them than sets and visitors. Rows come sorted by root, part, block and visits, so a trie's sets are
     there before its visitors, who pass one by one."""
     key, sets, trie = None, [], None
     found: set[tuple[int, int]] = set()
+    joined, apart, new = Joined(), 0, 0
 
     def told():
         a, b = zip(*found, strict=True)
@@ -262,13 +315,24 @@ def _walk(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.Rec
                 key, sets, trie = own, [], None
                 if found:
                     yield told()
+                if len(joined.up) > _KEPT_COMPONENTS:
+                    joined = Joined()
             if not visits:
                 sets.append((comp, size, path))
                 continue
             if trie is None and sets:
                 sets.sort(key=lambda x: x[2].byteswap().tobytes())
                 trie, sets = Trie(sets), []
-            if trie is not None:
+                apart, new = trie.renew(joined.find) if forest else 0, 0
+            if trie is None:
+                continue
+            if forest:
+                links = trie.join(comp, size, path, num, den, joined)
+                found.update(links)
+                new += len(links)
+                if apart > 1 and 2 * new >= max(16, apart):
+                    apart, new = trie.renew(joined.find), 0
+            else:
                 found.update((min(comp, c), max(comp, c)) for c in trie.links(comp, size, path, num, den))
     if found:
         yield told()
@@ -282,7 +346,7 @@ def _salted(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 
 
 def walks(stored: DataFrame, visits: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: components with a link. stored: root, part, cid, comp, size of the sets in tries (parts that nobody visits are
+    """a, b: links between components, enough to join all that have one. stored: root, part, cid, comp, size of the sets in tries (parts that nobody visits are
     passed by); visits: the same, of those who walk them. Of the visits inside a part, one goes to the tries with its own
     number or a larger one only."""
     sizes = stored.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
@@ -295,7 +359,7 @@ def walks(stored: DataFrame, visits: DataFrame, sets: DataFrame, num: int, den:
     gone = _salted(visits, sizes, ["root", "part"]).withColumns({"block": each, "visits": F.lit(True)}).select(cols)
     rows = kept.unionByName(gone).hint("merge").join(sets, "cid").drop("cid")
     rows = rows.repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "visits")
-    return rows.mapInArrow(lambda b: _walk(b, num, den), "a long, b long").distinct()
+    return rows.mapInArrow(lambda b: _walk(b, num, den, True), "a long, b long").distinct()
 
 
 def first_round(posts: DataFrame, live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
