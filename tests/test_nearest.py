@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from support import SF
 
@@ -80,3 +82,35 @@ def test_ladder_over_cells(spark, monkeypatch):
             near = min(((-similar(name, n), c) for c, n, p in ref if n and p and p == pc), default=(0, None))
             want[i] = (near[1], round(-near[0] * 0.9, 6)) if -near[0] >= 0.9 else (None, None)
     assert got == want and len({c for c, _ in want.values()}) > 20
+
+
+def test_distances():
+    r = random.Random(6)
+    for n in range(7):
+        for m in range(7):
+            for most in range(4):
+                x, y = (np.array([r.choices(range(2), k=k) for _ in range(12)], np.uint32).reshape(12, k) for k in (n, m))
+                assert list(nearest.distances(x, y, most)) == [min(most + 1, distance(list(a), list(b))) for a, b in zip(x, y, strict=True)]
+
+
+def test_a_cell_tells_the_best_only():
+    r = random.Random(7)
+    others = sorted({f"FIRM {r.randrange(1000)} FURNITURE WORKS" for _ in range(150)})
+    names = [f"FIRM {i} FURNITURE WORKSX" for i in range(100, 140)] + ["ELSE"]
+    rows = [["AB", 0, 0, False, n, None] for n in names] + [["AB", 0, 0, True, n, -i] for i, n in enumerate(others)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("b", "i", "j", "side", "name", "r_cn"), x, strict=True)) for x in rows], pa.schema([("b", "string"), ("i", "int64"), ("j", "int64"), ("side", "bool"), ("name", "string"), ("r_cn", "int64")]))
+    for every in (False, True):
+        got = {x["nm"]: (x["r_cn"], x["edits"]) for part in nearest._cells([batch], ["b"], 0.9, every) for x in part.to_pylist()}
+        told = sum(len(part) for part in nearest._cells([batch], ["b"], 0.9, every))
+        want = {}
+        for n in names:
+            score, cn, d = min((-similar(n, o), -i, distance(n, o)) for i, o in enumerate(others))
+            want[n] = (cn, d) if -score >= 0.9 else (None, None)
+        assert len(want) == 41 and 3 < sum(c is not None for c, _ in want.values()) < 41
+        assert told == len(got) and got == {n: w for n, w in want.items() if every or w[0] is not None}
+
+
+def test_rows_of_the_ladder_are_looked_up_twice(spark):
+    """By number, then by name and postcode; names nobody has are told from them without those look-ups."""
+    plan = catalog.queries()["er11_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter, ") <= 4 and not re.search("Join .*(split_part|stringsplit)", plan)

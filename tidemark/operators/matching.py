@@ -32,12 +32,18 @@ def resolve(rows: DataFrame, reference: DataFrame, keys: list[str], universe: Da
 
 
 def _nearest(names: DataFrame, ref: DataFrame, least: float) -> DataFrame:
-    """nm, pc, f (r_cn, score): the most similar entity of the same postcode and first word, if it is similar enough; ties
-    by entity. Each name is looked up once, however many rows have it."""
-    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    """nm, pc, f (r_cn, score): the most similar entity of the same postcode and first word, null if none is similar enough;
+    ties by entity. Each name is looked up once, however many rows have it."""
+    first = lambda c: F.coalesce(F.split_part(c, F.lit(" "), F.lit(1)), F.lit(""))
     left = names.select("nm", "pc", first(F.col("nm")).alias("w"))
     right = ref.select("r_cn", "r_nm", F.col("r_pc").alias("pc"), first(F.col("r_nm")).alias("w"))
-    return nearest(left, right, ["pc", "w"], least).select("nm", "pc", "f")
+    return nearest(left, right, ["pc", "w"], least, every=True).select("nm", "pc", "f")
+
+
+def _dealt(by: str, key: str, *more: str) -> Column:
+    """Joined on ahead of a key: a hash of it, which sorts faster than texts. A row without the key meets nothing, and goes to
+    a task by another column instead of all to one."""
+    return F.when(F.col(key).isNull(), F.xxhash64(by)).otherwise(F.xxhash64(key, *more))
 
 
 def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str = "id", number: str = "number", name: str = "nm", area: str = "pc", entity: str = "cn") -> DataFrame:
@@ -47,27 +53,32 @@ def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str =
     name, none of them the postcode that the row states. unconfirmed 0.6: no postcode, one entity has the name.
     ambiguous: no postcode, several have it. fuzzy: no entity has the name; one of the same first word and postcode is
     similar enough, confidence 0.9 times the similarity. none: nothing."""
-    ref = reference.select(F.col(entity).alias("r_cn"), F.col(name).alias("r_nm"), F.col(area).alias("r_pc")).distinct()
-    r = rows.select(F.col(key).alias("k"), F.col(number).alias("number"), F.col(name).alias("nm"), F.col(area).alias("pc"))
-    by_number = ref.select(F.col("r_cn").alias("number"), F.col("r_cn").alias("n_cn")).distinct()
-    by_name = ref.groupBy(F.col("r_nm").alias("nm")).agg(F.min("r_cn").alias("m_lo"), F.max("r_cn").alias("m_hi"))
-    by_both = ref.filter("r_pc IS NOT NULL").groupBy(F.col("r_nm").alias("nm"), F.col("r_pc").alias("pc")).agg(F.min("r_cn").alias("b_lo"), F.max("r_cn").alias("b_hi"))
-    # a missing key meets nothing, and is dealt out by the row instead of all to one task
-    dealt = lambda c, k="k": F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(k).cast("string")))
-    x = r.withColumns({"j_number": dealt("number"), "j_nm": dealt("nm")})
-    x = x.join(by_number.select(F.col("number").cast("string").alias("j_number"), "n_cn"), "j_number", "left").join(by_name.withColumnRenamed("nm", "j_nm").filter("j_nm IS NOT NULL"), "j_nm", "left")
-    x = x.withColumn("j_pc", F.when(F.col("m_lo").isNotNull(), F.col("pc")))  # a name that nobody has needs no look-up with its postcode
-    x = x.join(by_both.select(F.col("nm").alias("j_nm"), F.col("pc").alias("j_pc"), "b_lo", "b_hi"), ["j_nm", "j_pc"], "left").drop("j_pc")
-    is_open = "n_cn IS NULL AND m_lo IS NULL AND nm IS NOT NULL AND pc IS NOT NULL"
-    best = _nearest(x.filter(is_open).select("nm", "pc").distinct(), ref, least)
-    x = x.withColumn("o_nm", F.when(F.expr(is_open), F.col("nm")).otherwise(F.concat(F.lit("\0"), F.col("k").cast("string"))))
-    x = x.join(best.withColumnRenamed("nm", "o_nm"), ["o_nm", "pc"], "left")
+    same = rows.schema[number].dataType == reference.schema[entity].dataType
+    as_key = lambda c: F.col(c) if same else F.col(c).cast("string")
+    ref = reference.select(F.col(entity).alias("r_cn"), F.col(name).alias("r_nm"), F.col(area).alias("r_pc")).filter("r_cn IS NOT NULL")
+    r = rows.select(F.col(key).alias("k"), as_key(number).alias("number"), F.col(name).alias("nm"), F.col(area).alias("pc"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # what a name is known by: with each of its postcodes, and with none
+    known = ref.filter("r_nm IS NOT NULL").select(F.col("r_nm").alias("nm"), F.explode(F.array("r_pc", none(ref.schema["r_pc"].dataType))).alias("pc"), "r_cn")
+    known = known.groupBy("nm", "pc").agg(F.min("r_cn").alias("lo"), F.max("r_cn").alias("hi"))
+    numbers = ref.select(as_key("r_cn").alias("number")).select(F.xxhash64("number").alias("dealt"), "number")
+    # names that nobody has, of rows whose number nobody has: each is told once, with its nearest one or without
+    strange = r.filter("nm IS NOT NULL AND pc IS NOT NULL").select("number", "nm", "pc").withColumn("dealt", F.xxhash64("nm")).join(ref.select(F.xxhash64("r_nm").alias("dealt"), F.col("r_nm").alias("nm")), ["dealt", "nm"], "left_anti")
+    strange = strange.withColumn("dealt", _dealt("nm", "number")).join(numbers, ["dealt", "number"], "left_anti").select("nm", "pc").distinct()
+    near = _nearest(strange, ref, least)
+    told = known.withColumn("f", none(near.schema["f"].dataType)).withColumn("strange", F.lit(False)).unionByName(near.withColumn("strange", F.lit(True)), allowMissingColumns=True)
+    x = r.withColumn("dealt", _dealt("k", "number")).join(numbers.distinct().withColumn("n_cn", F.col("number")), ["dealt", "number"], "left")
+    # one look-up with name and postcode; a postcode is missing on its own account
+    x = x.select("k", F.when(F.col("n_cn").isNotNull(), F.col("number")).alias("n_cn"), F.when(F.col("n_cn").isNull(), F.col("nm")).alias("nm"), "pc").withColumn("dealt", _dealt("k", "nm", "pc"))
+    told = told.select(F.col("nm").alias("t_nm"), F.col("pc").alias("t_pc"), "lo", "hi", "f", "strange", F.xxhash64("nm", "pc").alias("t_dealt"))
+    x = x.join(told, (F.col("dealt") == F.col("t_dealt")) & (F.col("nm") == F.col("t_nm")) & F.col("pc").eqNullSafe(F.col("t_pc")), "left")
+    placed, one = F.col("pc").isNotNull(), F.col("lo") == F.col("hi")
     tiers = [
-        ("number", F.col("n_cn").isNotNull(), F.col("n_cn"), F.lit(1.0)),
-        ("exact", F.col("b_lo") == F.col("b_hi"), F.col("b_lo"), F.lit(0.95)),
-        ("rejected", F.col("m_lo").isNotNull() & F.col("pc").isNotNull(), None, None),
-        ("unconfirmed", F.col("m_lo") == F.col("m_hi"), F.col("m_lo"), F.lit(0.6)),
-        ("ambiguous", F.col("m_lo").isNotNull(), None, None),
+        ("number", F.col("n_cn").isNotNull(), F.col("n_cn").cast(reference.schema[entity].dataType), F.lit(1.0)),
+        ("exact", placed & one, F.col("lo"), F.lit(0.95)),
+        ("rejected", F.col("nm").isNotNull() & placed & ~F.coalesce("strange", F.lit(False)), None, None),
+        ("unconfirmed", one, F.col("lo"), F.lit(0.6)),
+        ("ambiguous", F.col("lo").isNotNull(), None, None),
         ("fuzzy", F.col("f").isNotNull(), F.col("f.r_cn"), F.round(F.col("f.score") * 0.9, 6)),
     ]
     method, found, sure = None, None, None

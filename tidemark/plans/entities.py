@@ -176,8 +176,8 @@ REGISTER = "reg AS (SELECT c_custkey AS cn, 'FIRM ' || (CASE WHEN c_custkey % 10
 ROWS = "r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey END AS number, 'FIRM ' || (CASE WHEN o_custkey % 10 = 0 THEN o_custkey // 20 ELSE o_custkey END) || ' ' || c_mktsegment || (CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE '' END) AS nm, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ZZ99' ELSE 'AB' || (o_custkey % 50) || 'CD' END AS pc, o_custkey AS true_cn FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
-def firm(key, sector, tail=""):
-    return F.concat(F.lit("FIRM "), F.when(key % 10 == 0, F.floor(key / 20)).otherwise(key).cast("string"), F.lit(" "), sector, tail if not isinstance(tail, str) else F.lit(tail))
+def firm(key, sector):
+    return F.concat(F.lit("FIRM "), F.when(key % 10 == 0, F.floor(key / 20)).otherwise(key).cast("string"), F.lit(" "), sector)
 
 
 def code(key):
@@ -190,9 +190,10 @@ def register(t):
 
 
 def rows(t):
-    j = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    k = F.col("c_custkey")  # a customer's name is made once, not for each order
+    j = t.orders.join(t.customer.select(k.alias("o_custkey"), firm(k, F.col("c_mktsegment")).alias("c_nm")), "o_custkey")
     i, c = F.col("o_orderkey"), F.col("o_custkey")
-    return j.select(i.alias("id"), F.when(i % 7 == 0, c).alias("number"), firm(c, F.col("c_mktsegment"), F.when(i % 9 == 0, "X").otherwise("")).alias("nm"), F.when(i % 4 == 0, None).when(i % 4 == 1, "ZZ99").otherwise(code(c)).alias("pc"), c.alias("true_cn"))
+    return j.select(i.alias("id"), F.when(i % 7 == 0, c).alias("number"), F.concat("c_nm", F.when(i % 9 == 0, "X").otherwise("")).alias("nm"), F.when(i % 4 == 0, None).when(i % 4 == 1, "ZZ99").otherwise(code(c)).alias("pc"), c.alias("true_cn"))
 
 
 @query("er1_reference", "SELECT DISTINCT c_custkey AS cn, upper(c_name) AS nm, CASE WHEN c_custkey % 2 = 0 THEN 'AB1CD' END AS pc FROM customer")
