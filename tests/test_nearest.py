@@ -9,7 +9,7 @@ import pytest
 from support import SF
 
 from tidemark.operators import nearest
-from tidemark.operators.matching import ladder
+from tidemark.operators.matching import best_per_entity, ladder
 from tidemark.plans import catalog
 
 
@@ -114,3 +114,12 @@ def test_rows_of_the_ladder_are_looked_up_twice(spark):
     """By number, then by name and postcode; names nobody has are told from them without those look-ups."""
     plan = catalog.queries()["er11_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter, ") <= 4 and not re.search("Join .*(split_part|stringsplit)", plan)
+
+
+def test_best_of_each_entity_after_one_row_for_alike_ones(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice((None, 1, 2, 3)), r.choice((1.0, 0.95, 0.6))) for i in r.sample(range(1000), 200)] + [(1, 9, None)]
+    got = best_per_entity(spark.createDataFrame(rows, "id int, cn long, confidence double"))
+    best = {c: min((-(s or 0), i) for i, k, s in rows if k == c)[1] for c in (1, 2, 3, 9)}
+    assert {x["cn"]: x["id"] for x in got.collect()} == best and got.columns == ["id", "cn", "confidence"]
+    assert "Aggregate [" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -91,8 +91,10 @@ def ladder(rows: DataFrame, reference: DataFrame, least: float = 0.9, key: str =
 
 def best_per_entity(matches: DataFrame, entity: str = "cn", key: str = "id") -> DataFrame:
     """The most confident match of each entity; ties by key."""
+    alike = [c for c in matches.columns if c != key]  # of rows that differ in nothing else the smallest key stands for all
     w = Window.partitionBy(entity).orderBy(F.desc("confidence"), F.asc(key))
-    return matches.filter(F.col(entity).isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    first = matches.filter(F.col(entity).isNotNull()).groupBy(*alike).agg(F.min(key).alias(key))
+    return first.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(matches.columns)
 
 
 def two_tier(rows: DataFrame, reference: DataFrame, name: str, tiers: list[tuple[str, float]], entity: str = "cn") -> DataFrame:

@@ -234,7 +234,7 @@ def er5(t):
 
 @query("er7_best_per_entity", f"{LADDER} SELECT cn, id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY cn ORDER BY confidence DESC, id) AS rn FROM ladder WHERE cn IS NOT NULL) WHERE rn = 1")
 def er7(t):
-    return best_per_entity(ladder(rows(t), register(t))).select("cn", "id", "confidence")
+    return best_per_entity(ladder(rows(t), register(t)).select("cn", "id", "confidence"))
 
 
 @query("er8_two_tier_keys", f"WITH {REGISTER}, {ROWS}, g AS (SELECT *, substr(pc, 1, 3) AS area FROM reg), q AS (SELECT *, substr(pc, 1, 3) AS area FROM r), a AS (SELECT nm, pc, min(cn) AS cn FROM g WHERE pc IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT cn) = 1), b AS (SELECT nm, area, min(cn) AS cn FROM g WHERE area IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT cn) = 1) SELECT id, coalesce(a.cn, b.cn) AS cn, CASE WHEN a.cn IS NOT NULL THEN 0.9 WHEN b.cn IS NOT NULL THEN 0.8 END::DOUBLE AS confidence FROM q LEFT JOIN a ON a.nm = q.nm AND a.pc = q.pc LEFT JOIN b ON b.nm = q.nm AND b.area = q.area")
